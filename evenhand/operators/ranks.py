@@ -84,8 +84,12 @@ def column_order(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Or
     first = F.col(columns[0])
     if isinstance(dtype, T.NumericType):
         lead = first
-    elif isinstance(dtype, (T.TimestampType, T.DateType)):
-        lead = F.unix_micros(first.cast("timestamp"))
+    elif isinstance(dtype, T.TimestampType):
+        lead = F.unix_micros(first)
+    elif isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        day = F.unix_date(first.cast("date"))
+        clock = F.hour(first) * 3600 + F.minute(first) * 60 + F.second(first)
+        lead = day if isinstance(dtype, T.DateType) else day.cast("long") * 86400 + clock
     else:
         raise ValueError(f"cannot bin the order column {columns[0]!r} of type {dtype.simpleString()}")
     return rows, Order(tuple(columns), lead)

@@ -105,7 +105,7 @@ def attribute_vote(scores: DataFrame, metric: str = "DP", models: Sequence[str]
     counted = _of_models(scores, models).groupBy("dataset").agg(
         F.sum((sex > race).cast("int")).cast("long").alias("votes"), F.min(sex).alias("__sex"),
         F.min(race).alias("__race"))
-    vote = F.when(F.col("votes") == len(models), "SEX").when(F.col("votes") == 0, "RACE")
+    vote = F.when(F.col("votes") == len(models), "SEX").when(F.col("votes") == 0, "RAC1P")
     least = F.when(F.col("votes") == len(models), F.col("__sex")).when(F.col("votes") == 0, F.col("__race"))
     return counted.select("dataset", "votes", vote.alias("vote"), least.alias("min_gap"))
 
