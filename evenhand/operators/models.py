@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evenhand.operators.scores import score_table
 from evenhand.operators.transform import feature_view
-from evenhand.plans.runtime import attach, count_cells, settle
+from evenhand.plans.runtime import attach, count_cells, settle, stage
 from evenhand.spec import FairSpec, require_choice
 
 
@@ -73,19 +73,24 @@ def fit_logistic(
     max_iter: int = 50,
     tolerance: float = 1e-6,
     precount: bool = False,
+    staged: bool = True,
 ) -> DataFrame:
     """(by..., ``w``): weights per client, the bias last, minimising log loss plus ``l2 / 2`` times |w|^2.
 
-    ``precount`` first counts equal rows, once; worth it when features are codes with few combinations.
+    The features and labels are written out once, so that the steps do not repeat what led to them; pass
+    ``staged=False`` when ``df`` is a stored table already. ``precount`` counts equal rows before, which pays
+    when features are codes with few combinations.
     """
     d = len(features)
     rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"),
                      *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])
     rows = rows.where(F.col("y").isNotNull())
     if precount:
-        rows = settle(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("m")))
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("m"))
     else:
         rows = rows.withColumn("m", F.lit(1.0))
+    if staged or precount:
+        rows = stage(rows, "features")
     xs = [F.col(f"x{j}") for j in range(d)] + [F.lit(1.0)]
     p, m = F.col("p"), F.col("m")
     zero = F.array(*[F.lit(0.0)] * (d + 1))

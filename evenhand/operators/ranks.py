@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand.functions import all_of, chunk_bounds, chunk_of, order_key
-from evenhand.plans.runtime import attach, count_cells, settle
+from evenhand.plans.runtime import BROADCAST_CELLS, attach, count_cells, settle
 
 BINS = 1024
-# Groups up to this many rows are ranked by a window.
+# A window ranks groups up to this many rows, as long as the table is small or the groups are many.
 WINDOW_ROWS = 1_000_000
+WINDOW_TOTAL = 100_000_000
 # Boundary bins above this many rows are split again.
 BIN_ROWS = 1_000_000
 # The hash order is binned by its first 15 hexadecimal digits.
@@ -211,10 +212,18 @@ def classify(
     return joined.drop("__here", "cuts")
 
 
-def largest_group(rows: DataFrame, groups: Sequence[str]) -> int:
-    """Rows of the largest group; only the group columns are read and only counts are shuffled."""
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+def window_fits(rows: DataFrame, groups: Sequence[str], only: str | None, most: int) -> bool:
+    """Should a window rank these rows? One job that reads the group columns and shuffles only counts.
+
+    It must not when a group is large. It should not when the table is large and its groups are few, since a
+    window shuffles all rows and cuts can then be broadcast.
+    """
+    taking = F.sum(F.col(only).cast("long")) if only else F.count(F.lit(1))
+    sizes = rows.groupBy(*groups).agg(taking.alias("n"), F.count(F.lit(1)).alias("m"))
+    found = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count(F.lit(1)).alias("groups"),
+                      F.coalesce(F.sum("m"), F.lit(0)).alias("total")).first()
+    few = found["groups"] * (most + len(groups)) <= BROADCAST_CELLS
+    return found["largest"] <= WINDOW_ROWS and (found["total"] <= WINDOW_TOTAL or not few)
 
 
 def cut_classes(
@@ -227,8 +236,7 @@ def cut_classes(
     columns = rows.columns
     if not groups:
         rows, groups = rows.withColumn("__all", F.lit(0)), ["__all"]
-    taking = rows.where(only) if only else rows
-    if largest_group(taking, groups) <= WINDOW_ROWS:
+    if window_fits(rows, groups, only, cutting.most):
         # Rows that take no part are spread, so that a large group of them is not sorted in one task.
         apart = F.when(~F.col(only), F.pmod(F.xxhash64(*order.columns), F.lit(BINS))) if only else None
         by = [*groups, *([only, apart] if only else [])]
@@ -237,7 +245,7 @@ def cut_classes(
             "__rn": F.row_number().over(every.orderBy(*order.columns)), "total": F.count(F.lit(1)).over(every)})
         made = made.withColumn(out, cutting.place.cast("int"))
     else:
-        cuts, size = find_cuts(taking, groups, order, cutting.ranks)
+        cuts, size = find_cuts(rows.where(only) if only else rows, groups, order, cutting.ranks)
         made = classify(rows, groups, order, cuts, size, cutting.most, out)
     if only:
         made = made.withColumn(out, F.when(F.col(only), F.col(out)))

@@ -13,7 +13,7 @@ from evenhand.operators.perturb import apply_modifications
 from evenhand.operators.scores import (MODELS, THRESHOLD, modification_log, plan_next, select_clients,
                                        unfairness_distribution)
 from evenhand.operators.splits import chunk, holdout
-from evenhand.plans.runtime import attach, settle
+from evenhand.plans.runtime import attach, settle, stage
 from evenhand.spec import FairSpec
 
 # The drop rates tried one after the other.
@@ -27,10 +27,12 @@ def score_clients(
 ) -> DataFrame:
     """Hold out a part of every client, fit the models on the rest, and score them.
 
-    At level ``attribute`` the held-out part is stratified by the voted attributes SEX and RAC1P.
+    At level ``attribute`` the held-out part is stratified by the voted attributes SEX and RAC1P. The divided
+    table is written out once, as every model reads it twice.
     """
     strata = [c for c in spec.sensitive if c in ("SEX", "RAC1P")] if level == "attribute" else []
-    held = holdout(df, spec, test_size, seed, strata)
+    needed = dict.fromkeys([*spec.client, *spec.key, *spec.sensitive, spec.label, *features])
+    held = stage(holdout(df.select(*needed), spec, test_size, seed, strata), "held")
     return settle(evaluate_models(held, spec, features, ~F.col("is_test"), F.col("is_test"), metric, level,
                                   models, options))
 
@@ -72,7 +74,7 @@ def calibrate(
 def cross_device(
     df: DataFrame, spec: FairSpec, k: int, order: Sequence[str], features: Sequence[str], metric: str = "DP",
     level: str = "attribute", models: Sequence[str] = MODELS, options: Mapping[str, Mapping] = {},
-    seed: int = 42,
+    seed: int = 42, bounds: Mapping[str, tuple[float | None, float | None]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Cut every client into k chunks, score each as a client, and keep those with a clear bias.
 
@@ -82,7 +84,7 @@ def cross_device(
     pieces = chunk(df, spec, k, order)
     pieces = pieces.withColumn(client, client_name(client, "chunk")).drop("chunk")
     scores = score_clients(pieces, spec, features, metric, level, models, options, seed)
-    chosen = settle(select_clients(scores, level, metric, models).select("dataset"))
+    chosen = settle(select_clients(scores, level, metric, models, bounds).select("dataset"))
     rows = attach(pieces, chosen.withColumnRenamed("dataset", client), [client], chosen.count(), spec.key,
                   how="left_semi")
     return rows, scores.join(chosen, "dataset", "left_semi")

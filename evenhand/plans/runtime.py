@@ -38,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write a table that will be read many times to the shared folder as Parquet, and read it from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,

@@ -374,7 +374,7 @@ ORACLES: dict[str, str] = {
         VOTE, then="SELECT dataset, vote, min_gap FROM vote WHERE (vote = 'SEX' AND min_gap > 0.01::DOUBLE) OR "
         "(vote = 'RAC1P' AND min_gap > 0.005::DOUBLE AND min_gap < 0.06::DOUBLE)"),
     "selected_value": on_scores(VALUE_VOTE, then="SELECT dataset, vote, min_gap FROM value_vote "
-                                "WHERE vote IS NOT NULL AND min_gap > 0.02::DOUBLE"),
+                                "WHERE vote IS NOT NULL AND min_gap > 0.01::DOUBLE"),
     "distribution_attribute": on_scores(
         VOTE, then="SELECT vote AS attribute, count(*) AS number, string_agg(dataset::VARCHAR, ',' ORDER BY dataset) "
         "AS states FROM vote WHERE vote IS NOT NULL AND min_gap > 0.01::DOUBLE GROUP BY vote"),
