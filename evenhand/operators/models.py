@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evenhand.operators.scores import score_table
 from evenhand.operators.transform import feature_view
+from evenhand.operators.trees import fit_predict_trees
 from evenhand.plans.runtime import attach, count_cells, settle, stage
 from evenhand.spec import FairSpec, require_choice
 
@@ -145,30 +146,6 @@ def fit_predict_logistic(
     return predict_logistic(df.where(test), weights, features, by)
 
 
-def fit_predict_trees(
-    df: DataFrame, spec: FairSpec, features: Sequence[str], train: Column, test: Column,
-    rounds: int = 10, depth: int = 3, seed: int = 42,
-) -> DataFrame:
-    """Fit boosted trees on the pooled training rows and return the test rows with ``prediction``.
-
-    The trees are those of all clients together; the scores are then taken per client.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    label = F.col(spec.label).cast("boolean").cast("double")
-    rows = df.withColumns({"__label": label, **{f"__x_{c}": F.col(c).cast("double") for c in features}})
-    trees = GBTClassifier(labelCol="__label", featuresCol="__features", predictionCol="__prediction",
-                          maxIter=rounds, maxDepth=depth, seed=seed)
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=[f"__x_{c}" for c in features], outputCol="__features", handleInvalid="keep"),
-        trees,
-    ]).fit(rows.where(train))
-    scored = model.transform(rows.where(test))
-    return scored.select(*df.columns, (F.col("__prediction") == 1).alias("prediction"))
-
-
 FITS = {"LogisticRegression": fit_predict_logistic, "XGBoost": fit_predict_trees}
 
 

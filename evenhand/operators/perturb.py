@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import same_value
 from evenhand.operators.ranks import at_bounds, cut_classes, hash_order
-from evenhand.plans.runtime import attach, count_cells, settle
-from evenhand.spec import FairSpec, Modification, plan_table, require_columns, require_rate
+from evenhand.plans.runtime import attach, settle
+from evenhand.spec import FairSpec, Modification, plan_extent, plan_table, require_columns, require_rate
 
 
 def _draw(df: DataFrame, spec: FairSpec, hit: Column, carried: Sequence[str], drop: Column, flip: Column,
@@ -55,15 +55,17 @@ def apply_modifications(
     not the number of clients. The plan names a client by the first client column; its columns must be among
     those of ``df``.
     """
-    table = settle(plan_table(df.sparkSession, plan))
-    size = count_cells(table, len(table.columns))
-    steps = [r["seq"] for r in table.select("seq").distinct().orderBy("seq").collect()]
-    named = table.select(F.explode(F.array("column", "column2")).alias("c")).where("c is not null").distinct()
-    columns = [r["c"] for r in named.collect()]
+    if isinstance(plan, DataFrame):
+        table = plan = settle(plan)
+    else:
+        plan = list(plan)
+        table = plan_table(df.sparkSession, plan)
+    extent = plan_extent(plan)
+    size, columns = extent.rows * len(table.columns), extent.columns
     require_columns(df, columns)
     client = spec.client[0]
     carried = ["__column", "__value", "__drop", "__flip", "__column2", "__value2"]
-    for step in steps:
+    for step in extent.steps:
         now = table.where(F.col("seq") == step).select(
             F.col("client").alias("__client"), F.col("column").alias("__column"), F.col("value").alias("__value"),
             F.col("drop_rate").alias("__drop"), F.col("flip_rate").alias("__flip"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,18 +121,36 @@ def modifications_from_dict(plan: Mapping[str, Mapping[str, Mapping[str, object]
     ]
 
 
-def plan_table(spark: SparkSession, plan: Iterable[Modification] | DataFrame) -> DataFrame:
-    """The plan as a table; a table's rates are checked like those of the dataclass."""
-    if not isinstance(plan, DataFrame):
-        return spark.createDataFrame([m.row() for m in plan], PLAN_SCHEMA)
-    rates = F.least("drop_rate", "flip_rate") < 0, F.greatest("drop_rate", "flip_rate") > 1
-    if not plan.where(rates[0] | rates[1]).limit(1).isEmpty():
-        raise ValueError("Fraction must be between 0 and 1")
-    return plan
+def plan_table(spark: SparkSession, plan: Iterable[Modification]) -> DataFrame:
+    """The plan as a table with the columns of ``PLAN_SCHEMA``."""
+    rows = list(zip(*[m.row() for m in plan])) or [()] * 8
+    types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string())
+    names = ("client", "seq", "column", "value", "drop_rate", "flip_rate", "column2", "value2")
+    return spark.createDataFrame(pa.table({n: pa.array(v, t) for n, v, t in zip(names, rows, types)}))
 
 
 @dataclass(frozen=True)
-class Selection:
-    """Bounds on a client's smallest gap, per voted attribute; None leaves a side open."""
+class PlanExtent:
+    """What must be known of a plan before it is applied: a few numbers and names, never its rows."""
+
+    rows: int
+    steps: tuple[int, ...]
+    columns: tuple[str, ...]
 
-    bounds: Mapping[str, tuple[float | None, float | None]] = field(default_factory=dict)
+
+def plan_extent(plan: Iterable[Modification] | DataFrame) -> PlanExtent:
+    """Size, steps and named columns of a plan; its rates are checked."""
+    if not isinstance(plan, DataFrame):
+        plan = list(plan)
+        columns = {c for m in plan for c in (m.column, m.column2) if c is not None}
+        return PlanExtent(len(plan), tuple(sorted({m.seq for m in plan})), tuple(sorted(columns)))
+    found = plan.agg(
+        F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set("seq")).alias("steps"),
+        F.sort_array(F.array_union(F.collect_set("column"), F.collect_set("column2"))).alias("columns"),
+        F.min(F.least("drop_rate", "flip_rate")).alias("low"),
+        F.max(F.greatest("drop_rate", "flip_rate")).alias("high"),
+    ).first()
+    for rate in (found["low"], found["high"]):
+        if rate is not None:
+            require_rate(rate)
+    return PlanExtent(found["rows"], tuple(found["steps"]), tuple(found["columns"]))

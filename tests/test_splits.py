@@ -22,33 +22,35 @@ def many(spark, n=3000):
     return df
 
 
-def results(df):
+def results(df, names=None):
     plan = [Modification("big", 0, "g", "1", 0.5, 0.5), Modification("big", 1, "g", "2", 0.1, 0.9),
             Modification("c1", 0, "g", "3", 1.0, 0.0), Modification("c2", 0, "g", "0", 0.3, 0.3, "g", "0")]
     made = {
-        "folds": splits.split_folds(df, SPEC).select("id", "fold"),
-        "parts": splits.assign_partitions(df, SPEC, {"big": 70, "c1": 3}).select("id", "partition_id"),
-        "chunks": splits.chunk(df, SPEC, 9, ["id"]).select("id", "chunk"),
-        "holdout": splits.holdout(df, SPEC).select("id", "is_test"),
-        "strata": splits.holdout(df, SPEC, strata=["g"]).select("id", "is_test"),
-        "clients": splits.split_clients(df, SPEC).select("id", "fold"),
-        "drop": perturb.drop_positive(df, SPEC, group_pred("g", "1"), 0.29).select("id", "y"),
-        "plan": perturb.apply_modifications(df, SPEC, plan).select("id", "y"),
-        "tiny": splits.split_folds(df, SPEC, (0.0, 0.0, 1.0)).select("id", "fold"),
+        "folds": lambda: splits.split_folds(df, SPEC).select("id", "fold"),
+        "parts": lambda: splits.assign_partitions(df, SPEC, {"big": 70, "c1": 3}).select("id", "partition_id"),
+        "chunks": lambda: splits.chunk(df, SPEC, 9, ["id"]).select("id", "chunk"),
+        "holdout": lambda: splits.holdout(df, SPEC).select("id", "is_test"),
+        "strata": lambda: splits.holdout(df, SPEC, strata=["g"]).select("id", "is_test"),
+        "clients": lambda: splits.split_clients(df, SPEC).select("id", "fold"),
+        "drop": lambda: perturb.drop_positive(df, SPEC, group_pred("g", "1"), 0.29).select("id", "y"),
+        "plan": lambda: perturb.apply_modifications(df, SPEC, plan).select("id", "y"),
+        "tiny": lambda: splits.split_folds(df, SPEC, (0.0, 0.0, 1.0)).select("id", "fold"),
     }
-    return {k: sorted(map(tuple, v.collect())) for k, v in made.items()}
+    return {k: sorted(map(tuple, made[k]().collect())) for k in names or made}
 
 
 def test_all_ways_of_ranking_agree(spark, monkeypatch):
-    df = many(spark)
+    df = many(spark).coalesce(2).cache()
     window = results(df)
     monkeypatch.setattr(ranks, "WINDOW_ROWS", 0)
+    monkeypatch.setattr(ranks, "BINS", 32)
+    monkeypatch.setattr(ranks, "BIN_ROWS", 20)
     assert results(df) == window
-    monkeypatch.setattr(ranks, "BINS", 8)
-    monkeypatch.setattr(ranks, "BIN_ROWS", 3)
+    # Nothing fits a broadcast: every join is salted.
     defaults = runtime.attach.__defaults__
     monkeypatch.setattr(runtime.attach, "__defaults__", (*defaults[:-1], 0))
-    assert results(df.repartition(5)) == window
+    few = {k: v for k, v in results(df, ("parts", "plan", "strata")).items()}
+    assert few == {k: window[k] for k in few}
 
 
 def ten(table, n=10, positives=10):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from evenhand.operators import counts, models, scores, splits, transform
+from evenhand.operators import counts, models, scores, splits, transform, trees
 from evenhand.plans.calibrate import calibrate, cross_device
 from evenhand.plans.dataset import ClientDataset, DatasetOptions
 from evenhand.plans.evaluate import evaluate_fairness
@@ -210,12 +210,55 @@ def test_calibration_and_chunks_of_clients(spark):
     assert {r["client"] for r in rows.select("client").distinct().collect()} == names
 
 
-def test_trees_learn(spark):
-    df = splits.holdout(microdata(spark), CENSUS)
-    table = models.evaluate_models(df, CENSUS, ["AGEP", "WKHP"], ~F.col("is_test"), F.col("is_test"),
-                                   options={"XGBoost": {"rounds": 3}}).collect()
-    assert len(table) == 4 and all(r["accuracy"] > 0.55 for r in table)
-    assert {r["model"] for r in table} == {"LogisticRegression", "XGBoost"}
+def grow(bins, g, h, rows, depth, node, leaves):
+    """A node's leaf value and best split by trying all, as the boosting defines them."""
+    total, weight = g[rows].sum(), h[rows].sum()
+    leaves.setdefault(node, -0.3 * total / (weight + 1))
+    if depth == 0:
+        return
+    best = None
+    for j in range(bins.shape[1]):
+        for b in np.unique(bins[rows, j])[:-1]:
+            left, right = rows & (bins[:, j] <= b), rows & (bins[:, j] > b)
+            sums = [(g[part].sum(), h[part].sum()) for part in (left, right)]
+            if min(w for _, w in sums) < 1:
+                continue
+            gain = sum(s * s / (w + 1) for s, w in sums) - total * total / (weight + 1)
+            if gain > 1e-9 and (best is None or gain > best[0]):
+                best = (gain, left, right)
+    if best:
+        grow(bins, g, h, best[1], depth - 1, 2 * node, leaves)
+        grow(bins, g, h, best[2], depth - 1, 2 * node + 1, leaves)
+
+
+def test_client_trees_equal_trying_all_splits(spark):
+    df = microdata(spark).cache()
+    forest = trees.fit_trees(df, "PINCP", ["AGEP", "WKHP"], rounds=2, depth=2)
+    grown = {r["client"]: r for r in forest.trees.collect()}
+    for client, row in grown.items():
+        pdf = df.where(F.col("client") == client).toPandas()
+        y = pdf["PINCP"].to_numpy(float)
+        bins = np.stack([(pdf[c].to_numpy(float)[:, None] > np.array(e)).sum(1)
+                         for c, e in zip(["AGEP", "WKHP"], forest.edges)], 1)
+        assert row["base"] == pytest.approx(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        p = 1 / (1 + np.exp(-np.full(len(y), row["base"])))
+        leaves = {}
+        grow(bins, p - y, p * (1 - p), np.ones(len(y), bool), 2, 1, leaves)
+        assert row["trees"][0]["leaves"] == pytest.approx(leaves, abs=1e-9)
+    scored = trees.predict_trees(df, forest)
+    assert scored.where("prediction = PINCP").count() > 0.6 * df.count()
+    unseen = trees.predict_trees(df.withColumn("AGEP", F.lit(None).cast("long")), forest)
+    assert unseen.where("prediction is null").count() == 0
+
+
+def test_model_grid(spark):
+    df = splits.holdout(microdata(spark, 1000), CENSUS)
+    table = models.evaluate_models(
+        df, CENSUS, ["AGEP", "WKHP"], ~F.col("is_test"), F.col("is_test"),
+        options={"LogisticRegression": {"precount": True}, "XGBoost": {"rounds": 1, "depth": 1}}).collect()
+    assert len(table) == 4 and {r["model"] for r in table} == {"LogisticRegression", "XGBoost"}
+    with pytest.raises(ValueError, match="model"):
+        models.score_models(df, CENSUS, ["AGEP"], F.lit(True), F.lit(True), ("Other",))
 
 
 def test_config_json():
