@@ -34,15 +34,19 @@ BIN_ROWS = 1_000_000
 # The hash order is binned by its first 15 hexadecimal digits.
 HASH_SPAN = (0, 16**15 - 1)
 # Bins are split at most this often; a bin that is still large is ranked as it is.
-DEPTH = 5
+DEPTH = 8
 
 
 @dataclass(frozen=True)
 class Order:
-    """Columns to order by. ``lead`` is a number that never decreases along that order."""
+    """Columns to order by, and the first few of them as numbers to bin by.
+
+    Each of ``leads`` never decreases along the order among rows alike in those before it. ``span`` bounds the
+    first one if that is known beforehand.
+    """
 
     columns: tuple[str, ...]
-    lead: Column
+    leads: tuple[Column, ...]
     span: tuple[int, int] | None = None
 
 
@@ -76,31 +80,55 @@ def hash_order(
     digest = order_key(key, seed)
     hashed = rows.withColumn("__hash", digest if only is None else F.when(only, digest))
     lead = F.conv(F.substring("__hash", 1, 15), 16, 10).cast("long")
-    return hashed, Order(("__hash", *key), lead, HASH_SPAN)
+    return hashed, Order(("__hash", *key), (lead,), HASH_SPAN)
+
+
+def _number(column: str, dtype: T.DataType) -> tuple[Column | None, bool]:
+    """A column as a number in the same order, if its type allows that; and whether equal numbers mean ties."""
+    value = F.col(column)
+    if isinstance(dtype, T.IntegralType):
+        return value.cast("long"), True
+    if isinstance(dtype, T.NumericType):
+        return value.cast("double"), isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value), True
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(value).cast("long"), True
+    if isinstance(dtype, T.TimestampNTZType):
+        clock = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+        return F.unix_date(value.cast("date")).cast("long") * 86400 + clock, False
+    return None, False
 
 
 def column_order(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Order]:
     """Order by the given columns; the first must be a number, date or time, the last ones make it total."""
-    dtype = rows.schema[columns[0]].dataType
-    first = F.col(columns[0])
-    if isinstance(dtype, T.NumericType):
-        lead = first
-    elif isinstance(dtype, T.TimestampType):
-        lead = F.unix_micros(first)
-    elif isinstance(dtype, (T.DateType, T.TimestampNTZType)):
-        day = F.unix_date(first.cast("date"))
-        clock = F.hour(first) * 3600 + F.minute(first) * 60 + F.second(first)
-        lead = day if isinstance(dtype, T.DateType) else day.cast("long") * 86400 + clock
-    else:
-        raise ValueError(f"cannot bin the order column {columns[0]!r} of type {dtype.simpleString()}")
-    return rows, Order(tuple(columns), lead)
+    leads = []
+    for c in columns:
+        lead, exact = _number(c, rows.schema[c].dataType)
+        if lead is not None:
+            leads.append(lead)
+        if not exact:
+            break
+    if not leads:
+        found = rows.schema[columns[0]].dataType.simpleString()
+        raise ValueError(f"cannot bin the order column {columns[0]!r} of type {found}")
+    return rows, Order(tuple(columns), tuple(leads))
+
 
+def _away(value: Column, lo: Column, dtype: str) -> Column:
+    """``value - lo`` as a double that never decreases with value, also where two longs are too far apart."""
+    rough = value.cast("double") - lo.cast("double")
+    if dtype != "bigint":
+        return rough
+    exact = F.try_subtract(value, lo).cast("double")
+    return F.coalesce(exact, F.greatest(rough, F.lit(2.0**63)))
 
-def _bin(lo: Column, hi: Column) -> Column:
+
+def _bin(lo: Column, hi: Column, dtype: str = "bigint") -> Column:
     """Equal-width bin of ``__lead`` between lo and hi; never decreases with ``__lead``."""
-    at, lo, hi = F.col("__lead").cast("double"), lo.cast("double"), hi.cast("double")
-    place = F.floor((at - lo) / F.greatest(hi - lo, F.lit(1e-300)) * BINS)
-    return F.when(hi <= lo, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place))).cast("int")
+    at, width = _away(F.col("__lead"), lo, dtype), _away(hi, lo, dtype)
+    place = F.floor(at / F.greatest(width, F.lit(1e-300)) * BINS)
+    return F.when(width <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place))).cast("int")
 
 
 def _histogram(rows: DataFrame, by: Sequence[str], step: str) -> DataFrame:
@@ -112,19 +140,19 @@ def _histogram(rows: DataFrame, by: Sequence[str], step: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-SPOT = "struct<bin:int,n:bigint,lo:double,hi:double,before:bigint>"
-ASKED = "struct<pos:bigint,kind:int,spot:" + SPOT + ",total:bigint,i:int,rank:bigint>"
+def _asked_type(dtype: str) -> str:
+    """One entry of the merged list of bins (kind 0) and asked ranks (kind 1)."""
+    spot = f"struct<bin:int,n:bigint,lo:{dtype},hi:{dtype},before:bigint>"
+    return f"struct<pos:bigint,kind:int,spot:{spot},total:bigint,i:int,rank:bigint>"
 
 
-def _point(**given: Column) -> Column:
-    """One entry of the merged list of bins (kind 0) and asked ranks (kind 1)."""
+def _point(dtype: str, **given: Column) -> Column:
     names = ("pos", "kind", "spot", "total", "i", "rank")
-    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(ASKED)
+    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(_asked_type(dtype))
 
 
-def _bin_point(step: str) -> Column:
-    spot = F.struct(F.col(step), "n", F.col("lo").cast("double"), F.col("hi").cast("double"), "before").cast(SPOT)
-    return _point(pos=F.col("before"), kind=F.lit(0), spot=spot)
+def _bin_point(step: str, dtype: str) -> Column:
+    return _point(dtype, pos=F.col("before"), kind=F.lit(0), spot=F.struct(step, "n", "lo", "hi", "before"))
 
 
 def _place(points: DataFrame, by: Sequence[str], step: str) -> DataFrame:
@@ -144,41 +172,57 @@ def find_cuts(rows: DataFrame, groups: Sequence[str], order: Order, ranks: Colum
     (``i``, ``at``); ``at`` is null for rank 0.
     """
     at = F.struct(*[F.col(c).alias(f"o{j}") for j, c in enumerate(order.columns)])
-    rows = rows.select(*groups, order.lead.alias("__lead"), at.alias("__at"))
-    if order.span:
+    leads = [lead.alias(f"__lead{j}") for j, lead in enumerate(order.leads)]
+    rows = rows.select(*groups, *leads, at.alias("__at")).withColumn("__lead", F.col("__lead0"))
+    dtype = dict(rows.dtypes)["__lead"]
+    if order.span is not None:
         lo, hi = (F.lit(v) for v in order.span)
-        binned = rows.withColumn("__b0", _bin(lo, hi))
+        binned = rows.withColumn("__b0", _bin(lo, hi, dtype))
     else:
         spans = settle(rows.groupBy(*groups).agg(F.min("__lead").alias("__lo"), F.max("__lead").alias("__hi")))
         binned = attach(rows, spans, groups, count_cells(spans), ["__at"])
-        binned = binned.withColumn("__b0", _bin(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+        binned = binned.withColumn("__b0", _bin(F.col("__lo"), F.col("__hi"), dtype)).drop("__lo", "__hi")
 
     bins = _histogram(binned, groups, "__b0").withColumn("total", F.sum("n").over(Window.partitionBy(*groups)))
     asked = F.transform(ranks, lambda rank, i: _point(
-        pos=rank - 1, kind=F.lit(1), total=F.col("total"), i=i, rank=rank))
-    nothing = F.array().cast(f"array<{ASKED}>")
+        dtype, pos=rank - 1, kind=F.lit(1), total=F.col("total"), i=i, rank=rank))
+    nothing = F.array().cast(f"array<{_asked_type(dtype)}>")
     # The ranks of a group are written out once, beside its first bin.
-    merged = F.concat(F.array(_bin_point("__b0")), F.when(F.col("before") == 0, asked).otherwise(nothing))
+    merged = F.concat(F.array(_bin_point("__b0", dtype)), F.when(F.col("before") == 0, asked).otherwise(nothing))
     found = settle(_place(bins.select(*groups, F.inline(merged)), groups, "__b0"))
     unplaced = found.where("rank <= 0").select(
         *groups, "i", F.lit(None).cast(rows.schema["__at"].dataType).alias("at"))
     found = found.where("rank > 0")
 
-    path = ["__b0"]
+    path, lead = ["__b0"], 0
     while True:
-        extent = found.agg(
-            F.count(F.lit(1)).alias("cuts"), F.max(F.when(F.col("hi") > F.col("lo"), F.col("n"))).alias("rows")
-        ).first()
+        spread = F.col("hi") > F.col("lo")  # compared exactly, in the type of the column
+        extent = found.agg(F.count(F.lit(1)).alias("cuts"), F.max(F.when(spread, F.col("n"))).alias("spread"),
+                           F.max(F.when(~spread, F.col("n"))).alias("tied")).first()
         keys = [*groups, *path]
         boundary = found.groupBy(*keys).agg(F.first("lo").alias("__lo"), F.first("hi").alias("__hi"))
         binned = attach(binned, boundary, keys, extent["cuts"], ["__at"], how="inner")
-        if (extent["rows"] or 0) <= BIN_ROWS or len(path) == DEPTH:
+        finer_lead = (extent["spread"] or 0) > BIN_ROWS
+        next_lead = (extent["tied"] or 0) > BIN_ROWS and lead + 1 < len(order.leads)
+        if len(path) >= DEPTH or not (finer_lead or next_lead):
             break
         step = f"__b{len(path)}"
-        binned = binned.withColumn(step, _bin(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
-        finer = _histogram(binned, keys, step).select(*keys, F.inline(F.array(_bin_point(step))))
+        if finer_lead:
+            place = _bin(F.col("__lo"), F.col("__hi"), dtype)
+        else:
+            # Rows alike in one column are told apart by the next; bins not alike in it stay as they are.
+            lead += 1
+            tied = F.col("__hi") <= F.col("__lo")
+            binned = binned.withColumn("__lead", F.when(tied, F.col(f"__lead{lead}")))
+            spans = settle(binned.groupBy(*keys).agg(
+                F.min("__lead").alias("__low"), F.max("__lead").alias("__high")))
+            binned = attach(binned, spans, keys, count_cells(spans), ["__at"])
+            dtype = dict(binned.dtypes)["__lead"]
+            place = F.when(tied, _bin(F.col("__low"), F.col("__high"), dtype)).otherwise(0)
+        binned = binned.withColumn(step, place).drop("__lo", "__hi", "__low", "__high")
+        finer = _histogram(binned, keys, step).select(*keys, F.inline(F.array(_bin_point(step, dtype))))
         again = found.select(*keys, F.inline(F.array(_point(
-            pos=F.col("rank") - 1, kind=F.lit(1), total=F.col("total"), i=F.col("i"), rank=F.col("rank")))))
+            dtype, pos=F.col("rank") - 1, kind=F.lit(1), total=F.col("total"), i=F.col("i"), rank=F.col("rank")))))
         found = settle(_place(finer.unionByName(again), keys, step))
         path.append(step)
 
@@ -237,8 +281,8 @@ def cut_classes(
     if not groups:
         rows, groups = rows.withColumn("__all", F.lit(0)), ["__all"]
     if window_fits(rows, groups, only, cutting.most):
-        # Rows that take no part are spread, so that a large group of them is not sorted in one task.
-        apart = F.when(~F.col(only), F.pmod(F.xxhash64(*order.columns), F.lit(BINS))) if only else None
+        # Rows that take no part stand alone, so that a large group of them is not sorted in one task.
+        apart = F.when(~F.col(only), F.xxhash64(*order.columns)) if only else None
         by = [*groups, *([only, apart] if only else [])]
         every = Window.partitionBy(*by)
         made = rows.withColumns({

@@ -25,12 +25,13 @@ def save_clients(
 ) -> None:
     """Write the table with one folder per split and partition.
 
-    Every task writes its own rows, so a large partition is not collected anywhere; files are cut at
-    ``rows_per_file``. No row number is written, so it cannot come back as a feature.
+    Rows are rebalanced by split and partition first, so that a folder gets few files; Spark divides those that
+    are large over several tasks. Files are cut at ``rows_per_file``. No row number is written, so it cannot
+    come back as a feature.
     """
     require_choice("format", fmt, FORMATS)
     require_columns(df, by)
-    writer = df.write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", rows_per_file)
+    writer = df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", rows_per_file)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 

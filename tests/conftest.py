@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tests.check_oracles import session
 
-    made = session()
+    made = session(partitions=3)
     yield made
     made.stop()
 

@@ -17,7 +17,8 @@ def many(spark, n=3000):
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 50 == 1, None).otherwise(
             F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("client"),
-        F.when(F.col("id") == n - 1, F.lit(9 * 10**18)).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("id") == n - 1, F.lit(9 * 10**18)).when(F.col("id") == 3, F.lit(-9 * 10**18)).otherwise(
+            F.col("id")).alias("id"),
         (F.col("id") % 4).cast("string").alias("g"), (F.col("id") % 5 < 3).alias("y"))
     return df
 
@@ -34,6 +35,8 @@ def results(df, names=None):
         "clients": lambda: splits.split_clients(df, SPEC).select("id", "fold"),
         "drop": lambda: perturb.drop_positive(df, SPEC, group_pred("g", "1"), 0.29).select("id", "y"),
         "plan": lambda: perturb.apply_modifications(df, SPEC, plan).select("id", "y"),
+        "ties": lambda: splits.chunk(df.withColumn("day", F.expr("least(abs(id) % 7, 3)")), SPEC, 5, ["day", "id"]
+                                     ).select("id", "chunk"),
         "tiny": lambda: splits.split_folds(df, SPEC, (0.0, 0.0, 1.0)).select("id", "fold"),
     }
     return {k: sorted(map(tuple, made[k]().collect())) for k in names or made}
