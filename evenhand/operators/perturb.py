@@ -20,12 +20,12 @@ def _draw(df: DataFrame, spec: FairSpec, hit: Column, carried: Sequence[str], dr
     Dropping and then flipping the same group are one draw: the flipped rows follow the dropped ones in the
     order, and their number is a share of what the drop leaves.
     """
-    groups = [*spec.client, *carried]
     rows = df.withColumn("__hit", F.coalesce(hit, F.lit(False)))
     rows, order = hash_order(rows, spec.key, seed, only=F.col("__hit"))
     dropped = F.floor(F.col("total") * drop).cast("long")
     flipped = F.floor((F.col("total") - dropped) * flip).cast("long")
-    drawn = cut_classes(rows, groups, order, at_bounds([dropped, dropped + flipped]), "__class", only="__hit")
+    cutting = at_bounds([dropped, dropped + flipped])
+    drawn = cut_classes(rows, spec.client, order, cutting, "__class", only="__hit", carried=carried)
     kept = drawn.where("__class is null or __class > 0")
     label = F.when(F.col("__class") == 1, F.lit(False)).otherwise(F.col(spec.label).cast("boolean"))
     dtype = df.schema[spec.label].dataType
@@ -64,7 +64,6 @@ def apply_modifications(
     size, columns = extent.rows * len(table.columns), extent.columns
     require_columns(df, columns)
     client = spec.client[0]
-    carried = ["__column", "__value", "__drop", "__flip", "__column2", "__value2"]
     for step in extent.steps:
         now = table.where(F.col("seq") == step).select(
             F.col("client").alias("__client"), F.col("column").alias("__column"), F.col("value").alias("__value"),
@@ -83,7 +82,7 @@ def apply_modifications(
         second = F.col("__column2").isNull() | F.col("__value2").isNull() | matches("__column2", "__value2")
         hit = F.col("__column").isNotNull() & matches("__column", "__value") & second
         hit = hit & F.col(spec.label).cast("boolean")
-        drawn = _draw(marked, spec, hit, carried, F.col("__drop"), F.col("__flip"), seed)
+        drawn = _draw(marked, spec, hit, ("__drop", "__flip"), F.col("__drop"), F.col("__flip"), seed)
         df = drawn.select(*df.columns)
     return df
 

@@ -26,6 +26,8 @@ from evenhand.functions import all_of, chunk_bounds, chunk_of, order_key
 from evenhand.plans.runtime import BROADCAST_CELLS, attach, count_cells, settle
 
 BINS = 1024
+# Up to this many cuts per group are compared one by one.
+FEW_CUTS = 3
 # A window ranks groups up to this many rows, as long as the table is small or the groups are many.
 WINDOW_ROWS = 1_000_000
 WINDOW_TOTAL = 100_000_000
@@ -245,8 +247,18 @@ def classify(
 
     ``most`` bounds the number of cuts of a group and sets the number of search steps.
     """
-    joined = attach(rows, cuts, groups, size, order.columns)
     here = F.struct(*[F.col(c).alias(f"o{j}") for j, c in enumerate(order.columns)])
+    if most <= FEW_CUTS:
+        # A few cuts become columns of the small table, so that each row just compares.
+        single = [F.get("cuts", F.lit(i)).alias(f"__cut{i}") for i in range(most)]
+        joined = attach(rows, cuts.select(*groups, *single), groups, size, order.columns)
+        place = F.lit(0)
+        for i in range(most):
+            cut = F.col(f"__cut{i}")
+            passed = F.when(cut.isNull(), 0).when(cut["at"].isNull() | (cut["at"] < here), 1).otherwise(0)
+            place = place + passed
+        return joined.withColumn(out, place).drop(*[f"__cut{i}" for i in range(most)])
+    joined = attach(rows, cuts.select(*groups, "cuts"), groups, size, order.columns)
     joined = joined.withColumn("__here", here).withColumn(out, F.lit(0))
     for exponent in reversed(range(most.bit_length())):
         stride = 1 << exponent
@@ -271,11 +283,13 @@ def window_fits(rows: DataFrame, groups: Sequence[str], only: str | None, most:
 
 
 def cut_classes(
-    rows: DataFrame, groups: Sequence[str], order: Order, cutting: Cutting, out: str, only: str | None = None
+    rows: DataFrame, groups: Sequence[str], order: Order, cutting: Cutting, out: str, only: str | None = None,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``out``: the stretch of its group, numbered from 0, in which a row stands.
 
-    ``only`` names a boolean column; other rows take no part and get null.
+    ``only`` names a boolean column; other rows take no part and get null. ``carried`` are columns the ranks
+    depend on that are the same for all rows of a group taking part.
     """
     columns = rows.columns
     if not groups:
@@ -283,13 +297,14 @@ def cut_classes(
     if window_fits(rows, groups, only, cutting.most):
         # Rows that take no part stand alone, so that a large group of them is not sorted in one task.
         apart = F.when(~F.col(only), F.xxhash64(*order.columns)) if only else None
-        by = [*groups, *([only, apart] if only else [])]
+        by = [*groups, *carried, *([only, apart] if only else [])]
         every = Window.partitionBy(*by)
         made = rows.withColumns({
             "__rn": F.row_number().over(every.orderBy(*order.columns)), "total": F.count(F.lit(1)).over(every)})
         made = made.withColumn(out, cutting.place.cast("int"))
     else:
-        cuts, size = find_cuts(rows.where(only) if only else rows, groups, order, cutting.ranks)
+        taking = rows.where(only) if only else rows
+        cuts, size = find_cuts(taking, [*groups, *carried], order, cutting.ranks)
         made = classify(rows, groups, order, cuts, size, cutting.most, out)
     if only:
         made = made.withColumn(out, F.when(F.col(only), F.col(out)))
