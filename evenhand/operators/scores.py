@@ -69,7 +69,7 @@ def log_loss(df: DataFrame, spec: FairSpec, probability: Column, floor: float =
 def compare_clients(before: DataFrame, after: DataFrame, client: str, column: str) -> DataFrame:
     """(client, ``fairness1``, ``fairness2``); clients must be unique in the first table."""
     if not before.groupBy(client).count().where("count > 1").limit(1).isEmpty():
-        raise ValueError("The client ID column must be unique.")
+        raise ValueError(f"{client!r} is not unique in the first table")
     one = before.select(client, F.col(column).alias("fairness1"))
     two = after.select(client, F.col(column).alias("fairness2"))
     return one.join(two, client)
@@ -85,7 +85,7 @@ def comparison_range(compared: DataFrame, pad: float = 0.05) -> DataFrame:
 def union_tagged(tables: Sequence[DataFrame], names: Sequence[str], name_column: str = "state") -> DataFrame:
     """All rows with a column naming their table; columns are matched by name, missing ones are null."""
     if len(tables) != len(names):
-        raise ValueError("Each DataFrame must have a corresponding name.")
+        raise ValueError(f"{len(tables)} tables but {len(names)} names")
     tagged = [t.withColumn(name_column, F.lit(n)) for t, n in zip(tables, names)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evenhand.functions import client_name, fold_bounds
 from evenhand.operators.ranks import at_bounds, column_order, cut_classes, hash_order, near_equal
 from evenhand.plans.runtime import attach, count_cells, settle
-from evenhand.spec import FairSpec, require_choice
+from evenhand.spec import SETTINGS, FairSpec, require_choice
 
 FOLDS = ("train", "val", "test")
 
@@ -60,8 +60,7 @@ def split_folds(
     In the cross-device setting clients are not cut, so the table is returned as it is; use
     ``split_clients`` there.
     """
-    if setting not in ("cross-silo", "cross-device"):
-        raise ValueError("This train-val-test split strategy is not supported.")
+    require_choice("setting", setting, SETTINGS)
     if setting == "cross-device":
         return df
     names = F.array(*[F.lit(f) for f in FOLDS[: len(fractions)]])

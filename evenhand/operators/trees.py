@@ -92,7 +92,8 @@ def _grow(cells: DataFrame, by: Sequence[str], d: int, depth: int, rate: float,
                 (-F.col("best.nf")).alias("feature"), (-F.col("best.nb")).alias("bin")))))).alias("splits"),
             F.map_from_entries(F.flatten(F.collect_list(F.when(split, F.array(
                 F.struct((F.col("node") * 2).alias("node"), F.col("best.left").alias("value")),
-                F.struct((F.col("node") * 2 + 1).alias("node"), F.col("best.right").alias("value"))))))).alias("leaves"),
+                F.struct((F.col("node") * 2 + 1).alias("node"), F.col("best.right").alias("value"))
+            ))))).alias("leaves"),
             F.max(F.when(F.col("node") == 1, F.col("whole"))).alias("whole"),
         )
         if tree is None:

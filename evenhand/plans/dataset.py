@@ -38,8 +38,8 @@ class DatasetOptions:
     def __post_init__(self):
         require_choice("fairness metric", self.metric, METRICS)
         require_choice("fairness level", self.level, LEVELS)
-        if self.setting is not None and self.setting not in SETTINGS:
-            raise ValueError("This train-val-test split strategy is not supported.")
+        if self.setting is not None:
+            require_choice("setting", self.setting, SETTINGS)
 
 
 class ClientDataset:
@@ -107,8 +107,8 @@ class ClientDataset:
     def save(self, path: str, fmt: str = "csv") -> None:
         """Write one folder per split and partition."""
         if self.options.spec.sensitive:
-            warnings.warn("The data you are saving contains columns with sensitive attributes; remove them "
-                          "before training if they should not be used.", stacklevel=2)
+            warnings.warn("the saved files hold sensitive columns; leave them out where a model must not see them",
+                          stacklevel=2)
         save_clients(self.table, path, fmt)
 
     def to_json(self, **options) -> str:

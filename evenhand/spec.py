@@ -21,12 +21,6 @@ DEFAULT_CLIENTS = (
 
 DEFAULT_SENSITIVE = ("SEX", "MAR", "RAC1P")
 
-PLAN_SCHEMA = (
-    "client string, seq int, `column` string, value string, drop_rate double, flip_rate double, "
-    "column2 string, value2 string"
-)
-
-
 def require_choice(name: str, value: str, allowed: Sequence[str]) -> None:
     if value not in allowed:
         raise ValueError(f"unknown {name} {value!r}; expected one of {', '.join(allowed)}")
@@ -34,7 +28,7 @@ def require_choice(name: str, value: str, allowed: Sequence[str]) -> None:
 
 def require_rate(rate: float) -> None:
     if not 0 <= rate <= 1:
-        raise ValueError("Fraction must be between 0 and 1")
+        raise ValueError(f"a rate must lie between 0 and 1, not {rate}")
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
@@ -63,7 +57,7 @@ TASK_LABELS = {"income": "PINCP", "employment": "ESR"}
 def task(name: str, features: Sequence[str] = (), **options) -> TaskSpec:
     """The named task; the label column holds the survey's own boolean unless ``label_expr`` is given."""
     if name not in TASK_LABELS:
-        raise ValueError("This dataset is not compatible. Please choose income or employment.")
+        raise ValueError(f"unknown task {name!r}; expected income or employment")
     return TaskSpec(name, tuple(features or INCOME_FEATURES), TASK_LABELS[name], **options)
 
 
@@ -122,7 +116,7 @@ def modifications_from_dict(plan: Mapping[str, Mapping[str, Mapping[str, object]
 
 
 def plan_table(spark: SparkSession, plan: Iterable[Modification]) -> DataFrame:
-    """The plan as a table with the columns of ``PLAN_SCHEMA``."""
+    """The plan as a table with one column per field of a modification."""
     rows = list(zip(*[m.row() for m in plan])) or [()] * 8
     types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string())
     names = ("client", "seq", "column", "value", "drop_rate", "flip_rate", "column2", "value2")

@@ -81,7 +81,7 @@ def test_chunks_and_folds(spark, table):
 
 def test_modes_and_order_columns(table):
     df = ten(table)
-    with pytest.raises(ValueError, match="not supported"):
+    with pytest.raises(ValueError, match="unknown setting"):
         splits.split_folds(df, SPEC, setting="other")
     assert "fold" not in splits.split_folds(df, SPEC, setting="cross-device").columns
     with pytest.raises(ValueError, match="order column"):

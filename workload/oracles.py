@@ -320,7 +320,8 @@ ORACLES: dict[str, str] = {
         "strata AS (SELECT client, l_returnflag, l_linestatus, count(*) AS n, floor(count(*) * 0.2::DOUBLE) AS low, "
         "count(*) * 0.2::DOUBLE - floor(count(*) * 0.2::DOUBLE) AS rest FROM v2 GROUP BY ALL)",
         "quota AS (SELECT *, ceil(sum(n) OVER (PARTITION BY client) * 0.2::DOUBLE) "
-        "- sum(low) OVER (PARTITION BY client) AS missing, row_number() OVER (PARTITION BY client ORDER BY rest DESC, l_returnflag, l_linestatus) AS turn "
+        "- sum(low) OVER (PARTITION BY client) AS missing, "
+        "row_number() OVER (PARTITION BY client ORDER BY rest DESC, l_returnflag, l_linestatus) AS turn "
         "FROM strata)",
         then=f"SELECT client, {ITEM_KEY}, rn <= low + (turn <= missing)::INT AS is_test FROM ranked "
         "JOIN quota USING (client, l_returnflag, l_linestatus)"),

@@ -548,7 +548,8 @@ def client_predictions(spark, sf):
 def model_grid(spark, sf):
     held = splits.holdout(t.coded(spark, sf), t.CODED)
     return models.evaluate_models(held, t.CODED, t.CODED_FEATURES, ~F.col("is_test"), F.col("is_test"),
-                                  level="value", options={"LogisticRegression": {"precount": True}, "XGBoost": {"rounds": 2, "depth": 2}})
+                                  level="value", options={"LogisticRegression": {"precount": True},
+                                                          "XGBoost": {"rounds": 2, "depth": 2}})
 
 
 @query
