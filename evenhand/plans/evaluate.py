@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.operators import counts, fairness
-from evenhand.operators.models import FITS, features_of
-from evenhand.operators.splits import first_partitions
+from evenhand.operators.models import FITS, evaluate_models, features_of
+from evenhand.operators.splits import first_partitions, holdout
+from evenhand.plans.runtime import stage
 from evenhand.sources.reports import write_report
 from evenhand.spec import FairSpec, require_choice
 
@@ -49,8 +50,6 @@ def evaluate_fairness(
 def local_audit(df: DataFrame, spec: FairSpec, features: Sequence[str], model: str = "LogisticRegression",
                 metric: str = "DP", test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Each client's own model, fitted on 80 % of its rows: accuracy and gaps on the rest."""
-    from evenhand.operators.models import evaluate_models
-    from evenhand.operators.splits import holdout
-
-    held = holdout(df, spec, test_size, seed)
+    needed = dict.fromkeys([*spec.client, *spec.key, *spec.sensitive, spec.label, *features])
+    held = stage(holdout(df.select(*needed), spec, test_size, seed), "held")
     return evaluate_models(held, spec, features, ~F.col("is_test"), F.col("is_test"), metric, "attribute", (model,))

@@ -12,7 +12,7 @@ from evenhand.operators import counts, fairness, models, perturb, scores, splits
 from evenhand.plans import calibrate as calibration
 from evenhand.plans.dataset import ClientDataset, DatasetOptions
 from evenhand.plans.evaluate import evaluate_fairness, local_audit
-from evenhand.plans.runtime import scratch_path
+from evenhand.plans.runtime import scratch_path, stage
 from evenhand.sources.client_files import load_clients, save_clients
 from evenhand.sources.reports import plan_json, read_scores, write_report
 from evenhand.sources.tables import read_clients
@@ -546,7 +546,7 @@ def client_predictions(spark, sf):
 
 @query
 def model_grid(spark, sf):
-    held = splits.holdout(t.coded(spark, sf), t.CODED)
+    held = stage(splits.holdout(t.coded(spark, sf), t.CODED), "held")
     return models.evaluate_models(held, t.CODED, t.CODED_FEATURES, ~F.col("is_test"), F.col("is_test"),
                                   level="value", options={"LogisticRegression": {"precount": True},
                                                           "XGBoost": {"rounds": 2, "depth": 2}})
