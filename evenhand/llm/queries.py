@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import exact_dedup, near_dedup
+from evenhand.llm import bpe, exact_dedup, near_dedup, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,19 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least USING (doc_id)"""
+
+
+@query
+def op2_token_orc(spark, sf):
+    path = token_files.token_path(spark)
+    token_files.write_tokens(documents(spark, sf), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", token_files.checksum().alias("ids_crc32"))
+
+
+@query
+def op7_byte_bpe(spark, sf):
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode_documents(bpe.encode_documents(documents(spark, sf), *vocabulary), *vocabulary)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
