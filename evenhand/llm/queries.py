@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, near_dedup, token_files
+from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,82 @@ def op7_byte_bpe(spark, sf):
     coded = bpe.decode_documents(bpe.encode_documents(documents(spark, sf), *vocabulary), *vocabulary)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_host_quality(spark, sf):
+    found = quality.judge_quality(documents(spark, sf))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                        F.round("rate", 6).alias("host_rate"), "kept")
+
+
+ORACLES["op6_host_quality"] = """
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')] AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i:i+7] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words)),
+twice AS (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM twice GROUP BY doc_id),
+m AS (
+  SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM words LEFT JOIN covered USING (doc_id)),
+j AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+         OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM m),
+h AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS x FROM j GROUP BY source),
+s AS (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(x) / sum(n) AS p, CAST(sum(n * n) AS DOUBLE) AS nn, sum(x * x / n) AS xx FROM h),
+f AS (SELECT p, (xx - n * p * p - p * (1 - p) * (k - 1)) / (p * (1 - p) * (n - nn / n - (k - 1))) AS alike FROM s),
+r AS (SELECT source, CASE WHEN alike <= 0 THEN p ELSE (x + p * (1 / least(alike, 1) - 1)) / (n + 1 / least(alike, 1) - 1) END AS rate FROM h, f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate,
+       NOT base_failed AND rate <= 0.5 AS kept
+FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source"""
+
+
+@query
+def op9_curriculum_mix(spark, sf):
+    found = mixing.mix(documents(spark, sf))
+    return found.select("doc_id", "size", "source_size", "target", "taken",
+                        F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.lit(1)).alias("second_position"))
+
+
+ORACLES["op9_curriculum_mix"] = """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS size,
+         md5('mix:' || doc_id) AS h FROM documents),
+src AS (
+  SELECT source, place, [5.0::DOUBLE, 2.0, 1.0][place % 3 + 1] AS weight, n AS source_size, CAST(2 * n AS DOUBLE) AS cap
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place
+        FROM sized GROUP BY source)),
+turns AS (
+  SELECT 0 AS turn, -1::BIGINT AS filled, 0.0::DOUBLE AS level
+  UNION ALL
+  SELECT turn + 1, count(*) FILTER (cap <= level * weight),
+         ((SELECT sum(source_size) FROM src) * 1.5::DOUBLE - coalesce(sum(cap) FILTER (cap <= level * weight), 0))
+         / sum(weight) FILTER (cap > level * weight)
+  FROM turns, src GROUP BY turn, filled, level HAVING count(*) FILTER (cap <= level * weight) > filled),
+targets AS (
+  SELECT source, place, source_size, least(cap, weight * (SELECT arg_max(level, turn) FROM turns)) AS target FROM src),
+placed AS (
+  SELECT doc_id, size, place, source_size, target, floor(target / source_size) AS rounds,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(2, rounds + CAST(before + size / 2 < target - rounds * source_size AS INT)) END AS copies
+  FROM placed),
+shares AS (
+  SELECT *, CASE WHEN copies > 0 THEN least(1, (before + size / 2) / target) END AS one,
+         CASE WHEN copies > 1 THEN least(1, (source_size + before + size / 2) / target) END AS two FROM taken)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+       round(DUE(one), 9) AS position, round(DUE(two), 9) AS second_position
+FROM shares"""
+for _c in ("one", "two"):
+    ORACLES["op9_curriculum_mix"] = ORACLES["op9_curriculum_mix"].replace(f"DUE({_c})", f"""CASE
+         WHEN place % 3 = 0 THEN 2 * {_c} / (1.5 + sqrt(2.25 - 2 * {_c}))
+         WHEN place % 3 = 1 THEN {_c}
+         WHEN {_c} < 0.3125 THEN 2 * {_c} / (0.25 + sqrt(0.0625 + 3 * {_c}))
+         ELSE 0.5 + 2 * ({_c} - 0.3125) / (1 + sqrt(1 + 3 * ({_c} - 0.3125))) END""")
