@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_files
+from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_files, url_filter
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,32 @@ for _c in ("one", "two"):
          WHEN place % 3 = 1 THEN {_c}
          WHEN {_c} < 0.3125 THEN 2 * {_c} / (0.25 + sqrt(0.0625 + 3 * {_c}))
          ELSE 0.5 + 2 * ({_c} - 0.3125) / (1 + sqrt(1 + 3 * ({_c} - 0.3125))) END""")
+
+
+URL_RULES = (url_filter.UrlRule("allow", "org", "/"), url_filter.UrlRule("block", "example.org", "/es/"),
+             url_filter.UrlRule("block", "example.org", "/en/1"), url_filter.UrlRule("allow", "com", "/fr/"),
+             url_filter.UrlRule("block", "com", "/de/"))
+# Parts of host names that put a host of the corpus on the list.
+HOST_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+
+
+@query
+def op4_url_cascade(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return url_filter.judge_urls(pages, URL_RULES, url_filter.hosts_with_words(pages, HOST_WORDS))
+
+
+ORACLES["op4_url_cascade"] = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict,
+       CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (page_id)"""
