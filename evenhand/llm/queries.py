@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_files, url_filter
+from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,22 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict,
        CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (page_id)"""
+
+
+def joined_spans(spans, kinds=None):
+    """kind:start:end of the spans, or of those of some kinds, joined by commas."""
+    chosen = spans if kinds is None else F.filter(spans, lambda s: s["kind"].isin(list(kinds)))
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def counted(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op3_personal_data(spark, sf):
+    spans, base = F.col("spans"), ("email", "ip", "card", "phone")
+    found = pii.personal_data(documents(spark, sf))
+    return found.select("doc_id", *[counted(spans, k) for k in base], counted(spans, "iban"),
+                        F.sha2(joined_spans(spans, base), 256).alias("base_sha256"), joined_spans(spans).alias("spans"),
+                        F.transform(spans, lambda s: s["score"]).alias("scores"))
