@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
+from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, secrets, token_files, url_filter
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,11 @@ def op3_personal_data(spark, sf):
     return found.select("doc_id", *[counted(spans, k) for k in base], counted(spans, "iban"),
                         F.sha2(joined_spans(spans, base), 256).alias("base_sha256"), joined_spans(spans).alias("spans"),
                         F.transform(spans, lambda s: s["score"]).alias("scores"))
+
+
+@query
+def op1_secrets(spark, sf):
+    spans, base = F.col("spans"), secrets.PATTERN_KINDS
+    found = secrets.scan_secrets(documents(spark, sf))
+    return found.select("doc_id", *[counted(spans, k) for k in secrets.KINDS],
+                        F.sha2(joined_spans(spans, base), 256).alias("base_sha256"), joined_spans(spans).alias("spans"))
