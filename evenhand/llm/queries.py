@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, secrets, token_files, url_filter
+from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, secrets, token_files, toxicity, url_filter
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +205,11 @@ def op1_secrets(spark, sf):
     found = secrets.scan_secrets(documents(spark, sf))
     return found.select("doc_id", *[counted(spans, k) for k in secrets.KINDS],
                         F.sha2(joined_spans(spans, base), 256).alias("base_sha256"), joined_spans(spans).alias("spans"))
+
+
+@query
+def op8_toxic_spans(spark, sf):
+    docs = documents(spark, sf)
+    found = toxicity.score_documents(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    offsets = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(offsets, ",").alias("offending"))
