@@ -1,27 +1,58 @@
-"""From raw documents to a training order of token ids: quality, exact and near duplicates, mixing, encoding."""
+"""From raw documents to token ids in training order: quality rules, exact and near duplicates, mixing, encoding.
+
+Every stage works on all rows that the one before it kept; what it returns is written as Parquet and read again. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evenhand.llm.bpe import BytePairs
+from evenhand.llm.common import text_of
 from evenhand.llm.exact_dedup import drop_exact_duplicates
+from evenhand.llm.mixing import arrange
 from evenhand.llm.near_dedup import drop_near_duplicates
+from evenhand.llm.quality import drop_low_quality
 from evenhand.plans.runtime import stage
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule, or whose host fails, go."""
+    return drop_low_quality(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, the one with the largest id stays."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar sets of five-word shingles, the one with the smallest id stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them, sorted by their position in training."""
+    return arrange(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Id, source, number of tokens and packed ids of every row, in the order of the rows before."""
+    pairs = BytePairs(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = docs.select("doc_id", "source", pairs.encode(text_of()).alias("ids"))
+    return coded.select("doc_id", "source", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
+#: Hashes of circulant permutations and merges of byte pairs are beyond SQL; the tests rebuild the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of a folder of tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
