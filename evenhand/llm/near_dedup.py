@@ -24,6 +24,8 @@ from evenhand.plans.runtime import stage
 SKETCH = ("s0", "s1", "s2", "s3", "s4", "s5")
 # Shingles whose coordinates are computed at a time, so that a very long text needs no more memory.
 BLOCK = 2048
+# Outsiders and members of a cluster that are compared in one group.
+OUTSIDERS, MEMBERS = 64, 128
 
 
 @dataclass(frozen=True)
@@ -206,21 +208,18 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
 
     members = named.select("rep", F.explode("bands").alias("bucket"))
     hubs = stage(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "hubs")
-    shared = stage(members.join(hubs.select("bucket", "hub"), "bucket"), "shared")
+    shared = stage(members.join(hubs, "bucket"), "shared")
     pairs = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = stage(_promising(stage(pairs, "pairs"), named, p), "promising")
-    labels = _linked(docs, pairs, None, p, text, doc_id)
-
-    # Members of a bucket outside its hub's component: they may be linked with any other member.
-    hub_label = _labelled("hub", _labelled("rep", shared, labels), labels)
-    placed = stage(hub_label.select("bucket", "rep", "c_rep", (F.col("c_rep") != F.col("c_hub")).alias("out")), "placed")
-    outside = placed.filter("out").select("bucket", F.col("rep").alias("a"), F.col("c_rep").alias("c_a"))
-    inside = placed.join(outside.select("bucket").distinct(), "bucket", "left_semi").select(
-        "bucket", F.col("rep").alias("b"), F.col("c_rep").alias("c_b"), "out")
-    rest = stage(outside.join(inside, "bucket").filter("c_a <> c_b and (not out or a < b)").select("a", "b").distinct(), "rest")
-    rest = stage(_promising(rest, named, p).join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-    labels = _linked(docs, rest, labels, p, text, doc_id)
+    labels = _linked(docs, pairs, p, text, doc_id)
+
+    # Members of a bucket outside its hub's component may be linked with any other member.
+    hub_label = _labelled("hub", _labelled("rep", shared.filter("m > 2"), labels), labels)
+    placed = stage(hub_label.select("bucket", "rep", "c_rep", "c_hub", (F.col("c_rep") != F.col("c_hub")).alias("out")), "placed")
+    more = stage(_leftover_links(docs, placed, named, p, text, doc_id), "leftover")
+    if not more.isEmpty():
+        known = labels.filter("vertex <> label").select(F.col("vertex").alias("a"), F.col("label").alias("b"))
+        labels = component_labels(known.unionByName(more))
 
     final = _labelled("rep", classes.select("key", "rep", "copies"), labels)
     final = stage(final.select("key", F.col("c_rep").alias("component_id"), "copies"), "components")
@@ -230,26 +229,83 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _leftover_links(docs: DataFrame, placed: DataFrame, named: DataFrame, p: NearDedup, text: str, doc_id: str) -> DataFrame:
+    """Links (a, b) between documents of different components that share a bucket but not its hub's component.
+
+    Buckets whose hubs are of one component form a cluster, so a pair in many buckets is met once. The outsiders of
+    a cluster and all its members are dealt in blocks, each pair of blocks to one bounded group, which yields only
+    the links it finds, the first for each component that an outsider is linked to.
+    """
+    open_buckets = placed.filter("out").select("bucket").distinct()
+    members = stage(placed.join(open_buckets, "bucket", "left_semi").select(
+        F.col("c_hub").alias("cluster"), "rep", "c_rep", "out").distinct(), "members")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    sizes = stage(members.groupBy("cluster").agg(
+        blocks(F.count_if("out"), OUTSIDERS).alias("n_out"), blocks(F.count("*"), MEMBERS).alias("n_all")), "sizes")
+    dealt = members.join(sizes, "cluster")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.filter("out").select("cluster", "rep", "c_rep", F.lit(True).alias("asks"), "out", deal(F.col("n_out")).alias("o"), every("n_all").alias("m"))
+    asked = dealt.select("cluster", "rep", "c_rep", F.lit(False).alias("asks"), "out", every("n_out").alias("o"), deal(F.col("n_all")).alias("m"))
+    sets = _sets_of(docs, members.select(F.col("rep").alias("v")).distinct(), p, text, doc_id)
+    known = stage(sets.withColumnRenamed("v", "rep").join(named.select("rep", *SKETCH), "rep"), "known")
+    rows = stage(asking.unionByName(asked), "dealt").join(known, "rep")
+    kind = dict(named.dtypes)["rep"]
+    return rows.groupBy("cluster", "o", "m").applyInArrow(lambda t: _block_links(t, p), f"a {kind}, b {kind}").distinct()
+
+
+def _block_links(table: pa.Table, p: NearDedup) -> pa.Table:
+    """Links between the asking rows of a pair of blocks and the others, by sketches first and then by full sets."""
+    reps, comps = table.column("rep").to_pylist(), table.column("c_rep").to_pylist()
+    asks, out = (np.array(table.column(c).to_pylist(), bool) for c in ("asks", "out"))
+    sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in SKETCH])
+    lists = table.column("items").combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    sets = [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+    sizes = np.diff(ends).astype(np.int64)
+    others, links = np.flatnonzero(~asks), []
+    for i in np.flatnonzero(asks).tolist():
+        x = sketch[:, others] ^ sketch[:, i, None]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        agreeing = 16 * len(SKETCH) - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=0, dtype=np.int64)
+        near = np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * p.percent
+        chosen = np.flatnonzero((agreeing >= p.least_agreeing) & near)
+        joined = {comps[i]}
+        for j in others[chosen[np.argsort(-agreeing[chosen], kind="stable")]].tolist():
+            if comps[j] in joined or (out[j] and reps[j] < reps[i]):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * 100 >= (sizes[i] + sizes[j] - both) * p.percent:
+                joined.add(comps[j])
+                links.append((reps[i], reps[j]))
+    kind = table.schema.field("rep").type
+    return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+
+
+def _sets_of(docs: DataFrame, needed: DataFrame, p: NearDedup, text: str, doc_id: str) -> DataFrame:
+    """(v, items), staged: the full shingle sets of the documents whose ids are in ``needed``."""
+    rows = docs.select(F.col(doc_id).alias("v"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    kind = rows.dtypes[0][1]
+    return stage(rows.join(stage(needed, "needed"), "v", "left_semi").mapInArrow(
+        lambda it: _sets(it, p), f"v {kind}, items array<bigint>").dropDuplicates(["v"]), "sets")
+
+
 def _set_key() -> Column:
     """One key of a whole set: its size and two sums over its shingles."""
     return F.concat_ws(":", "n_shingles", F.hex("h1"), F.hex("h2"))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, labels: DataFrame | None, p: NearDedup, text: str, doc_id: str) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, p: NearDedup, text: str, doc_id: str) -> DataFrame:
     """Components after confirming pairs: first the most promising pair of each document, then those still open."""
     spark = docs.sparkSession
     kind = pairs.dtypes[0][1]
-    if labels is None:
-        labels = spark.createDataFrame([], f"vertex {kind}, label {kind}")
     if pairs.isEmpty():
-        return labels
-    needed = stage(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "needed")
-    rows = docs.select(F.col(doc_id).alias("v"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    sets = stage(rows.join(needed, "v", "left_semi").mapInArrow(
-        lambda it: _sets(it, p), f"v {kind}, items array<bigint>").dropDuplicates(["v"]), "sets")
-    links = labels.filter("vertex <> label").select(F.col("vertex").alias("a"), F.col("label").alias("b"))
+        return spark.createDataFrame([], f"vertex {kind}, label {kind}")
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), p, text, doc_id)
     best = pairs.groupBy("b").agg(F.max_by("a", "agreeing").alias("a")).select("a", "b")
-    links = stage(links.unionByName(_confirmed(stage(best, "best"), sets, p)), "links")
+    best = stage(best, "best")
+    links = stage(_confirmed(best, sets, p), "links")
     labels = component_labels(links)
     open_pairs = stage(_crossing(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti"), "open")
     if open_pairs.isEmpty():
