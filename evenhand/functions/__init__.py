@@ -30,9 +30,9 @@ def group_pred(column: str, value, column2: str | None = None, value2=None) -> C
     return F.coalesce(pred, F.lit(False))
 
 
-def remap_column(column: Column, mapping: Mapping) -> Column:
-    """Replace all codes at once; a code that is not in the mapping stays."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def remap_column(column: Column, mapping: Mapping, dtype: T.DataType) -> Column:
+    """Replace all codes at once, in the column's own type; a code that is not in the mapping stays as it is."""
+    table = F.create_map(*[F.lit(x).cast(dtype) for pair in mapping.items() for x in pair])
     return F.coalesce(F.element_at(table, column), column)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from evenhand.functions import all_of
 from evenhand.operators.splits import first_partitions
+from evenhand.plans.runtime import join_alike
 from evenhand.spec import LEVELS, METRICS, FairSpec, require_choice
 
 
@@ -101,7 +102,7 @@ def pair_gaps(rates: DataFrame, spec: FairSpec, metric: str) -> DataFrame:
     right = rates.select(*by, F.col("g").alias("g_j"), F.col("__t").alias("tj"), F.col("__f").alias("fj"))
     dt, df = F.col("ti") - F.col("tj"), F.col("fi") - F.col("fj")
     gap = dt if metric == "DP" else F.when(F.abs(dt) >= F.abs(df), dt).otherwise(df)
-    return left.join(right, by).select(
+    return join_alike(left, right, by).select(
         *by, F.lit(metric).alias("metric"), F.concat_ws("_", "g_i", "g_j").alias("pair"), "g_i", "g_j",
         gap.alias("gap"))
 
@@ -165,15 +166,22 @@ def fairness(
 
 
 def wide(
-    gaps: DataFrame, spec: FairSpec, metric: str, level: str, attributes: Sequence[str] | None = None
+    gaps: DataFrame, spec: FairSpec, metric: str, level: str, attributes: Sequence[str] | None = None,
+    pairs: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per client. ``{attribute}_{metric}`` and ``{attribute}_val`` per attribute, or one column per pair.
 
-    ``_val`` holds the pair at level ``value`` and repeats the gap at level ``attribute``.
+    ``_val`` holds the pair at level ``value`` and repeats the gap at level ``attribute``. Pairs of one attribute
+    are named as they are, those of several ``{attribute}_{pair}``. ``pairs`` names the columns wanted; without it
+    they are looked up, and Spark allows as many as spark.sql.pivotMaxValues says. The long form has no such bound.
     """
     by = list(spec.client)
     if level == "attribute-value":
-        return gaps.groupBy(*by).pivot("pair").agg(F.first("gap"))
+        chosen = list(attributes or spec.sensitive)
+        mine = gaps.where(F.col("attribute").isin(chosen)) if attributes else gaps
+        name = F.col("pair") if len(chosen) == 1 else F.concat_ws("_", "attribute", "pair")
+        return mine.withColumn("__name", name).groupBy(*by).pivot("__name", list(pairs) if pairs else None).agg(
+            F.first("gap"))
     columns = []
     for a in attributes or spec.sensitive:
         mine = F.col("attribute") == a

@@ -7,7 +7,7 @@ are spread over clients, so a client holding a third of them costs no more than
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evenhand.operators.scores import score_table
 from evenhand.operators.transform import feature_view
 from evenhand.operators.trees import fit_predict_trees
-from evenhand.plans.runtime import attach, count_cells, settle, stage
+from evenhand.plans.runtime import attach, count_cells, join_alike, settle, stage
 from evenhand.spec import FairSpec, require_choice
 
 
@@ -71,7 +71,7 @@ def fit_logistic(
     features: Sequence[str],
     by: Sequence[str] = ("client",),
     l2: float = 1.0,
-    max_iter: int = 50,
+    max_iter: int = 100,
     tolerance: float = 1e-6,
     precount: bool = False,
     staged: bool = True,
@@ -80,12 +80,13 @@ def fit_logistic(
 
     The features and labels are written out once, so that the steps do not repeat what led to them; pass
     ``staged=False`` when ``df`` is a stored table already. ``precount`` counts equal rows before, which pays
-    when features are codes with few combinations.
+    when features are codes with few combinations. Rows without a label or without one of the features take no
+    part. Clients that have not converged after ``max_iter`` steps are an error.
     """
     d = len(features)
     rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"),
                      *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])
-    rows = rows.where(F.col("y").isNotNull())
+    rows = rows.dropna()
     if precount:
         rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("m"))
     else:
@@ -111,7 +112,7 @@ def fit_logistic(
         if state is None:
             known = sums.withColumns({"w": zero, "w_last": zero, "loss_last": F.lit(float("inf"))})
         else:
-            known = sums.join(state.drop("move"), list(by))
+            known = join_alike(sums, state.drop("move"), list(by))
         types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
         schema = ", ".join(f"`{c}` {types[c]}" for c in by)
         state = settle(known.mapInPandas(
@@ -120,6 +121,8 @@ def fit_logistic(
         size = reached["n"] * (d + 1)
         if reached["move"] is None or reached["move"] < tolerance:
             break
+    else:
+        raise ArithmeticError(f"a client's weights still move by {reached['move']:.2g} after {max_iter} steps")
     return state.select(*by, "w")
 
 
@@ -147,24 +150,49 @@ def fit_predict_logistic(
 
 
 FITS = {"LogisticRegression": fit_predict_logistic, "XGBoost": fit_predict_trees}
+# Anything with the signature of ``fit_predict_logistic`` can stand in for a named model.
+Model = Callable[..., DataFrame]
+
+
+def fits_of(models: Sequence[str] | Mapping[str, Model]) -> dict[str, Model]:
+    """The models by name: those of this library, or one's own."""
+    if isinstance(models, Mapping):
+        return dict(models)
+    for name in models:
+        require_choice("model", name, tuple(FITS))
+    return {name: FITS[name] for name in models}
+
+
+def pipeline_model(estimator, features_column: str = "features") -> Model:
+    """A ``pyspark.ml`` estimator fitted on the training rows of all clients together, as a model."""
+    def fit_predict(df: DataFrame, spec: FairSpec, features: Sequence[str], train: Column, test: Column,
+                    by: Sequence[str] | None = None) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in features]))
+        coded = df.withColumns({features_column: vector, "__label": F.col(spec.label).cast("boolean").cast("double")})
+        fitted = estimator.copy({estimator.labelCol: "__label", estimator.featuresCol: features_column}).fit(coded.where(train))
+        made = fitted.transform(coded.where(test))
+        return made.select(*df.columns, (F.col("prediction") > 0).alias("prediction"))
+
+    return fit_predict
 
 
 def score_models(
     df: DataFrame, spec: FairSpec, features: Sequence[str], train: Column, test: Column,
-    models: Sequence[str] = tuple(FITS), options: Mapping[str, Mapping] = {},
+    models: Sequence[str] | Mapping[str, Model] = tuple(FITS), options: Mapping[str, Mapping] = {},
 ) -> DataFrame:
     """The test rows once per model, with ``model`` and ``prediction``."""
     scored = None
-    for name in models:
-        require_choice("model", name, tuple(FITS))
-        one = FITS[name](df, spec, features, train, test, **options.get(name, {})).withColumn("model", F.lit(name))
+    for name, fit_predict in fits_of(models).items():
+        one = fit_predict(df, spec, features, train, test, **options.get(name, {})).withColumn("model", F.lit(name))
         scored = one if scored is None else scored.unionByName(one)
     return scored
 
 
 def evaluate_models(
     df: DataFrame, spec: FairSpec, features: Sequence[str], train: Column, test: Column,
-    metric: str = "DP", level: str = "attribute", models: Sequence[str] = tuple(FITS),
+    metric: str = "DP", level: str = "attribute", models: Sequence[str] | Mapping[str, Model] = tuple(FITS),
     options: Mapping[str, Mapping] = {},
 ) -> DataFrame:
     """The score table of all models on all clients: ``model``, ``accuracy``, gaps, and ``dataset``, the client."""

@@ -35,22 +35,60 @@ WINDOW_TOTAL = 100_000_000
 BIN_ROWS = 1_000_000
 # The hash order is binned by its first 15 hexadecimal digits.
 HASH_SPAN = (0, 16**15 - 1)
-# Bins are split at most this often; a bin that is still large is ranked as it is.
-DEPTH = 8
+# A text is binned by so many bytes at a time.
+CHUNK = 7
 
 
 @dataclass(frozen=True)
 class Order:
-    """Columns to order by, and the first few of them as numbers to bin by.
+    """Columns to order by, and numbers to bin them by.
 
-    Each of ``leads`` never decreases along the order among rows alike in those before it. ``span`` bounds the
-    first one if that is known beforehand.
+    ``leads`` names for each column in turn how it becomes numbers; each never decreases along the order among
+    rows alike in those before it. Texts become one number per CHUNK bytes, as many as the longest text has. ``span``
+    bounds the first number if that is known beforehand.
     """
 
     columns: tuple[str, ...]
-    leads: tuple[Column, ...]
+    types: tuple[str, ...]
     span: tuple[int, int] | None = None
 
+    def leads(self, rows: DataFrame, at: str) -> list[Column]:
+        """The numbers as expressions over the struct column ``at``; one job finds the longest texts, if any."""
+        value = [F.col(f"{at}.o{j}") for j in range(len(self.columns))]
+        texts = [j for j, t in enumerate(self.types) if t == "text"]
+        longest = rows.agg(*[F.max(F.octet_length(value[j].cast("binary"))).alias(f"n{j}") for j in texts]).first() if texts else {}
+        made: list[Column] = []
+        for j, kind in enumerate(self.types):
+            if kind == "hash":
+                made.append(F.conv(F.substring(value[j], 1, 15), 16, 10).cast("long"))
+            elif kind == "long":
+                made.append(value[j].cast("long"))
+            elif kind == "time":
+                made.append(F.unix_micros(value[j]))
+            elif kind == "date":
+                made.append(F.unix_date(value[j]).cast("long"))
+            elif kind == "clock":
+                seconds = F.hour(value[j]) * 3600 + F.minute(value[j]) * 60 + F.second(value[j])
+                made.append(F.unix_date(value[j].cast("date")).cast("long") * 86400 + seconds)
+            elif kind == "double":
+                made += [_magnitude(value[j].cast("double")), value[j].cast("double")]
+            else:
+                made += [_letters(value[j], i) for i in range(-(-(longest[f"n{j}"] or 0) // CHUNK))]
+        return made or [F.lit(0).cast("long")]
+
+
+def _magnitude(x: Column) -> Column:
+    """Sign and power of two of a double as a whole number; infinities and NaN stand apart, in Spark's order."""
+    power = F.floor(F.log2(F.abs(x))).cast("long") + 2000
+    return (F.when(F.isnan(x), 9000).when(F.abs(x) == float("inf"), F.signum(x) * 8000)
+            .when(x == 0, 0).otherwise(F.signum(x) * power)).cast("long")
+
+
+def _letters(text: Column, place: int) -> Column:
+    """The bytes of a text at a place as one number; a text that is over counts as zeros."""
+    part = F.substring(text.cast("binary"), 1 + CHUNK * place, CHUNK)
+    return F.conv(F.rpad(F.hex(part), 2 * CHUNK, "0"), 16, 10).cast("long")
+
 
 @dataclass(frozen=True)
 class Cutting:
@@ -81,40 +119,34 @@ def hash_order(
     """Order by the seeded hash of the key, ties by the key; rows outside ``only`` are not hashed."""
     digest = order_key(key, seed)
     hashed = rows.withColumn("__hash", digest if only is None else F.when(only, digest))
-    lead = F.conv(F.substring("__hash", 1, 15), 16, 10).cast("long")
-    return hashed, Order(("__hash", *key), (lead,), HASH_SPAN)
-
-
-def _number(column: str, dtype: T.DataType) -> tuple[Column | None, bool]:
-    """A column as a number in the same order, if its type allows that; and whether equal numbers mean ties."""
-    value = F.col(column)
-    if isinstance(dtype, T.IntegralType):
-        return value.cast("long"), True
-    if isinstance(dtype, T.NumericType):
-        return value.cast("double"), isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(value), True
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(value).cast("long"), True
-    if isinstance(dtype, T.TimestampNTZType):
-        clock = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
-        return F.unix_date(value.cast("date")).cast("long") * 86400 + clock, False
-    return None, False
+    kinds = _kinds(rows, key)
+    return hashed, Order(("__hash", *key), ("hash", *kinds), HASH_SPAN)
 
 
-def column_order(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Order]:
-    """Order by the given columns; the first must be a number, date or time, the last ones make it total."""
-    leads = []
+def _kinds(rows: DataFrame, columns: Sequence[str]) -> tuple[str, ...]:
+    """How each column becomes numbers; columns after one that cannot be binned are not binned."""
+    kinds = []
     for c in columns:
-        lead, exact = _number(c, rows.schema[c].dataType)
-        if lead is not None:
-            leads.append(lead)
-        if not exact:
+        dtype = rows.schema[c].dataType
+        found = next((kind for types, kind in (
+            ((T.IntegralType,), "long"), ((T.NumericType,), "double"), ((T.TimestampType,), "time"), ((T.DateType,), "date"),
+            ((T.TimestampNTZType,), "clock"), ((T.StringType, T.BinaryType), "text"), ((T.BooleanType,), "long"))
+            if isinstance(dtype, types)), None)
+        if found is None:
             break
-    if not leads:
+        kinds.append(found)
+        if found == "clock" or isinstance(dtype, T.DecimalType):
+            break  # equal numbers need not be ties
+    return tuple(kinds)
+
+
+def column_order(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Order]:
+    """Order by the given columns, nulls first; the last ones make it total."""
+    kinds = _kinds(rows, columns)
+    if not kinds:
         found = rows.schema[columns[0]].dataType.simpleString()
         raise ValueError(f"cannot bin the order column {columns[0]!r} of type {found}")
-    return rows, Order(tuple(columns), tuple(leads))
+    return rows, Order(tuple(columns), kinds)
 
 
 def _away(value: Column, lo: Column, dtype: str) -> Column:
@@ -127,10 +159,11 @@ def _away(value: Column, lo: Column, dtype: str) -> Column:
 
 
 def _bin(lo: Column, hi: Column, dtype: str = "bigint") -> Column:
-    """Equal-width bin of ``__lead`` between lo and hi; never decreases with ``__lead``."""
+    """Equal-width bin of ``__lead`` between lo and hi; never decreases with ``__lead``. Nulls have a bin below all."""
     at, width = _away(F.col("__lead"), lo, dtype), _away(hi, lo, dtype)
-    place = F.floor(at / F.greatest(width, F.lit(1e-300)) * BINS)
-    return F.when(width <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place))).cast("int")
+    place = F.floor(F.nanvl(at / F.greatest(width, F.lit(1e-300)), F.lit(0.0)) * BINS)
+    inside = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place))
+    return F.when(F.col("__lead").isNull(), -1).when(F.coalesce(hi > lo, F.lit(False)), inside).otherwise(0).cast("int")
 
 
 def _histogram(rows: DataFrame, by: Sequence[str], step: str) -> DataFrame:
@@ -174,8 +207,9 @@ def find_cuts(rows: DataFrame, groups: Sequence[str], order: Order, ranks: Colum
     (``i``, ``at``); ``at`` is null for rank 0.
     """
     at = F.struct(*[F.col(c).alias(f"o{j}") for j, c in enumerate(order.columns)])
-    leads = [lead.alias(f"__lead{j}") for j, lead in enumerate(order.leads)]
-    rows = rows.select(*groups, *leads, at.alias("__at")).withColumn("__lead", F.col("__lead0"))
+    rows = rows.select(*groups, at.alias("__at"))
+    leads = order.leads(rows, "__at")
+    rows = rows.withColumn("__lead", leads[0])
     dtype = dict(rows.dtypes)["__lead"]
     if order.span is not None:
         lo, hi = (F.lit(v) for v in order.span)
@@ -198,15 +232,15 @@ def find_cuts(rows: DataFrame, groups: Sequence[str], order: Order, ranks: Colum
 
     path, lead = ["__b0"], 0
     while True:
-        spread = F.col("hi") > F.col("lo")  # compared exactly, in the type of the column
+        spread = F.coalesce(F.col("hi") > F.col("lo"), F.lit(False))  # compared exactly, in the type of the column
         extent = found.agg(F.count(F.lit(1)).alias("cuts"), F.max(F.when(spread, F.col("n"))).alias("spread"),
                            F.max(F.when(~spread, F.col("n"))).alias("tied")).first()
         keys = [*groups, *path]
         boundary = found.groupBy(*keys).agg(F.first("lo").alias("__lo"), F.first("hi").alias("__hi"))
         binned = attach(binned, boundary, keys, extent["cuts"], ["__at"], how="inner")
         finer_lead = (extent["spread"] or 0) > BIN_ROWS
-        next_lead = (extent["tied"] or 0) > BIN_ROWS and lead + 1 < len(order.leads)
-        if len(path) >= DEPTH or not (finer_lead or next_lead):
+        next_lead = (extent["tied"] or 0) > BIN_ROWS and lead + 1 < len(leads)
+        if not (finer_lead or next_lead):
             break
         step = f"__b{len(path)}"
         if finer_lead:
@@ -214,14 +248,15 @@ def find_cuts(rows: DataFrame, groups: Sequence[str], order: Order, ranks: Colum
         else:
             # Rows alike in one column are told apart by the next; bins not alike in it stay as they are.
             lead += 1
-            tied = F.col("__hi") <= F.col("__lo")
-            binned = binned.withColumn("__lead", F.when(tied, F.col(f"__lead{lead}")))
+            tied = ~F.coalesce(F.col("__hi") > F.col("__lo"), F.lit(False))
+            binned = binned.withColumn("__lead", F.when(tied, leads[lead]))
             spans = settle(binned.groupBy(*keys).agg(
                 F.min("__lead").alias("__low"), F.max("__lead").alias("__high")))
             binned = attach(binned, spans, keys, count_cells(spans), ["__at"])
             dtype = dict(binned.dtypes)["__lead"]
-            place = F.when(tied, _bin(F.col("__low"), F.col("__high"), dtype)).otherwise(0)
-        binned = binned.withColumn(step, place).drop("__lo", "__hi", "__low", "__high")
+            binned = binned.withColumn("__untold", ~tied)
+            place = F.when(F.col("__untold"), 0).otherwise(_bin(F.col("__low"), F.col("__high"), dtype))
+        binned = binned.withColumn(step, place).drop("__lo", "__hi", "__low", "__high", "__untold")
         finer = _histogram(binned, keys, step).select(*keys, F.inline(F.array(_bin_point(step, dtype))))
         again = found.select(*keys, F.inline(F.array(_point(
             dtype, pos=F.col("rank") - 1, kind=F.lit(1), total=F.col("total"), i=F.col("i"), rank=F.col("rank")))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.operators.fairness import cells, group_rates, worst_pairs
+from evenhand.plans.runtime import join_alike
 from evenhand.spec import FairSpec, require_choice
 
 # The two models, thresholds and bounds the calibration and the client selection use.
@@ -22,8 +23,14 @@ SHORT_NAMES = {"RAC1P": "RACE"}
 
 # --- measuring scored rows ---------------------------------------------------------------------------------
 
+def unscored(df: DataFrame, spec: FairSpec) -> DataFrame:
+    """(client..., ``rows``, ``unscored``): how many rows lack a label or a prediction, and so count nowhere else."""
+    missing = F.col(spec.label).isNull() | F.col(spec.prediction or spec.label).isNull()
+    return df.groupBy(*spec.client).agg(F.count(F.lit(1)).alias("rows"), F.count_if(missing).alias("unscored"))
+
+
 def accuracy(df: DataFrame, spec: FairSpec) -> DataFrame:
-    """(client..., ``n``, ``accuracy``)"""
+    """(client..., ``n``, ``accuracy``) over the rows that have a label and a prediction; ``unscored`` counts the others."""
     right = F.sum(F.when(F.col("__y") == F.col("__p"), F.col("n")).otherwise(0))
     return cells(df, spec).groupBy(*spec.client).agg(
         F.sum("n").alias("n"), (right / F.sum("n")).alias("accuracy"))
@@ -49,7 +56,7 @@ def score_table(df: DataFrame, spec: FairSpec, metric: str = "DP", level: str =
                 empty: str = "zero") -> DataFrame:
     """Accuracy and gaps of scored rows, one row per client (and model, if that is a client column)."""
     right = accuracy(df, spec).drop("n")
-    return right.join(score_fairness(df, spec, metric, level, empty=empty), list(spec.client))
+    return join_alike(right, score_fairness(df, spec, metric, level, empty=empty), list(spec.client))
 
 
 def weighted_metric(metrics: DataFrame, value: str = "accuracy", n: str = "n", by: Sequence[str] = ()) -> DataFrame:
@@ -111,7 +118,16 @@ def attribute_vote(scores: DataFrame, metric: str = "DP", models: Sequence[str]
 
 
 def _code(pair: Column, place: int) -> Column:
-    return F.get(F.split(pair, "_"), F.lit(place)).try_cast("double").cast("int")
+    """The first or last code of a pair; null unless the pair is two numbers."""
+    two = F.regexp_extract(pair, r"^(-?[0-9]+(?:\.[0-9]+)?)_(-?[0-9]+(?:\.[0-9]+)?)$", place + 1)
+    return two.try_cast("double").cast("int")
+
+
+def _require_codes(scores: DataFrame, column: str) -> None:
+    """Votes by value plan changes by code, so labels that are not numbers are an error and not an undecided vote."""
+    odd = scores.where(F.col(column).isNotNull() & _code(F.col(column), 0).isNull()).select(column).limit(1).collect()
+    if odd:
+        raise ValueError(f"{odd[0][0]!r} in {column} is not a pair of numeric codes")
 
 
 def value_vote(scores: DataFrame, metric: str = "DP", models: Sequence[str] = MODELS) -> DataFrame:
@@ -120,6 +136,7 @@ def value_vote(scores: DataFrame, metric: str = "DP", models: Sequence[str] = MO
     ``vote`` is that code or null; the two codes are those of the first model's pair.
     """
     pair = F.col(f"value_{metric}_RACE")
+    _require_codes(scores, f"value_{metric}_RACE")
     seen = _of_models(scores, models).groupBy("dataset").agg(
         F.min(_code(pair, 1)).alias("__low"), F.max(_code(pair, 1)).alias("__high"),
         F.min(f"{metric}_RACE").alias("min_gap"),
@@ -177,21 +194,27 @@ def select_clients(
     return voted.where(keep).select("dataset", "vote", "min_gap")
 
 
+def decided_votes(
+    scores: DataFrame, level: str = "attribute", metric: str = "DP", models: Sequence[str] = MODELS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """(``attribute`` or ``value_int``, ``dataset``) of every client whose vote is decided."""
+    require_choice("fairness level", level, ("attribute", "value"))
+    if level == "attribute":
+        decided = F.col("vote").isNotNull() & (F.col("min_gap") > threshold)
+        return attribute_vote(scores, metric, models).where(decided).select(F.col("vote").alias("attribute"), "dataset")
+    voted = value_vote(scores, metric, models).where("vote is not null")
+    return voted.select(F.col("vote").alias("value_int"), "dataset")
+
+
 def unfairness_distribution(
     scores: DataFrame, level: str = "attribute", metric: str = "DP", models: Sequence[str] = MODELS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Number and sorted list of the clients of each decided vote.
+    """Number and sorted list of the clients of each decided vote; ``decided_votes`` is the same with a row per client.
 
     By attribute only clients whose smallest gap exceeds the threshold count; by value all that are decided.
     """
-    require_choice("fairness level", level, ("attribute", "value"))
-    if level == "attribute":
-        decided = F.col("vote").isNotNull() & (F.col("min_gap") > threshold)
-        voted = attribute_vote(scores, metric, models).where(decided)
-        key = F.col("vote").alias("attribute")
-    else:
-        voted = value_vote(scores, metric, models).where("vote is not null")
-        key = F.col("vote").alias("value_int")
-    return voted.groupBy(key).agg(F.count(F.lit(1)).alias("number"),
+    voted = decided_votes(scores, level, metric, models, threshold)
+    return voted.groupBy(voted.columns[0]).agg(F.count(F.lit(1)).alias("number"),
                                   F.sort_array(F.collect_list("dataset")).alias("states"))

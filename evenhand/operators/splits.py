@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evenhand.functions import client_name, fold_bounds
 from evenhand.operators.ranks import at_bounds, column_order, cut_classes, hash_order, near_equal
 from evenhand.plans.runtime import attach, count_cells, settle
-from evenhand.spec import SETTINGS, FairSpec, require_choice
+from evenhand.spec import SETTINGS, FairSpec, require_choice, require_fractions, require_pieces, require_rate
 
 FOLDS = ("train", "val", "test")
 
@@ -38,9 +38,12 @@ def assign_partitions(
     if isinstance(partitions, Mapping):
         counts = F.create_map(*[F.lit(x) for pair in partitions.items() for x in (str(pair[0]), int(pair[1]))])
         k = F.coalesce(F.element_at(counts, F.col(spec.client[0]).cast("string")), F.lit(1))
-        most = max(partitions.values())
+        most = max(partitions.values(), default=1)
+        require_pieces(min(partitions.values(), default=1))
     else:
-        k, most = F.lit(int(partitions or 1)), int(partitions or 1)
+        most = 1 if partitions is None else int(partitions)
+        require_pieces(most)
+        k = F.lit(most)
     if most == 1:
         return df.withColumn("partition_id", F.lit(0))
     rows, order = hash_order(df, spec.key, seed)
@@ -63,7 +66,8 @@ def split_folds(
     require_choice("setting", setting, SETTINGS)
     if setting == "cross-device":
         return df
-    names = F.array(*[F.lit(f) for f in FOLDS[: len(fractions)]])
+    require_fractions(fractions, FOLDS)
+    names = F.array(*[F.lit(f) for f in FOLDS])
     rows, order = hash_order(df, spec.key, seed)
     bounds = at_bounds(fold_bounds(F.col("total"), fractions))
     cut = cut_classes(rows, spec.client, order, bounds, "__fold")
@@ -74,8 +78,9 @@ def split_clients(
     df: DataFrame, spec: FairSpec, fractions: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42
 ) -> DataFrame:
     """Add ``fold`` per client: whole clients are train, val or test."""
+    require_fractions(fractions, FOLDS)
     clients = settle(df.select(*spec.client).distinct())
-    names = F.array(*[F.lit(f) for f in FOLDS[: len(fractions)]])
+    names = F.array(*[F.lit(f) for f in FOLDS])
     rows, order = hash_order(clients, spec.client, seed)
     bounds = at_bounds(fold_bounds(F.col("total"), fractions))
     cut = cut_classes(rows, (), order, bounds, "__fold")
@@ -95,6 +100,7 @@ def holdout(
     With ``strata`` every stratum gives ``floor`` of its share, and the rows then missing come one each from
     the strata with the largest remainders, ties in the order of the strata.
     """
+    require_rate(test_size)
     if not strata:
         rows, order = hash_order(df, spec.key, seed)
         quota = F.ceil(F.col("total") * F.lit(float(test_size))).cast("long")
@@ -121,6 +127,7 @@ def holdout(
 
 def chunk(df: DataFrame, spec: FairSpec, k: int, order: Sequence[str]) -> DataFrame:
     """Add ``chunk``: k near-equal contiguous pieces of each client in the given order."""
+    require_pieces(k)
     if k == 1:
         return df.withColumn("chunk", F.lit(0))
     rows, by = column_order(df, order)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions import remap_column
+from evenhand.operators.splits import client_index
 from evenhand.plans.runtime import attach, count_cells, settle
 from evenhand.spec import FairSpec, TaskSpec, require_columns
 
@@ -28,13 +29,7 @@ def remap(df: DataFrame, mapping: Mapping[str, Mapping]) -> DataFrame:
     """Replace category codes, all codes of a column at once; columns keep their type."""
     require_columns(df, mapping)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return df.withColumns({c: remap_column(F.col(c).cast(types[c]), codes).cast(types[c])
-                           if types[c].typeName() == "string" else _remap_number(c, codes).cast(types[c])
-                           for c, codes in mapping.items()})
-
-
-def _remap_number(column: str, codes: Mapping) -> Column:
-    return remap_column(F.col(column).cast("double"), {float(a): float(b) for a, b in codes.items()})
+    return df.withColumns({c: remap_column(F.col(c), codes, types[c]) for c, codes in mapping.items() if codes})
 
 
 def binarize(df: DataFrame, columns: Sequence[str], keep=1) -> DataFrame:
@@ -88,9 +83,12 @@ def categories(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> dic
     return {c: [r["value"] for r in rows if r["name"] == c] for c in columns}
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], fit: Column | None = None) -> DataFrame:
-    """Replace each column by one 0/1 column per category found in the pooled data, ``{column}_{category}``."""
-    found = categories(df if fit is None else df.where(fit), columns)
+def one_hot(df: DataFrame, columns: Sequence[str], fit: Column | None = None, most: int = 10_000) -> DataFrame:
+    """Replace each column by one 0/1 column per category found in the pooled data, ``{column}_{category}``.
+
+    A table this wide is only of use up to ``most`` categories; ``one_hot_index`` has no such bound.
+    """
+    found = categories(df if fit is None else df.where(fit), columns, most)
     made = {}
     for c in columns:
         numeric = df.schema[c].dataType.typeName() not in ("string", "boolean")
@@ -99,6 +97,21 @@ def one_hot(df: DataFrame, columns: Sequence[str], fit: Column | None = None) ->
     return df.withColumns(made).drop(*columns)
 
 
+def one_hot_index(df: DataFrame, columns: Sequence[str], out: str = "hot", fit: Column | None = None) -> DataFrame:
+    """Add ``out``: for each column the place of its value among the sorted categories, null where it is none.
+
+    This is the sparse form of ``one_hot``. Categories are numbered in a table of their own, of any size, which is
+    joined by value.
+    """
+    source = df if fit is None else df.where(fit)
+    made = df
+    for j, c in enumerate(columns):
+        numbered = client_index(source.select(c).where(F.col(c).isNotNull()), c)
+        table = settle(numbered.select(c, F.col("client_index").alias(f"__hot{j}")))
+        made = attach(made, table, [c], count_cells(table, 2), df.columns)
+    return made.withColumn(out, F.array(*[f"__hot{j}" for j in range(len(columns))])).select(*df.columns, out)
+
+
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """One array of floats per row, with a trailing 1.0 for the bias."""
     return df.withColumn(out, F.array(*[F.col(c).cast("float") for c in columns], F.lit(1.0).cast("float")))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.plans.runtime import attach, count_cells, settle, stage
+from evenhand.plans.runtime import attach, count_cells, drop_staged, join_alike, settle, stage
 from evenhand.spec import FairSpec
 
 BINS = 32
@@ -128,9 +128,12 @@ def fit_trees(
     positive, every = F.sum(F.col("y") * F.col("m")), F.sum("m")
     base = settle(cells.groupBy(*by).agg(F.log((positive + 0.5) / (every - positive + 0.5)).alias("base")))
     cells = attach(cells, base, by, count_cells(base), ["bins"]).withColumnRenamed("base", "margin")
-    grown = []
+    grown, before = [], None
     for number in range(rounds):
         cells = stage(cells, "margins")
+        if before is not None:
+            drop_staged(before)
+        before = cells
         tree, size = _grow(cells, by, len(features), depth, rate, l2, least)
         grown.append(tree.select(*by, F.struct(F.lit(number).alias("number"), "splits", "leaves").alias("tree")))
         cells = attach(cells, tree, by, size, ["bins"]).withColumn("node", F.lit(1))
@@ -146,7 +149,9 @@ def fit_trees(
     numbers = F.sequence(F.lit(0), F.lit(rounds - 1))
     trees = every_tree.groupBy(*by).agg(ordered.alias("__trees")).select(
         *by, F.transform(numbers, lambda i: F.element_at("__trees", i)).alias("trees"))
-    return Forest(settle(base.join(trees, list(by))), edges, tuple(features), tuple(by), depth)
+    forest = Forest(settle(join_alike(base, trees, list(by))), edges, tuple(features), tuple(by), depth)
+    drop_staged(before)
+    return forest
 
 
 def predict_trees(df: DataFrame, forest: Forest, prediction: str = "prediction") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.operators import counts, fairness
-from evenhand.operators.models import FITS, evaluate_models, features_of
+from evenhand.operators.models import FITS, Model, evaluate_models, features_of
 from evenhand.operators.splits import first_partitions, holdout
 from evenhand.plans.runtime import stage
 from evenhand.sources.reports import write_report
@@ -21,7 +21,7 @@ def evaluate_fairness(
     metric: str = "DP",
     level: str = "attribute",
     intersect: bool = False,
-    model: str | None = None,
+    model: str | Model | None = None,
     max_partitions: int | None = None,
     unit: str = "absolute",
     path: str | None = None,
@@ -36,8 +36,11 @@ def evaluate_fairness(
     counted = counts.value_counts(rows, spec, unit=unit)
     audited = FairSpec(spec.sensitive, spec.label, by, spec.key, spec.prediction)
     if model is not None:
-        require_choice("model", model, tuple(FITS))
-        rows = FITS[model](rows, audited, features_of(rows, audited, ("fold", "split")),
+        if isinstance(model, str):
+            require_choice("model", model, tuple(FITS))
+            model = FITS[model]
+        rows = stage(rows, "divided")
+        rows = model(rows, audited, features_of(rows, audited, ("fold", "split")),
                            F.col("fold") == "train", F.col("fold") == "val")
         audited = FairSpec(spec.sensitive, spec.label, by, spec.key, "prediction")
     gaps = fairness.fairness(rows, audited, metric, level, intersect)

@@ -46,13 +46,26 @@ def load_clients(
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
 
 
+def save_client_csvs(df: DataFrame, path: str, split: str = "split", partition: str = "partition_id") -> None:
+    """Write every partition of every split as files in a folder named ``{split}_{i}.csv`` below ``path``.
+
+    A partition of any size is written by as many tasks as its size asks for; ``load_client_csvs`` reads folders and
+    single files of this name alike.
+    """
+    require_columns(df, (split, partition))
+    named = df.withColumn("__file", F.concat(F.col(split).cast("string"), F.lit("_"), F.col(partition).cast("string"), F.lit(".csv")))
+    rows = named.drop(split, partition).hint("rebalance", "__file")
+    rows.write.partitionBy("__file").option("header", True).csv(path)
+
+
 def load_client_csvs(
     spark: SparkSession, path: str, schema: T.StructType, client: str = "client", pattern: str = CLIENT_FILES
 ) -> DataFrame:
-    """Read a folder of CSV files named ``{client}_{i}.csv`` and take ``client`` from the file name.
+    """Read CSV files named ``{client}_{i}.csv``, or folders ``__file={client}_{i}.csv``, with the client from the name.
 
     Files that are not named so, such as reports, are left out.
     """
-    found = spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern).csv(path)
-    name = F.col("_metadata.file_name")
-    return found.select(F.substring(name, 1, 2).alias(client), "*")
+    reader = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    found = reader.csv(path).withColumn("__name", F.regexp_extract("_metadata.file_path", r"/(?:__file=)?([^/]*\.csv)(?:/[^/]*)?$", 1))
+    alike = "^" + "".join({"?": "[^/]", "*": "[^/]*", ".": r"\."}.get(c, c) for c in pattern) + "$"
+    return found.where(F.col("__name").rlike(alike)).select(F.substring("__name", 1, 2).alias(client), *schema.fieldNames())

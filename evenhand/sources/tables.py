@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenhand.spec import DEFAULT_CLIENTS
+from evenhand.spec import DEFAULT_CLIENTS, INCOME_FEATURES
 
 # The income table's columns and types. Codes are doubles, as group labels print them.
 INCOME_SCHEMA = T.StructType(
     [T.StructField("client", T.StringType()), T.StructField("row_id", T.LongType())]
     + [T.StructField(c, T.DoubleType()) for c in
-       ("AGEP", "COW", "SCHL", "MAR", "OCCP", "POBP", "RELP", "WKHP", "SEX", "RAC1P")]
+       INCOME_FEATURES]
     + [T.StructField("PINCP", T.BooleanType())]
 )
 

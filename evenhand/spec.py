@@ -15,9 +15,10 @@ SETTINGS = ("cross-silo", "cross-device")
 
 # The clients used when none are named, in survey order.
 DEFAULT_CLIENTS = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE "
-    "NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY PR"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD",
+    "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC",
+    "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "PR",
+)
 
 DEFAULT_SENSITIVE = ("SEX", "MAR", "RAC1P")
 
@@ -31,6 +32,20 @@ def require_rate(rate: float) -> None:
         raise ValueError(f"a rate must lie between 0 and 1, not {rate}")
 
 
+def require_fractions(fractions: Sequence[float], names: Sequence[str]) -> None:
+    if len(fractions) != len(names):
+        raise ValueError(f"{len(names)} fractions are needed ({', '.join(names)}), not {len(fractions)}")
+    for fraction in fractions:
+        require_rate(fraction)
+    if abs(sum(fractions) - 1) > 1e-9:
+        raise ValueError(f"fractions must add up to 1, not {sum(fractions)}")
+
+
+def require_pieces(k: int) -> None:
+    if k < 1:
+        raise ValueError(f"a client is cut into at least one piece, not {k}")
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -137,6 +152,8 @@ def plan_extent(plan: Iterable[Modification] | DataFrame) -> PlanExtent:
     if not isinstance(plan, DataFrame):
         plan = list(plan)
         columns = {c for m in plan for c in (m.column, m.column2) if c is not None}
+        if len({(str(m.client), m.seq) for m in plan}) < len(plan):
+            raise ValueError("a client has two entries for one step")
         return PlanExtent(len(plan), tuple(sorted({m.seq for m in plan})), tuple(sorted(columns)))
     found = plan.agg(
         F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set("seq")).alias("steps"),
@@ -144,6 +161,8 @@ def plan_extent(plan: Iterable[Modification] | DataFrame) -> PlanExtent:
         F.min(F.least("drop_rate", "flip_rate")).alias("low"),
         F.max(F.greatest("drop_rate", "flip_rate")).alias("high"),
     ).first()
+    if not plan.groupBy("client", "seq").count().where("count > 1").isEmpty():
+        raise ValueError("a client has two entries for one step")
     for rate in (found["low"], found["high"]):
         if rate is not None:
             require_rate(rate)

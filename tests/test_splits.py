@@ -7,7 +7,7 @@ import evenhand.operators.ranks as ranks
 import evenhand.plans.runtime as runtime
 from evenhand.functions import group_pred
 from evenhand.operators import perturb, splits
-from evenhand.spec import FairSpec, Modification, modifications_from_dict
+from evenhand.spec import FairSpec, Modification, modifications_from_dict, plan_table
 
 SPEC = FairSpec(("g",), "y", ("client",), ("id",))
 
@@ -57,6 +57,69 @@ def test_all_ways_of_ranking_agree(spark, monkeypatch):
     assert results(df, salted) == {k: window[k] for k in salted}
 
 
+def awkward(spark):
+    """Order columns with nulls, NaN, infinities, doubles over all magnitudes, ties, and texts with long common starts."""
+    n = F.col("id")
+    spread = F.when(n % 3 == 0, -1).otherwise(1) * F.pow(F.lit(10.0), (n * 37 % 600) - 300)
+    x = (F.when(n % 11 == 0, None).when(n % 13 == 0, float("nan")).when(n % 17 == 0, float("inf"))
+         .when(n % 19 == 0, -float("inf")).when(n % 7 == 0, 0.0).otherwise(spread))
+    text = F.when(n % 23 == 0, None).otherwise(F.concat(F.lit("the same long beginning of all texts "), F.md5((n % 900).cast("string"))))
+    return spark.range(2000).select(F.when(n % 5 == 0, "b").otherwise("a").alias("client"), "id", F.lit("g").alias("g"),
+                                    F.lit(True).alias("y"), x.alias("x"), text.alias("s"), F.lit(1).alias("same"))
+
+
+@pytest.mark.parametrize("order", [("x", "id"), ("s", "id"), ("same", "s", "x", "id"), ("same", "x", "s", "id")])
+def test_awkward_orders_rank_alike(spark, monkeypatch, order):
+    df = awkward(spark).coalesce(2).cache()
+    chunked = lambda: sorted((r["id"], r["chunk"]) for r in splits.chunk(df, SPEC, 4, order).collect())
+    window = chunked()
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", 0)
+    monkeypatch.setattr(ranks, "BINS", 64)
+    monkeypatch.setattr(ranks, "BIN_ROWS", 40)
+    assert chunked() == window
+
+
+def test_last_bins_are_small_unless_rows_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BIN_ROWS", 100)
+    sizes = []
+    count = ranks.Window.partitionBy
+
+    def watched(*keys):
+        if any(str(k).startswith("__b") for k in keys):
+            sizes.append(keys)
+        return count(*keys)
+
+    monkeypatch.setattr(ranks.Window, "partitionBy", staticmethod(watched))
+    rows = spark.range(20_000).select(F.lit("a").alias("client"), "id", F.when(F.col("id") == 7, float("inf")).otherwise(
+        F.col("id") / 7).alias("x"))
+    made, order = ranks.column_order(rows, ["x", "id"])
+    cuts, _ = ranks.find_cuts(made, ["client"], order, F.array(F.lit(5000).cast("long"), F.lit(20_000).cast("long")))
+    assert [c["at"]["o1"] for c in cuts.first()["cuts"]] == [5000, 7]
+    # Two or three passes suffice, although one value is infinite.
+    assert max(len([k for k in keys if str(k).startswith("__b")]) for keys in sizes) <= 4
+
+
+def test_splits_check_their_arguments(table):
+    df = ten(table)
+    for bad in ((0.5, 0.2, 0.2, 0.1), (0.9, 0.9, 0.15), (0.5, 0.5), (1.2, -0.1, -0.1)):
+        with pytest.raises(ValueError):
+            splits.split_folds(df, SPEC, bad)
+        with pytest.raises(ValueError):
+            splits.split_clients(df, SPEC, bad)
+    for bad in (lambda: splits.holdout(df, SPEC, 1.5), lambda: splits.chunk(df, SPEC, 0, ["id"]),
+                lambda: splits.assign_partitions(df, SPEC, 0), lambda: splits.assign_partitions(df, SPEC, {"c": 0})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_plans_name_a_step_once(spark, table):
+    plan = [Modification("c", 0, "g", "g", 0.1), Modification("c", 0, "g", "g", 0.2)]
+    with pytest.raises(ValueError, match="two entries"):
+        perturb.apply_modifications(ten(table), SPEC, plan)
+    with pytest.raises(ValueError, match="two entries"):
+        perturb.apply_modifications(ten(table), SPEC, plan_table(spark, plan))
+
+
 def ten(table, n=10, positives=10):
     return table("client string, id long, g string, y boolean",
                  *[("c", i, "g", i < positives) for i in range(n)])
@@ -85,7 +148,7 @@ def test_modes_and_order_columns(table):
         splits.split_folds(df, SPEC, setting="other")
     assert "fold" not in splits.split_folds(df, SPEC, setting="cross-device").columns
     with pytest.raises(ValueError, match="order column"):
-        splits.chunk(df, SPEC, 2, ["g", "id"])
+        splits.chunk(df.withColumn("g", F.array("g")), SPEC, 2, ["g", "id"])
 
 
 def test_stratified_holdout_takes_the_largest_remainders(table):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from evenhand.operators import counts, models, scores, splits, transform, trees
+import evenhand.plans.runtime as runtime
+from evenhand.operators import counts, fairness, models, scores, splits, transform, trees
 from evenhand.plans.calibrate import calibrate, cross_device
 from evenhand.plans.dataset import ClientDataset, DatasetOptions
 from evenhand.plans.evaluate import evaluate_fairness
@@ -31,6 +32,57 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_remap_keeps_other_numbers_as_they_are(table):
+    from decimal import Decimal
+
+    df = table("a long, b decimal(20,2)", (2**53 + 1, Decimal("12345678901234567.89")), (3, Decimal("1.00")))
+    rows = transform.remap(df, {"a": {3: 4}, "b": {1: 2}}).collect()
+    assert [tuple(r) for r in rows] == [(2**53 + 1, Decimal("12345678901234567.89")), (4, Decimal("2.00"))]
+
+
+def test_null_clients_and_unscored_rows(table):
+    spec = FairSpec(("g",), "y", ("client",), ("id",), "p")
+    df = table("client string, id long, g string, y boolean, p boolean", *[
+        (c, i, "ab"[i % 2], i % 3 == 0, None if i > 7 else i % 2 == 0) for c in (None, "x") for i in range(10)])
+    assert {r["client"] for r in fairness.fairness(df, spec, "DP", "attribute-value").collect()} == {None, "x"}
+    assert {r["client"] for r in scores.score_table(df, spec).collect()} == {None, "x"}
+    assert {(r["rows"], r["unscored"]) for r in scores.unscored(df, spec).collect()} == {(10, 2)}
+
+
+def test_labels_that_are_no_codes_are_an_error(table):
+    rows = table("dataset string, model string, DP_RACE double, value_DP_RACE string",
+                 ("a", "LogisticRegression", 0.1, "WHITE_BLACK"), ("a", "XGBoost", 0.1, "WHITE_BLACK"))
+    with pytest.raises(ValueError, match="numeric codes"):
+        scores.value_vote(rows)
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    class Far:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Far)
+
+
+def test_a_fit_that_does_not_converge_is_an_error(spark):
+    with pytest.raises(ArithmeticError, match="steps"):
+        models.fit_logistic(microdata(spark), "PINCP", ["AGEP"], max_iter=1)
+
+
+def test_estimators_of_spark_are_models_too(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = splits.holdout(microdata(spark, 1000), CENSUS)
+    table = models.evaluate_models(df, CENSUS, ["AGEP", "WKHP"], ~F.col("is_test"), F.col("is_test"),
+                                   models={"Pooled": models.pipeline_model(LogisticRegression())}).collect()
+    assert {r["model"] for r in table} == {"Pooled"} and len(table) == 2
+
+
 def test_remap_is_not_chained(table):
     df = table("v double", (3.0,), (5.0,), (8.0,), (1.0,), (None,))
     assert [r["v"] for r in transform.remap(df, {"v": {3: 4, 5: 4, 8: 5}}).collect()] == [4.0, 4.0, 5.0, 1.0, None]

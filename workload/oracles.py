@@ -211,6 +211,12 @@ ORACLES: dict[str, str] = {
         then="SELECT client, " + ", ".join(
             f"max(CASE WHEN pair = '{a}_{b}' THEN gap END) AS \"{a}_{b}\"" for a in SEGMENTS for b in SEGMENTS)
         + " FROM pairs GROUP BY client"),
+    "dp_wide_pairs_all": with_(
+        view("coded"), rates("coded", CODES), pairs("DP"),
+        then="SELECT client, " + ", ".join(
+            f"max(CASE WHEN attribute = '{c}' AND pair = '{a}.0_{b}.0' THEN gap END) AS \"{c}_{a}.0_{b}.0\""
+            for c, most in (("SEX", 2), ("RAC1P", 3), ("MAR", 3)) for a in range(1, most + 1) for b in range(1, most + 1))
+        + " FROM pairs GROUP BY client"),
     "dp_wide_value": with_(
         view("v1"), rates("v1", V1_ATTRS), pairs("DP"), worst(),
         then="SELECT client, " + ", ".join(
@@ -259,6 +265,8 @@ ORACLES: dict[str, str] = {
     "remap": with_(view("coded"), then=f"SELECT client, {ITEM_KEY}, CASE RAC1P WHEN 1 THEN 2.0::DOUBLE "
                    "WHEN 2 THEN 3.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE ELSE RAC1P END AS RAC1P, "
                    "CASE MAR WHEN 3 THEN 2.0::DOUBLE ELSE MAR END AS MAR FROM coded"),
+    "remap_long": with_(view("v1"), then=f"SELECT client, o_orderkey, CASE o_orderkey WHEN 1 THEN {2**53 + 2} "
+                        f"WHEN 3 THEN {2**53 + 5} ELSE o_orderkey + {2**53} END AS code FROM v1"),
     "remap_text": with_(view("v1"), then="SELECT client, o_orderkey, CASE o_orderpriority "
                         "WHEN '1-URGENT' THEN '2-HIGH' WHEN '2-HIGH' THEN '3-MEDIUM' "
                         "WHEN '5-LOW' THEN '4-NOT SPECIFIED' ELSE o_orderpriority END AS o_orderpriority FROM v1"),
@@ -272,6 +280,13 @@ ORACLES: dict[str, str] = {
     "one_hot": with_(view("v2"), then=f"SELECT client, {ITEM_KEY}, " + ", ".join(
         f"({c} = '{v}')::INT AS {c}_{v}" for c, vs in (("l_returnflag", "ANR"), ("l_linestatus", "FO")) for v in vs)
         + " FROM v2"),
+    "one_hot_index": with_(view("v2"), then=f"SELECT client, {ITEM_KEY}, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS hot0, "
+                           "dense_rank() OVER (ORDER BY l_linestatus) - 1 AS hot1, dense_rank() OVER (ORDER BY l_partkey) - 1 "
+                           "AS hot2 FROM v2"),
+    "minmax_fitted": with_(
+        view("v1"), ranked("v1", "client", "o_orderkey"), f"f AS (SELECT *, {fold((0.7, 0.15))} AS fold FROM ranked)",
+        "b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM f WHERE fold = 'train')",
+        then="SELECT client, o_orderkey, (o_totalprice - lo) / nullif(hi - lo, 0) AS o_totalprice FROM f, b"),
     "assemble": with_(view("v2"), then=f"SELECT client, {ITEM_KEY}, 3::INT AS width, "
                       "l_quantity::FLOAT::DOUBLE AS first, 1.0::DOUBLE AS bias FROM v2"),
     "drop_positive": with_(
@@ -327,6 +342,9 @@ ORACLES: dict[str, str] = {
         "JOIN quota USING (client, l_returnflag, l_linestatus)"),
     "chunks": with_(view("v1"), then="SELECT client, o_orderkey, (ntile(6) OVER (PARTITION BY client ORDER BY "
                     "o_orderkey) - 1)::INT AS chunk FROM v1"),
+    "chunks_with_nulls": with_(view("v1"), then="SELECT client, o_orderkey, (ntile(6) OVER (PARTITION BY client ORDER BY "
+                               "CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END NULLS FIRST, o_orderkey) - 1)::INT AS chunk "
+                               "FROM v1"),
     "chunk_names": with_(
         view("v4"), "c AS (SELECT client, event_id, ntile(3) OVER (PARTITION BY client ORDER BY ts, event_id) - 1 AS "
         "chunk FROM v4)",
@@ -350,6 +368,10 @@ ORACLES: dict[str, str] = {
         ranked("folded", "client, fold", "o_orderkey"),
         then="SELECT client, o_orderkey, o_orderpriority, label, fold, client || '_' || fold AS split, "
         f"({piece('3')})::INT AS partition_id FROM ranked"),
+    "preprocessed_dataset": with_(
+        view("v1"), "big AS (SELECT client, o_orderkey, o_totalprice / 2 AS o_totalprice FROM v1 WHERE o_totalprice > 50000)",
+        ranked("big", "client", "o_orderkey"),
+        then=f"SELECT client, o_orderkey, o_totalprice, {fold((0.7, 0.15))} AS fold FROM ranked"),
     "accuracy": with_(view("v1"), then="SELECT client, count(*) AS n, sum((label = pred)::INT) / count(*) AS accuracy "
                       "FROM v1 GROUP BY client"),
     "weighted_accuracy": with_(
@@ -382,6 +404,10 @@ ORACLES: dict[str, str] = {
     "distribution_value": on_scores(
         VALUE_VOTE, then="SELECT vote AS value_int, count(*) AS number, string_agg(dataset::VARCHAR, ',' "
         "ORDER BY dataset) AS states FROM value_vote WHERE vote IS NOT NULL GROUP BY vote"),
+    "distribution_long": on_scores(VOTE, then="SELECT vote AS attribute, dataset FROM vote WHERE vote IS NOT NULL "
+                                   "AND min_gap > 0.01::DOUBLE"),
+    "unscored_rows": with_(view("v1"), then="SELECT client, count(*) AS rows, count(*) FILTER (o_orderkey % 7 = 0) AS unscored "
+                           "FROM v1 GROUP BY client"),
     "before_after": with_(*COMPARED, then="SELECT * FROM compared"),
     "before_after_range": with_(
         *COMPARED, then="SELECT least(min(fairness1), min(fairness2)) - 0.05::DOUBLE AS low, "
@@ -400,6 +426,19 @@ ORACLES: dict[str, str] = {
     "saved_scores": on_scores(then="SELECT model, accuracy, value_DP_SEX, DP_SEX, value_DP_RACE, DP_RACE, "
                               "value_DP_MAR, DP_MAR, dataset::VARCHAR AS dataset FROM scores"),
     "saved_counts": with_(view("v1"), THIRDS, COUNTED, then="SELECT * FROM counted"),
+    "saved_client_files": with_(view("v1"), then="SELECT lpad(client::VARCHAR, 2, '0') AS client, o_orderkey, label FROM v1"),
+    "clients_of_year": with_(view("v1"), then="SELECT client::VARCHAR AS client, o_orderkey FROM v1 WHERE client IN (1, 7, 12) "
+                             "AND o_orderkey % 3 = 1 AND o_orderkey % 2 = 0"),
+    "published_distribution": on_scores(
+        VOTE, "named AS (SELECT vote, chr(65 + (dataset // 5)::INT) || chr(65 + (dataset % 5)::INT) AS s FROM vote "
+        "WHERE vote IS NOT NULL AND min_gap > 0.01::DOUBLE)",
+        then="SELECT count(*)::INT AS number, vote AS attribute, string_agg(s, ',' ORDER BY s) AS states FROM named GROUP BY vote"),
+    "own_model_scores": with_(
+        view("v1"), ranked("v1", "client", "o_orderkey"),
+        "h AS (SELECT client, label, rn <= ceil(total * 0.2::DOUBLE) AS is_test FROM ranked)",
+        "m AS (SELECT client, avg(label::INT) > 0.5 AS p FROM h WHERE NOT is_test GROUP BY client)",
+        then="SELECT client, 'Majority' AS model, count(*) AS n, sum((label = p)::INT) / count(*) AS accuracy "
+        "FROM h JOIN m USING (client) WHERE is_test GROUP BY client"),
     "modification_log": on_scores(
         VOTE, PLAN.format(rate=0.3), then="SELECT client AS state, drop_rate, \"column\" AS attribute, value::INT AS "
         "value FROM plan"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenhand.functions import group_pred, order_key
 from evenhand.operators import counts, fairness, models, perturb, scores, splits, transform
@@ -13,8 +14,8 @@ from evenhand.plans import calibrate as calibration
 from evenhand.plans.dataset import ClientDataset, DatasetOptions
 from evenhand.plans.evaluate import evaluate_fairness, local_audit
 from evenhand.plans.runtime import scratch_path, stage
-from evenhand.sources.client_files import load_clients, save_clients
-from evenhand.sources.reports import plan_json, read_scores, write_report
+from evenhand.sources.client_files import load_client_csvs, load_clients, save_client_csvs, save_clients
+from evenhand.sources.reports import plan_json, read_distribution, read_scores, write_report
 from evenhand.sources.tables import read_clients
 from evenhand.spec import FairSpec, Modification, TaskSpec
 from workload import tables as t
@@ -64,6 +65,13 @@ def dp_wide_pairs(spark, sf):
     return fairness.wide(gaps, spec, "DP", "attribute-value")
 
 
+@query
+def dp_wide_pairs_all(spark, sf):
+    """Three attributes that share their codes, each with columns of its own."""
+    gaps = fairness.fairness(t.coded(spark, sf), t.CODED, "DP", "attribute-value")
+    return fairness.wide(gaps, t.CODED, "DP", "attribute-value")
+
+
 @query
 def dp_wide_value(spark, sf):
     gaps = fairness.fairness(t.orders(spark, sf), t.ORDERS, "DP", "value")
@@ -197,6 +205,13 @@ def remap_text(spark, sf):
     return rows.select("client", "o_orderkey", "o_orderpriority")
 
 
+@query
+def remap_long(spark, sf):
+    """Numbers beyond the whole numbers of a double stay exact."""
+    rows = t.orders(spark, sf).withColumn("code", F.col("o_orderkey") + F.lit(2**53))
+    return transform.remap(rows, {"code": {2**53 + 1: 2**53 + 2, 2**53 + 3: 2**53 + 5}}).select("client", "o_orderkey", "code")
+
+
 @query
 def binarize(spark, sf):
     rows = transform.binarize(t.coded(spark, sf), ["SEX", "MAR", "RAC1P"])
@@ -233,6 +248,19 @@ def one_hot(spark, sf):
     return rows.drop("label", "pred", "l_quantity", "l_discount", "l_tax")
 
 
+@query
+def one_hot_index(spark, sf):
+    rows = transform.one_hot_index(t.items(spark, sf), ["l_returnflag", "l_linestatus", "l_partkey"])
+    return rows.select("client", *t.ITEMS.key, *[F.get("hot", F.lit(j)).alias(f"hot{j}") for j in range(3)])
+
+
+@query
+def minmax_fitted(spark, sf):
+    """Bounds from the training fold, applied to all rows."""
+    rows = splits.split_folds(t.orders(spark, sf), t.ORDERS)
+    return transform.minmax(rows, ["o_totalprice"], fit=F.col("fold") == "train").select("client", "o_orderkey", "o_totalprice")
+
+
 @query
 def assemble(spark, sf):
     rows = transform.assemble(t.items(spark, sf), ["l_quantity", "l_discount"])
@@ -340,6 +368,13 @@ def chunks(spark, sf):
     return splits.chunk(t.orders(spark, sf), t.ORDERS, 6, ["o_orderkey"]).select("client", "o_orderkey", "chunk")
 
 
+@query
+def chunks_with_nulls(spark, sf):
+    """Rows without an order value stand before all others."""
+    rows = t.orders(spark, sf).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")))
+    return splits.chunk(rows, t.ORDERS, 6, ["o_totalprice", "o_orderkey"]).select("client", "o_orderkey", "chunk")
+
+
 @query
 def chunk_names(spark, sf):
     rows = splits.chunk(t.events(spark, sf), t.EVENTS, 3, ["ts", "event_id"])
@@ -372,6 +407,16 @@ def prepared_dataset(spark, sf):
         "client", "o_orderkey", "o_orderpriority", "label", "fold", "split", "partition_id")
 
 
+@query
+def preprocessed_dataset(spark, sf):
+    """A preparation with a step of one's own between the changes and the split."""
+    spec = FairSpec(("c_mktsegment",), "label", ("client",), ("o_orderkey",))
+    options = DatasetOptions(
+        TaskSpec("orders", ("c_mktsegment", "o_totalprice"), "label"), spec, setting="cross-silo",
+        preprocess=lambda df: df.where("o_totalprice > 50000").withColumn("o_totalprice", F.col("o_totalprice") / 2))
+    return ClientDataset(t.orders(spark, sf), options).table.select("client", "o_orderkey", "o_totalprice", "fold")
+
+
 # --- scores -------------------------------------------------------------------------------------------------
 
 @query
@@ -455,6 +500,17 @@ def distribution_value(spark, sf):
     return found.select("value_int", "number", F.concat_ws(",", "states").alias("states"))
 
 
+@query
+def distribution_long(spark, sf):
+    return scores.decided_votes(_scores(spark, sf), "attribute", threshold=0.01)
+
+
+@query
+def unscored_rows(spark, sf):
+    rows = t.orders(spark, sf).withColumn("pred", F.when(F.col("o_orderkey") % 7 != 0, F.col("pred")))
+    return scores.unscored(rows, t.ORDERS_SCORED)
+
+
 @query
 def before_after(spark, sf):
     """Gaps by client before and after dropping positives of one group."""
@@ -515,6 +571,40 @@ def saved_counts(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+@query
+def saved_client_files(spark, sf):
+    """One file name per split and partition, read back beside a report that does not count."""
+    path = scratch_path(spark, "files")
+    rows = splits.assign_partitions(t.orders(spark, sf), t.ORDERS, by=F.col("o_orderkey") % 2)
+    named = rows.withColumn("split", F.lpad(F.col("client").cast("string"), 2, "0"))
+    save_client_csvs(named.select("split", "partition_id", "o_orderkey", "label"), path)
+    write_report(rows.groupBy("partition_id").count(), f"{path}/report.csv")
+    return load_client_csvs(spark, path, T.StructType.fromDDL("o_orderkey bigint, label boolean"))
+
+
+@query
+def clients_of_year(spark, sf):
+    """Rows of chosen clients, one year and one horizon; the conditions prune folders."""
+    path = scratch_path(spark, "years")
+    rows = t.orders(spark, sf).select(F.col("client").cast("string").alias("client"), "o_orderkey",
+                                      (2014 + F.col("o_orderkey") % 3).cast("int").alias("year"),
+                                      F.when(F.col("o_orderkey") % 2 == 0, "1-Year").otherwise("5-Year").alias("horizon"))
+    rows.write.partitionBy("year", "horizon").parquet(path)
+    return read_clients(spark, path, ("1", "7", "12"), 2015, "1-Year").select("client", "o_orderkey")
+
+
+@query
+def published_distribution(spark, sf):
+    """The distribution table as published, with an unquoted list of clients, written and read back."""
+    path = scratch_path(spark, "published")
+    votes = scores.decided_votes(_scores(spark, sf), "attribute", threshold=0.01)
+    letter = lambda n: F.char(65 + n.cast("int"))
+    state = F.concat(F.lit("'"), letter(F.floor(F.col("dataset") / 5)), letter(F.col("dataset") % 5), F.lit("'"))
+    lines = votes.groupBy("attribute").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(state)), ", ").alias("s"))
+    lines.select(F.concat(F.col("n").cast("string"), F.lit(","), F.col("attribute"), F.lit(",["), F.col("s"), F.lit("]"))).write.text(path)
+    return read_distribution(spark, path).select("number", "attribute", F.array_join("states", ",").alias("states"))
+
+
 @query
 def modification_log(spark, sf):
     plan = scores.plan_next(_scores(spark, sf), 0.3, "attribute")
@@ -544,6 +634,28 @@ def client_predictions(spark, sf):
     return local_audit(t.coded(spark, sf), t.CODED, t.CODED_FEATURES)
 
 
+@query
+def own_model_scores(spark, sf):
+    """A model of one's own beside the library's interface: every client's majority label of its training rows."""
+    def majority(df, spec, features, train, test, by=None):
+        most = df.where(train).groupBy(*spec.client).agg((F.avg(F.col(spec.label).cast("int")) > 0.5).alias("prediction"))
+        return df.where(test).join(most, list(spec.client))
+
+    held = stage(splits.holdout(t.orders(spark, sf), t.ORDERS), "held")
+    scored = models.score_models(held, t.ORDERS, [], ~F.col("is_test"), F.col("is_test"), {"Majority": majority})
+    spec = FairSpec(t.ORDERS.sensitive, "label", ("client", "model"), t.ORDERS.key, "prediction")
+    return scores.accuracy(scored, spec)
+
+
+@query
+def partition_sweep(spark, sf):
+    """Each partition's own model, fitted on its training rows and judged on its validation rows."""
+    rows = splits.split_folds(t.coded(spark, sf), t.CODED)
+    parts = splits.assign_partitions(rows, t.CODED, 2, within=("fold",))
+    counted, gaps = evaluate_fairness(parts, t.CODED, "DP", "value", model="LogisticRegression")
+    return gaps
+
+
 @query
 def model_grid(spark, sf):
     held = stage(splits.holdout(t.coded(spark, sf), t.CODED), "held")
