@@ -88,7 +88,11 @@ def apply_modifications(
 
 
 def latest_modification(log: DataFrame, client: str = "state") -> DataFrame:
-    """The last entry of each client in a log of several calibration rounds: the one with the largest rate."""
+    """The last entry of each client in a log of several calibration rounds: the one with the largest rate.
+
+    Entries that a log marks as not applied are left out.
+    """
+    log = log.where("applied").drop("applied") if "applied" in log.columns else log
     return log.groupBy(client).agg(
         F.max_by(F.struct(*[c for c in log.columns if c != client]),
                  F.struct("drop_rate", *[c for c in log.columns if c not in (client, "drop_rate")])).alias("last")

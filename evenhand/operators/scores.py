@@ -140,7 +140,7 @@ def value_vote(scores: DataFrame, metric: str = "DP", models: Sequence[str] = MO
     seen = _of_models(scores, models).groupBy("dataset").agg(
         F.min(_code(pair, 1)).alias("__low"), F.max(_code(pair, 1)).alias("__high"),
         F.min(f"{metric}_RACE").alias("min_gap"),
-        F.max(F.when(F.col("model") == models[0], pair)).alias("__pair"))
+        F.max(F.when(F.col("model") == next(iter(models)), pair)).alias("__pair"))
     vote = F.when(F.col("__low") == F.col("__high"), F.col("__low"))
     return seen.select("dataset", vote.alias("vote"), "min_gap", _code(F.col("__pair"), 0).alias("first_code"),
                        _code(F.col("__pair"), 1).alias("last_code"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,25 +38,37 @@ def score_clients(
                                   models, options))
 
 
+class Calibration(NamedTuple):
+    """What calibrating yields: last scores, the log of planned changes, the unfairness distribution, and the table."""
+
+    scores: DataFrame
+    log: DataFrame
+    distribution: DataFrame
+    rows: DataFrame
+
+
 def calibrate(
     df: DataFrame, spec: FairSpec, features: Sequence[str], rates: Sequence[float] = RATES,
     metric: str = "DP", level: str = "attribute", threshold: float = THRESHOLD,
     models: Sequence[str] = MODELS, options: Mapping[str, Mapping] = {}, seed: int = 42,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scores, modification log, unfairness distribution) after raising drop rates until the clients are biased.
+) -> Calibration:
+    """Raise drop rates until the clients are biased.
 
     Each round plans a change for every client whose bias is undecided or weak, derives those clients again
     from the unchanged table at the round's rate, and scores them anew; clients no longer flagged keep their
     last scores. It ends when at most one client is flagged. Every round treats all its clients in one go.
+
+    The log says of each entry whether it was ``applied``: the plan that ends the rounds is not. The rows returned
+    are those of all clients, each changed by its last applied entry, or unchanged if it has none.
     """
     client = spec.client[0]
     scores = latest = score_clients(df, spec, features, metric, level, models, options, seed)
-    log = None
-    for rate in rates:
+    log = applied = None
+    for number, rate in enumerate(rates):
         plan = settle(plan_next(latest, rate, level, metric, threshold, models))
         flagged = plan.count()
         if flagged:
-            entries = modification_log(plan)
+            entries = modification_log(plan).withColumn("applied", F.lit(flagged > 1))
             log = entries if log is None else log.unionByName(entries)
         if flagged <= 1:
             break
@@ -63,12 +76,19 @@ def calibrate(
         rows = attach(df.withColumn("__flagged", F.col(client).cast("string")), named, ["__flagged"], flagged,
                       spec.key, how="left_semi").drop("__flagged")
         changed = apply_modifications(rows, spec, plan, seed)
+        now = plan.withColumn("__round", F.lit(number))
+        applied = now if applied is None else applied.unionByName(now)
         latest = score_clients(changed, spec, features, metric, level, models, options, seed)
         kept = scores.join(latest.select("dataset").distinct(), "dataset", "left_anti")
         scores = settle(kept.select(*latest.columns).unionByName(latest))
     if log is None:
-        log = modification_log(plan)
-    return scores, log, unfairness_distribution(scores, level, metric, models, threshold)
+        log = modification_log(plan).withColumn("applied", F.lit(False))
+    done = df
+    if applied is not None:
+        fields = [c for c in applied.columns if c not in ("client", "__round")]
+        last = applied.groupBy("client").agg(F.max_by(F.struct(*fields), "__round").alias("m")).select("client", "m.*")
+        done = apply_modifications(df, spec, last.select(*plan.columns), seed)
+    return Calibration(scores, log, unfairness_distribution(scores, level, metric, models, threshold), done)
 
 
 def cross_device(

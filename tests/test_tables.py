@@ -252,9 +252,15 @@ def test_dataset_preparation_and_audit(spark, tmp_path):
 def test_calibration_and_chunks_of_clients(spark):
     df = microdata(spark)
     fast = {"LogisticRegression": {"precount": True}}
-    found, log, spread = calibrate(df, CENSUS, ["AGEP", "WKHP"], (0.4,), models=("LogisticRegression",), options=fast)
+    found, log, spread, changed = calibrate(df, CENSUS, ["AGEP", "WKHP"], (0.4,), models=("LogisticRegression",), options=fast)
     assert {r["dataset"] for r in found.collect()} == {"AK", "CT"}
-    assert set(log.columns) == {"state", "drop_rate", "attribute", "value"} and "states" in spread.columns
+    assert set(log.columns) == {"state", "drop_rate", "attribute", "value", "applied"} and "states" in spread.columns
+    last = {r["state"]: r for r in log.where("applied").collect()}
+    for client in ("AK", "CT"):
+        before, after = (d.where(F.col("client") == client) for d in (df, changed))
+        entry_ = last.get(client)
+        hit = F.col("PINCP") & (F.col(entry_["attribute"]) == entry_["value"]) if entry_ else F.lit(False)
+        assert after.count() == before.count() - int(before.where(hit).count() * 0.4)
     rows, chosen = cross_device(df, CENSUS, 2, ["row_id"], ["AGEP", "WKHP"], level="value",
                                 models=("LogisticRegression",), options=fast)
     names = {r["dataset"] for r in chosen.collect()}

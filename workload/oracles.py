@@ -156,6 +156,38 @@ def on_scores(*more: str, then: str) -> str:
     return with_(*score_parts("DP"), *more, then=then)
 
 
+# --- logistic regressions ---------------------------------------------------------------------------------------
+
+def newton(source: str, features: Sequence[str], l2: float = 1.0, steps: int = 14) -> list[str]:
+    """Newton's method for one regression per client, a few tables a step; the last holds the weights b0, b1, ..."""
+    d = len(features)
+    n = range(d + 1)
+    upper = [(i, j) for i in n for j in n if i <= j]
+    parts = [f"r AS MATERIALIZED (SELECT client, label::INT::DOUBLE AS y, count(*) AS m, "
+             + ", ".join(f"{x}::DOUBLE AS x{i}" for i, x in enumerate([*features, "1"])) + f" FROM {source} GROUP BY ALL)",
+             "w0 AS (SELECT DISTINCT client, " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in n) + " FROM r)"]
+    for k in range(steps):
+        z = " + ".join(f"b{i} * x{i}" for i in n)
+        sums = [f"sum(m * (p - y) * x{i}) + {l2 if i < d else 0.0!r}::DOUBLE * any_value(b{i}) AS g{i}" for i in n]
+        sums += [f"sum(m * p * (1 - p) * x{i} * x{j}) + {l2 if i == j < d else 0.0!r}::DOUBLE AS h{i}_{j}" for i, j in upper]
+        sums += [f"any_value(b{i}) AS b{i}" for i in n]
+        parts.append(f"e{k}_0 AS MATERIALIZED (SELECT client, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p "
+                     f"FROM r JOIN w{k} USING (client)) GROUP BY client)")
+        for c in range(d):
+            # Row c of the symmetric system is taken off all rows below it.
+            off = [f"g{i} - h{c}_{i} / h{c}_{c} * g{c} AS g{i}" for i in n if i > c]
+            off += [f"h{i}_{j} - h{c}_{i} / h{c}_{c} * h{c}_{j} AS h{i}_{j}" for i, j in upper if i > c]
+            parts.append(f"e{k}_{c + 1} AS (SELECT * REPLACE ({', '.join(off)}) FROM e{k}_{c})")
+        last = f"e{k}_{d}"
+        for i in reversed(n):
+            known = "".join(f" - h{i}_{j} * d{j}" for j in n if j > i)
+            parts.append(f"u{k}_{i} AS (SELECT *, (g{i}{known}) / h{i}_{i} AS d{i} FROM {last})")
+            last = f"u{k}_{i}"
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT client, " + ", ".join(f"b{i} - d{i} AS b{i}" for i in n) + f" FROM {last})")
+    parts.append(f"weights AS (SELECT * FROM w{steps})")
+    return parts
+
+
 # --- distributions --------------------------------------------------------------------------------------------
 
 THIRDS = f"parts AS (SELECT *, (o_orderkey % 3)::INT AS partition_id FROM v1)"
@@ -433,6 +465,25 @@ ORACLES: dict[str, str] = {
         VOTE, "named AS (SELECT vote, chr(65 + (dataset // 5)::INT) || chr(65 + (dataset % 5)::INT) AS s FROM vote "
         "WHERE vote IS NOT NULL AND min_gap > 0.01::DOUBLE)",
         then="SELECT count(*)::INT AS number, vote AS attribute, string_agg(s, ',' ORDER BY s) AS states FROM named GROUP BY vote"),
+    "client_models": with_(
+        view("coded"), *newton("coded", ("l_discount", "l_tax", "SEX")),
+        then="SELECT client, " + ", ".join(f"round(b{i}, 4) AS w{i}" for i in range(4)) + " FROM weights"),
+    "client_predictions": with_(
+        view("coded"), ranked("coded", "client", ITEM_KEY),
+        "held AS (SELECT *, rn <= ceil(total * 0.2::DOUBLE) AS is_test FROM ranked)",
+        "train AS (SELECT * FROM held WHERE NOT is_test)", *newton("train", ("l_extendedprice", "l_discount", "l_tax")),
+        "scored AS (SELECT held.*, 'LogisticRegression' AS model, b0 * l_extendedprice + b1 * l_discount + b2 * l_tax + b3 > 0 "
+        "AS pred FROM held JOIN weights USING (client) WHERE is_test)", *score_parts("DP")[2:],
+        then="SELECT model, accuracy, DP_SEX, DP_RACE, DP_MAR, dataset::VARCHAR AS dataset FROM scores"),
+    "partition_sweep": with_(
+        view("coded"), ranked("coded", "client", ITEM_KEY), f"folded AS (SELECT * EXCLUDE (rn, total), {fold((0.7, 0.15))} AS fold FROM ranked)",
+        ranked("folded", "client, fold", ITEM_KEY, "again"),
+        f"parts AS (SELECT * EXCLUDE (client, rn, total), client AS c, ({piece('2')})::INT AS partition_id, client * 10 + ({piece('2')})::INT AS client "
+        "FROM again)",
+        "train AS (SELECT * FROM parts WHERE fold = 'train')", *newton("train", ("l_discount", "l_tax")),
+        "scored AS (SELECT parts.*, b0 * l_discount + b1 * l_tax + b2 > 0 AS pred FROM parts JOIN weights USING (client) "
+        "WHERE fold = 'val')", rates("scored", CODES, "pred", "c, partition_id"), pairs("DP", "c, partition_id"), worst("c, partition_id"),
+        then="SELECT * EXCLUDE (c), c AS client FROM worst"),
     "own_model_scores": with_(
         view("v1"), ranked("v1", "client", "o_orderkey"),
         "h AS (SELECT client, label, rn <= ceil(total * 0.2::DOUBLE) AS is_test FROM ranked)",

@@ -619,7 +619,7 @@ def plan_as_json(spark, sf):
     return plan_json(scores.plan_next(_scores(spark, sf), 0.5, "attribute"))
 
 
-# --- models (optimiser-dependent: no SQL counterpart) ---------------------------------------------------------
+# --- models ---------------------------------------------------------
 
 @query
 def client_models(spark, sf):
@@ -668,9 +668,18 @@ def model_grid(spark, sf):
 def calibrated_clients(spark, sf):
     """A round of calibration with both models on few codes."""
     options = {"LogisticRegression": {"precount": True}, "XGBoost": {"rounds": 1, "depth": 2}}
-    found, log, distribution = calibration.calibrate(
-        t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], (0.3,), options=options)
-    return log
+    return calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], (0.3,), options=options).log
+
+
+@query
+def calibrated_rows(spark, sf):
+    """What all rounds leave of every client, with two fixed rules standing in for trained models."""
+    def rule(condition):
+        return lambda df, spec, features, train, test, by=None: df.where(test).withColumn("prediction", condition)
+
+    rules = {"LogisticRegression": rule(F.col("l_discount") >= 0.05), "XGBoost": rule(F.col("l_tax") >= 0.04)}
+    rows = calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], models=rules).rows
+    return rows.groupBy("client").agg(F.count("*").alias("n"), F.count_if("label").alias("positives"))
 
 
 @query
