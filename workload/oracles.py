@@ -484,6 +484,15 @@ ORACLES: dict[str, str] = {
         "scored AS (SELECT parts.*, b0 * l_discount + b1 * l_tax + b2 > 0 AS pred FROM parts JOIN weights USING (client) "
         "WHERE fold = 'val')", rates("scored", CODES, "pred", "c, partition_id"), pairs("DP", "c, partition_id"), worst("c, partition_id"),
         then="SELECT * EXCLUDE (c), c AS client FROM worst"),
+    "cross_device_rules": with_(
+        view("coded"),
+        f"pieces AS (SELECT * REPLACE (client || '_' || (ntile(2) OVER (PARTITION BY client ORDER BY {ITEM_KEY}) - 1) AS client) "
+        "FROM coded)",
+        ranked("pieces", "client", ITEM_KEY), "held AS (SELECT * FROM ranked WHERE rn <= ceil(total * 0.2::DOUBLE))",
+        SCORED.replace("FROM coded", "FROM held"), *score_parts("DP")[2:], VALUE_VOTE,
+        "chosen AS (SELECT dataset FROM value_vote WHERE vote IS NOT NULL AND min_gap > 0.01::DOUBLE)",
+        then="SELECT model, accuracy, value_DP_SEX, DP_SEX, value_DP_RACE, DP_RACE, value_DP_MAR, DP_MAR, dataset FROM scores "
+        "WHERE dataset IN (SELECT dataset FROM chosen)"),
     "own_model_scores": with_(
         view("v1"), ranked("v1", "client", "o_orderkey"),
         "h AS (SELECT client, label, rn <= ceil(total * 0.2::DOUBLE) AS is_test FROM ranked)",

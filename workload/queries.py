@@ -671,17 +671,30 @@ def calibrated_clients(spark, sf):
     return calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], (0.3,), options=options).log
 
 
+def _rule(condition):
+    return lambda df, spec, features, train, test, by=None: df.where(test).withColumn("prediction", condition)
+
+
+def _rules():
+    """Two fixed rules that stand in for trained models."""
+    return {"LogisticRegression": _rule(F.col("l_discount") >= 0.05), "XGBoost": _rule(F.col("l_tax") >= 0.04)}
+
+
 @query
 def calibrated_rows(spark, sf):
-    """What all rounds leave of every client, with two fixed rules standing in for trained models."""
-    def rule(condition):
-        return lambda df, spec, features, train, test, by=None: df.where(test).withColumn("prediction", condition)
-
-    rules = {"LogisticRegression": rule(F.col("l_discount") >= 0.05), "XGBoost": rule(F.col("l_tax") >= 0.04)}
-    rows = calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], models=rules).rows
+    """What all rounds leave of every client."""
+    rows = calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], models=_rules()).rows
     return rows.groupBy("client").agg(F.count("*").alias("n"), F.count_if("label").alias("positives"))
 
 
+@query
+def cross_device_rules(spark, sf):
+    """Chunks of clients on whose last code both rules agree."""
+    pieces = t.coded(spark, sf).withColumn("client", F.col("client").cast("string"))
+    return calibration.cross_device(pieces, t.CODED, 2, t.CODED.key, ["l_discount", "l_tax"], level="value", models=_rules(),
+                                    bounds={"RAC1P": (0.01, None)})[1]
+
+
 @query
 def cross_device_scores(spark, sf):
     rows, found = calibration.cross_device(
