@@ -303,14 +303,18 @@ def classify(
     return joined.drop("__here", "cuts")
 
 
-def window_fits(rows: DataFrame, groups: Sequence[str], only: str | None, most: int) -> bool:
-    """Should a window rank these rows? One job that reads the group columns and shuffles only counts.
+def window_fits(rows: DataFrame, groups: Sequence[str], only: str | None, most: int, sizes: DataFrame | None) -> bool:
+    """Should a window rank these rows? One job that reads the group columns and shuffles only counts, unless a
+    settled table with the group sizes ``n`` is there already.
 
     It must not when a group is large. It should not when the table is large and its groups are few, since a
     window shuffles all rows and cuts can then be broadcast.
     """
     taking = F.sum(F.col(only).cast("long")) if only else F.count(F.lit(1))
-    sizes = rows.groupBy(*groups).agg(taking.alias("n"), F.count(F.lit(1)).alias("m"))
+    if sizes is None:
+        sizes = rows.groupBy(*groups).agg(taking.alias("n"), F.count(F.lit(1)).alias("m"))
+    else:
+        sizes = sizes.select("n", F.col("n").alias("m"))
     found = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.count(F.lit(1)).alias("groups"),
                       F.coalesce(F.sum("m"), F.lit(0)).alias("total")).first()
     few = found["groups"] * (most + len(groups)) <= BROADCAST_CELLS
@@ -319,7 +323,7 @@ def window_fits(rows: DataFrame, groups: Sequence[str], only: str | None, most:
 
 def cut_classes(
     rows: DataFrame, groups: Sequence[str], order: Order, cutting: Cutting, out: str, only: str | None = None,
-    carried: Sequence[str] = (),
+    carried: Sequence[str] = (), sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``: the stretch of its group, numbered from 0, in which a row stands.
 
@@ -329,7 +333,7 @@ def cut_classes(
     columns = rows.columns
     if not groups:
         rows, groups = rows.withColumn("__all", F.lit(0)), ["__all"]
-    if window_fits(rows, groups, only, cutting.most):
+    if window_fits(rows, groups, only, cutting.most, sizes):
         # Rows that take no part stand alone, so that a large group of them is not sorted in one task.
         apart = F.when(~F.col(only), F.xxhash64(*order.columns)) if only else None
         by = [*groups, *carried, *([only, apart] if only else [])]

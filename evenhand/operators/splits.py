@@ -117,11 +117,11 @@ def holdout(
         .withColumn("__missing", wanted - F.sum("__low").over(client))
         .withColumn("__turn", F.row_number().over(client.orderBy(F.desc("__rest"), *strata)))
         .withColumn("__quota", F.col("__low") + (F.col("__turn") <= F.col("__missing")).cast("long"))
-        .select(*groups, F.col("__quota").cast("long").alias("__quota"))
+        .select(*groups, "n", F.col("__quota").cast("long").alias("__quota"))
     )
-    rows = attach(df, quotas, groups, count_cells(quotas), spec.key)
+    rows = attach(df, quotas.drop("n"), groups, count_cells(quotas), spec.key)
     rows, order = hash_order(rows, spec.key, seed)
-    cut = cut_classes(rows, [*groups, "__quota"], order, at_bounds([F.col("__quota")]), "__part")
+    cut = cut_classes(rows, [*groups, "__quota"], order, at_bounds([F.col("__quota")]), "__part", sizes=quotas)
     return _restore(df, cut.withColumn("is_test", F.col("__part") == 0), "is_test")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import client_name
 from evenhand.operators import counts, fairness, perturb, splits, transform
+from evenhand.plans.runtime import stage
 from evenhand.sources.client_files import save_clients
 from evenhand.sources.reports import config_json
 from evenhand.spec import (LEVELS, METRICS, SETTINGS, FairSpec, Modification, TaskSpec, require_choice)
@@ -43,7 +44,7 @@ class DatasetOptions:
 
 
 class ClientDataset:
-    """A client dataset as one lazy table with the columns ``fold``, ``split`` and ``partition_id``.
+    """A client dataset as one table with the columns ``fold``, ``split`` and ``partition_id``, made when first asked for.
 
     ``split`` is the client, followed by the fold where rows are split into folds.
     """
@@ -68,7 +69,8 @@ class ClientDataset:
         if o.mapping:
             df = transform.remap(df, o.mapping)
         if o.modifications is not None:
-            df = perturb.apply_modifications(df, spec, o.modifications, o.seed)
+            # Written once, so that the ranks of folds and partitions do not repeat the draws.
+            df = stage(perturb.apply_modifications(df, spec, o.modifications, o.seed), "changed")
         if o.preprocess is not None:
             df = df.transform(o.preprocess)
         within = []
