@@ -18,6 +18,8 @@ from evenhand.llm.common import text_of
 
 # Characters before and after a span in which words count as near, and what such a word adds or takes.
 NEAR, FOR, AGAINST = 40, 0.1, 0.2
+# Matches whose offsets are summed together.
+BLOCK = 128
 SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 
 
@@ -70,13 +72,24 @@ KINDS = (
 )
 
 
-def _spans(text: Column, found: Column, kind: Kind) -> Column:
-    """Confirmed spans of one kind; ``found`` are the pattern's matches in ``text``."""
-    gaps = F.split(text, kind.pattern, -1)
+def _cut(gaps: Column, found: Column) -> Column:
+    """Matches with the text before and after each; ``gaps`` are the texts between them."""
     n = F.size(found)
     zipped = F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), found.alias("value"), F.slice(gaps, 2, n).alias("next"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.when(n > 0, zipped).otherwise(F.array().cast("array<struct<gap:string,value:string,next:string>>"))
 
+
+def _block_starts(cut: Column) -> Column:
+    """Offset of the text before every BLOCK-th match: sums by block, so that many matches cost little more than few."""
+    lengths = F.transform(cut, lambda z: F.char_length(z["gap"]) + F.char_length(z["value"]))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return F.when(F.size(cut) > 0, F.slice(starts, 1, F.size(starts) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _spans(cut: Column, starts: Column, kind: Kind) -> Column:
+    """Confirmed spans of one kind from its matches and the offsets of their blocks."""
     def step(acc: Column, z: Column) -> Column:
         gap, value = z["gap"], z["value"]
         here = acc["at"] + F.char_length(gap)
@@ -89,8 +102,11 @@ def _spans(text: Column, found: Column, kind: Kind) -> Column:
         return F.struct(end.alias("at"), F.when(kind.confirmed(value), F.concat(acc["out"], F.array(span))).otherwise(
             acc["out"]).alias("out"))
 
-    return F.when(n > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast(f"array<{SPAN}>"))
+    def block(at: Column, place: Column) -> Column:
+        none = F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(F.slice(cut, place * BLOCK + 1, F.lit(BLOCK)), none, step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(starts, block))
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -104,7 +120,10 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     for kind in KINDS:
         matches = F.regexp_extract_all("t", F.lit(kind.pattern), F.lit(0))
         rows = rows.withColumn(kind.name, F.when(F.contains("t", F.lit(kind.hint)), matches).otherwise(none))
-    rows = rows.select("doc_id", *[_spans(F.col("t"), F.col(k.name), k).alias(k.name) for k in KINDS])
+    gaps = {f"{k.name}_gaps": F.when(F.size(k.name) > 0, F.split("t", k.pattern, -1)).otherwise(none) for k in KINDS}
+    rows = rows.withColumns(gaps).select("doc_id", *[_cut(F.col(f"{k.name}_gaps"), F.col(k.name)).alias(k.name) for k in KINDS])
+    rows = rows.withColumns({f"{k.name}_starts": _block_starts(F.col(k.name)) for k in KINDS})
+    rows = rows.select("doc_id", *[_spans(F.col(k.name), F.col(f"{k.name}_starts"), k).alias(k.name) for k in KINDS])
     ordered = F.array_sort(F.concat(*[F.transform(k.name, _ranked(n)) for n, k in enumerate(KINDS)]))
     return rows.select("doc_id", F.transform(ordered, lambda s: s["span"]).alias("spans"))
 
