@@ -128,8 +128,11 @@ def judge_quality(docs: DataFrame, rules: HostRules = HostRules(), text: str = "
 
 def drop_low_quality(docs: DataFrame, rules: HostRules = HostRules(), text: str = "text",
                      host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps. Texts are measured once and written beside the verdicts."""
+    """The rows of ``docs`` that ``judge_quality`` keeps.
+
+    Texts are measured twice, for the hosts' rates and for their own verdict, so that they need not be written in between.
+    """
     whole = carry(docs, host=F.col(host), m=measures(text_of(text)))
-    judged = stage(_judged(whole.select("host", "__row", "m.*"), rules), "judged")
+    judged = _judged(whole.select("host", "__row", "m.*"), rules)
     left = judged.filter("not base_failed").select("host", "__row", "base_failed", F.hash("n_words", "word_chars").alias("deal"))
     return _with_verdicts(left, host_rates(judged.select("host", "failed")), rules, "deal").filter("kept").select("__row.*")
