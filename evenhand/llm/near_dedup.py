@@ -25,7 +25,7 @@ SKETCH = ("s0", "s1", "s2", "s3", "s4", "s5")
 # Shingles whose coordinates are computed at a time, so that a very long text needs no more memory.
 BLOCK = 2048
 # Outsiders and members of a cluster that are compared in one group.
-OUTSIDERS, MEMBERS = 64, 128
+OUTSIDERS, MEMBERS = 128, 256
 
 
 @dataclass(frozen=True)
@@ -213,9 +213,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
     pairs = stage(_promising(stage(pairs, "pairs"), named, p), "promising")
     labels = _linked(docs, pairs, p, text, doc_id)
 
-    # Members of a bucket outside its hub's component may be linked with any other member.
-    hub_label = _labelled("hub", _labelled("rep", shared.filter("m > 2"), labels), labels)
-    placed = stage(hub_label.select("bucket", "rep", "c_rep", "c_hub", (F.col("c_rep") != F.col("c_hub")).alias("out")), "placed")
+    # Members of a bucket outside its commonest component may be linked with any other member.
+    placed = stage(_labelled("rep", shared.filter("m > 2"), labels).select("bucket", "rep", "c_rep"), "placed")
     more = stage(_leftover_links(docs, placed, named, p, text, doc_id), "leftover")
     if not more.isEmpty():
         known = labels.filter("vertex <> label").select(F.col("vertex").alias("a"), F.col("label").alias("b"))
@@ -230,15 +229,18 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
 
 
 def _leftover_links(docs: DataFrame, placed: DataFrame, named: DataFrame, p: NearDedup, text: str, doc_id: str) -> DataFrame:
-    """Links (a, b) between documents of different components that share a bucket but not its hub's component.
+    """Links (a, b) between documents of different components that share a bucket, one of them at least being
+    outside the commonest component of that bucket.
 
-    Buckets whose hubs are of one component form a cluster, so a pair in many buckets is met once. The outsiders of
+    Buckets with the same commonest component form a cluster, so a pair in many buckets is met once. The outsiders of
     a cluster and all its members are dealt in blocks, each pair of blocks to one bounded group, which yields only
     the links it finds, the first for each component that an outsider is linked to.
     """
-    open_buckets = placed.filter("out").select("bucket").distinct()
-    members = stage(placed.join(open_buckets, "bucket", "left_semi").select(
-        F.col("c_hub").alias("cluster"), "rep", "c_rep", "out").distinct(), "members")
+    shares = placed.groupBy("bucket", "c_rep").agg(F.count("*").alias("n"))
+    open_buckets = stage(shares.groupBy("bucket").agg(
+        F.max_by("c_rep", F.struct("n", "c_rep")).alias("cluster"), F.count("*").alias("parts")).filter("parts > 1"), "open")
+    members = stage(placed.join(open_buckets.select("bucket", "cluster"), "bucket").select(
+        "cluster", "rep", "c_rep", (F.col("c_rep") != F.col("cluster")).alias("out")).distinct(), "members")
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     sizes = stage(members.groupBy("cluster").agg(
         blocks(F.count_if("out"), OUTSIDERS).alias("n_out"), blocks(F.count("*"), MEMBERS).alias("n_all")), "sizes")
