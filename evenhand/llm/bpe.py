@@ -90,7 +90,7 @@ class Coder:
         matches = [[m.encode() for m in self.split(t)] for t in texts]
         merge = list({m for found in matches for m in found if m not in self.whole})
         mapped = [m.decode("latin-1").translate(self.chars) for m in merge]
-        packed = dict(zip(merge, (np.array(x, "<u4").tobytes() for x in self.pieces.encode(mapped, num_threads=1))))
+        packed = {m: struct.pack(f"<{len(x)}I", *x) for m, x in zip(merge, self.pieces.encode(mapped, num_threads=1))}
         return [b"".join([self.whole.get(m) or packed[m] for m in found]) for found in matches]
 
     def decode(self, packed: bytes) -> bytes:

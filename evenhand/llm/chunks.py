@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-# Characters of text taken together, and pieces remembered: both bound a worker's memory, not what is encoded.
-TOGETHER, REMEMBERED = 2_000_000, 350_000
+# Characters of text taken together, and pieces in each of two generations of the cache: both bound a worker's
+# memory, not what is encoded.
+TOGETHER, REMEMBERED = 1_000_000, 220_000
 
 
 def separable(text: str) -> bool:
@@ -24,8 +25,10 @@ def separable(text: str) -> bool:
 class PieceEncoder:
     """Packed ids of texts. ``encode_many`` gives the packed ids of each of a list of strings."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], whole: Iterable[str] = ()):
-        self.encode_many, self.whole, self.known = encode_many, tuple(whole), {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], whole: Iterable[str] = (),
+                 remembered: int = REMEMBERED):
+        self.encode_many, self.whole, self.remembered = encode_many, tuple(whole), remembered
+        self.known, self.aged = {}, {}
 
     def encode(self, texts: Iterable[str]) -> Iterable[bytes]:
         """Ids of each text in turn, as packed little-endian unsigned 32-bit integers."""
@@ -39,8 +42,9 @@ class PieceEncoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > self.remembered:
+            # Pieces that are met again come back from the older generation, so frequent ones stay.
+            self.known, self.aged = {}, self.known
         get, missing, parts, odd = self.known.get, set(), [], []
         for i, text in enumerate(texts):
             if not separable(text) or any(w in text for w in self.whole):
@@ -52,7 +56,9 @@ class PieceEncoder:
             if None in ids:
                 missing.update([p for p, v in zip(rest, ids) if v is None])
             parts.append((first, rest, ids))
-        new = list(missing)
+        aged = self.aged
+        self.known.update((p, aged[p]) for p in missing if p in aged)
+        new = [p for p in missing if p not in aged]
         self.known.update(zip(new, self.encode_many([p if p[:1] == "\n" else " " + p for p in new])))
         apart = self.encode_many([texts[i] if p is None else p[0] for i, p in enumerate(parts)])
         known, out = self.known, []

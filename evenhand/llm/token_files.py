@@ -22,6 +22,8 @@ from evenhand.plans.runtime import scratch_path
 # What ORC is told: Bloom filter and its error rate, documents per row group of the index, bytes per stripe.
 FORMAT = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
           "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
+# Pieces in each of two generations of a worker's cache; encoding is most of the work here and memory is free.
+REMEMBERED = 350_000
 
 
 class FileTokenizer:
@@ -37,7 +39,7 @@ class FileTokenizer:
                     and self.tokenizer.normalizer is None)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.newline, *more) = self._ids(["\n"])[0] if by_piece else (None, None)
-        self.encoder = PieceEncoder(self._many, special) if by_piece and not more else None
+        self.encoder = PieceEncoder(self._many, special, REMEMBERED) if by_piece and not more else None
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
