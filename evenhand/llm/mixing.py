@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import carry, text_of, unpack
 from evenhand.plans.runtime import attach, stage
 
-# Documents of one source that a window orders together: sources are cut into as many random bins as this takes.
+# Documents of one source that a window orders together at most; with fewer rows, as many as give every task a bin.
 BIN_ROWS = 20_000
 
 
@@ -114,7 +114,9 @@ def _placed(sized: DataFrame, sources: DataFrame, c: Curriculum) -> DataFrame:
     come from counts of bins; a window orders one bin, so a source with a third of all rows is spread out.
     """
     hash_of = F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id").cast("string")))
-    bins = F.ceil(F.col("rows") / BIN_ROWS)
+    total = sources.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = F.ceil(F.col("rows") / max(1, min(BIN_ROWS, total // tasks)))
     rows = attach(sized, sources, ["source"], 7 * sources.count(), ["doc_id"]).withColumn("__h", hash_of)
     lead = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 4294967296.0
     rows = stage(rows.withColumn("__bin", F.floor(lead * bins)), "binned")
