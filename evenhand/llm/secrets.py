@@ -11,7 +11,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,20 +28,25 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 # Equal to the shorter patterns followed by a check of length, as both take maximal runs.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 # Runs of base64 or hex whose first characters can open a DER sequence, an OpenSSH key or a JSON object. The second
-# look-behind sees the character before the first one, so that only whole runs are taken.
+# look-behind sees the character before the first one, so that only whole runs are taken. Lines may also end as JSON
+# writes them, in a backslash and a letter; a line of dashes ends a block.
 _RUN = "A-Za-z0-9+/_-"
-BASE64 = re.compile(rf"[MAbe](?<![{_RUN}].)(?:(?<=M)[{_RUN}]|(?<=A)AAA|(?<=b)3Bl|(?<=e)(?:y[AIJ]|w[0o]))[{_RUN}]{{16,}}"
-                    rf"(?:\r?\n[{_RUN}]{{16,}})*(?:\r?\n[{_RUN}]+)?={{0,2}}", re.DOTALL)
+_BREAK = r"(?:\r?\n|(?:\\r)?\\n)"
+BREAK = re.compile(_BREAK)
+BASE64 = re.compile(rf"[MAbe](?:(?<![{_RUN}].)|(?<=\\[nr].))(?:(?<=M)[{_RUN}]|(?<=A)AAA|(?<=b)3Bl|(?<=e)(?:y[AIJ]|w[0o]))[{_RUN}]{{16,}}"
+                    rf"(?:{_BREAK}(?!-----)[{_RUN}]{{16,}})*(?:{_BREAK}(?!-----)[{_RUN}]+)?={{0,2}}", re.DOTALL)
+OPENS = re.compile(rf"(?:M|AAAA|b3Bl)(?=[{_RUN}]{{17}})")
 HEX_DER = re.compile(r"3(?<![0-9A-Fa-f].)0[0-9A-Fa-f]{46,}", re.DOTALL)
 TOKEN = re.compile(r"e(?<![A-Za-z0-9_.-].)[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*", re.DOTALL)
 ALGORITHMS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521",
               b"sk-ssh-ed25519@openssh.com")
+MAGIC = b"openssh-key-v1\0"
 INTEGER, BITS, OCTETS, OID, SEQUENCE, TAGGED = 0x02, 0x03, 0x04, 0x06, 0x30, 0xA0
 
 
 def decode_base64(text: str) -> bytes | None:
     """The bytes of base64 in either alphabet, with or without padding and line breaks; None if it is none."""
-    plain = re.sub(r"[\r\n=]", "", text).replace("-", "+").replace("_", "/")
+    plain = re.sub(r"[\r\n=]|\\[rn]", "", text).replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -102,9 +109,8 @@ def _strings(data: bytes) -> list[bytes] | None:
 
 
 def is_openssh_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at, lead = len(magic), []
+    if data.startswith(MAGIC):
+        at, lead = len(MAGIC), []
         for _ in range(3):  # cipher, key derivation, its options
             end = at + 4 + int.from_bytes(data[at:at + 4], "big")
             if end + 4 > len(data):
@@ -117,6 +123,65 @@ def is_openssh_key(data: bytes) -> bool:
     return bool(parts) and len(parts) >= 2 and parts[0] in ALGORITHMS and all(parts[1:])
 
 
+def _key_sizes(data: bytes) -> list[int]:
+    """How many of the first bytes of ``data`` can be a key, as its lengths say; the largest first."""
+    step = lambda at: at + 4 + int.from_bytes(data[at:at + 4], "big")
+    if data[0] == SEQUENCE:
+        width = data[1] & 0x7F if data[1] & 0x80 else 0
+        return [2 + width + int.from_bytes(data[2:2 + width], "big") if width else 2 + data[1]]
+    if data.startswith(MAGIC):
+        at = step(step(step(len(MAGIC))))
+        keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+        for _ in range(keys + 1 if keys <= 64 else 0):
+            at = step(at)
+        return [at]
+    sizes, at = [], 0
+    if data[4:step(0)] in ALGORITHMS:
+        while at + 4 < len(data) and any(data[at:at + 4]) and (not at or data[at + 4:step(at)] not in ALGORITHMS):
+            at = step(at)
+            sizes.insert(0, at)
+    return sizes
+
+
+def _leading(text: str) -> bytes:
+    """The bytes of base64 that may be cut anywhere."""
+    plain = BREAK.sub("", text).rstrip("=\\\r\n")
+    return decode_base64(plain[:len(plain) - (len(plain) % 4 == 1)]) or b"\0\0"
+
+
+def _keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in lines of base64.
+
+    A key fills whole lines, from the one that opens it to the one at which its own lengths end, so that neither words
+    around it nor other keys hide it.
+    """
+    breaks = list(BREAK.finditer(text, start, end))
+    starts, ends = [start, *(b.end() for b in breaks)], [*(b.start() for b in breaks), end]
+    upto = list(accumulate((len(text[a:b].rstrip("=")) for a, b in zip(starts, ends)), initial=0))
+    line = 0
+    while line < len(starts):
+        at, line = line, line + 1
+        opens = OPENS.match(text, starts[at], ends[at])
+        if not opens:
+            continue
+        # The first bytes hold the length of DER or name an OpenSSH key; only for the latter are all needed.
+        data = _leading(text[starts[at]:min(end, starts[at] + 80)])
+        if opens[0] != "M":
+            if not data.startswith(MAGIC) and data[4:4 + int.from_bytes(data[:4], "big")] not in ALGORITHMS:
+                continue
+            data = _leading(text[starts[at]:end])
+        for size in _key_sizes(data):
+            last = bisect_left(upto, upto[at] + (size * 4 + 2) // 3)
+            if last == len(upto) or upto[last] != upto[at] + (size * 4 + 2) // 3:
+                continue
+            key = decode_base64(text[starts[at]:ends[last - 1]])
+            kind = "openssh" if key and is_openssh_key(key) else "der" if key and is_der_key(key) else None
+            if kind:
+                yield kind, starts[at], ends[last - 1]
+                line = last
+                break
+
+
 def is_signed_token(text: str) -> bool:
     """Whether header and body are base64 of JSON objects and the header names its algorithm."""
     for place, part in enumerate(text.split(".")[:2]):
@@ -144,11 +209,7 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, int]]:
         yield from (span("access", m) for m in ACCESS.finditer(text))
     yield from (span("hex", m) for m in HEX.finditer(text))
     for m in BASE64.finditer(text):
-        data = decode_base64(m[0])
-        if data and is_openssh_key(data):
-            yield span("openssh", m)
-        elif data and is_der_key(data):
-            yield span("der", m)
+        yield from ((start, KINDS.index(kind), kind, end) for kind, start, end in _keys(text, *m.span()))
     for m in HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             yield span("der", m)

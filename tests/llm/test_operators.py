@@ -82,6 +82,32 @@ def test_structures_confirm_candidates():
     assert kinds("ssh-ed25519 " + base64.b64encode(ssh[:-2]).decode()) == []
 
 
+def test_neighbours_of_a_key_do_not_hide_it():
+    import base64
+
+    spans = lambda t: [(s[2], t[s[0]:s[3]]) for s in secrets.find_secrets(t) if s[2] in secrets.STRUCTURE_KINDS]
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    ed = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"+ep")) + tlv(4, tlv(4, b"k" * 32)))
+    assert len(ed) == 48
+    keys = [("der", ed)] + [("der", tlv(0x30, tlv(2, b"\0") + tlv(2, b"\1" * (64 + n)) * 8)) for n in (0, 1, 2)]
+    keys += [("openssh", string(b"ssh-ed25519") + string(b"k" * (32 + n))) for n in range(3)]
+    keys += [("openssh", b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + b"\0\0\0\1" + string(b"p" * 51) + string(b"s" * (130 + n)))
+             for n in range(3)]
+    assert {len(key) % 3 for _, key in keys} == {0, 1, 2}
+    for kind, key in keys:
+        plain = base64.b64encode(key).decode()
+        for text in {plain, plain.rstrip("=")}:
+            for line in ("\n", "\r\n", "\\n", "\\r\\n"):
+                for width in (64, 76, len(text)):
+                    body = line.join(text[i:i + width] for i in range(0, len(text), width))
+                    for before, after in (("", ""), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("it is", "and then"),
+                                          ("", "a_word_of_more_than_sixteen and"), ("Many_letters_of_a_first_word", "x"),
+                                          ("", "longer_words_than_sixteen" + line + "longer_words_than_sixteen" + line + "y")):
+                        assert spans(before + line + body + line + after) == [(kind, body)], (kind, len(key), line, width, after)
+                    assert spans(body + line + body + line + "z") == [(kind, body)] * 2
+    assert spans("M" + base64.b64encode(ed).decode()) == spans(base64.b64encode(ed).decode() + "AAAA") == []
+
+
 # --- personal data ------------------------------------------------------------------------------------------
 
 DATA = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
