@@ -58,6 +58,17 @@ class Kind:
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _LOCAL, _NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+# Characters of an account number by country, from the registry. A number is bounded by its country's length where a run
+# ends there, so that words after it are no part of it; other runs are taken as far as they go, up to such a number.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_BOUNDED = "(?:" + "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, codes in _LENGTHS.items()) + ")(?![A-Za-z0-9])"
+_OPEN = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{_BOUNDED}))?+[A-Z0-9]{{4}}){{2,7}}+(?:(?: (?!{_BOUNDED}))?+[A-Z0-9]{{1,3}})?+(?![A-Za-z0-9])"
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_NAME}++(?:\.{_NAME}++)++", lambda v: F.lit(True), 0.85,
          "mail|contact|write|address", "example|noreply", "@"),
@@ -67,7 +78,7 @@ KINDS = (
          0.7, "card|visa|credit|debit|pay|kart|tarjeta|carte", "order|invoice|isbn|serial", ""),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda v: F.length(_digits(v)).between(9, 15), 0.7,
          "phone|tel|call|mobile|fax|ruf", "price|score", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]{4}){2,7}+(?: ?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BOUNDED}|{_OPEN})",
          passes_mod97, 0.9, "iban|account|bank|konto|cuenta|compte", "order|serial", ""),
 )
 

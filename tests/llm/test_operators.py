@@ -149,6 +149,18 @@ def test_mod97_and_context(spark):
     assert found[3][0].score > 0.7 > found[4][0].score
 
 
+def test_words_and_numbers_after_an_iban_are_no_part_of_it(spark):
+    ibans = ["AT611904300234573201", "AT61 1904 3002 3457 3201", "ES9121000418450200051332", "SE4550000000058398257466", "NO9386011117947",
+             "NO93 8601 1117 947", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S"]
+    after = ["", " EUR 100", " BANK", " 100 euro", " BIC GIBA ATWW", ".", " ABCD EFGH 1234 5678"]
+    rows = [(i, b + iban + a) for i, (iban, b, a) in enumerate((x, b, a) for x in ibans for b in ("", "IBAN ", "XY12 CODE 1234 ") for a in after)]
+    rows += [(1000, " ".join(ibans)), (1001, "AT611904300234573202 EUR 100"), (1002, "AT611904300234573201EUR 100")]
+    found = {r.doc_id: [s.value for s in r.spans if s.kind == "iban"]
+             for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found.pop(1000) == ibans and found.pop(1001) == found.pop(1002) == []
+    assert [found[i] for i in sorted(found)] == [[x] for x in ibans for _ in range(3 * len(after))]
+
+
 # --- tokens -------------------------------------------------------------------------------------------------
 
 def test_byte_pairs_equal_the_library_and_decode_back(small, odd):
