@@ -10,6 +10,7 @@ import tiktoken
 import corpus_pipeline
 from evenhand.llm import queries
 from evenhand.llm.bpe import read_ranks
+from evenhand.plans.runtime import stage
 from tests.llm.test_operators import plain_components, plain_measures
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,36 @@ def test_run_keeps_whole_texts_in_order(spark):
     assert out.count() > 0 and set(out.columns) == {"doc_id", "source", "n_tokens", "ids"}
 
 
+def test_encoding_keeps_the_order_of_many_part_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 13)
+    try:
+        mixed.write.parquet(f"{tmp_path}/mixed")
+        wanted = [r.doc_id for r in mixed.select("doc_id").collect()]
+        # The part that comes last is the largest, so a plain scan reads it first.
+        more = docs.limit(60).coalesce(1).write.option("maxRecordsPerFile", 0)
+        more.parquet(f"{tmp_path}/more")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    last = next((tmp_path / "more").glob("part-*"))
+    (tmp_path / "mixed" / "part-100000-0a-c000.snappy.parquet").write_bytes(last.read_bytes())
+    wanted += [r.doc_id for r in docs.limit(60).collect()]
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 8
+    coded = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), SF).collect()
+    assert sorted(r.position for r in coded) == list(range(len(wanted)))
+    assert [r.doc_id for r in sorted(coded, key=lambda r: r.position)] == wanted
+    assert [r.doc_id for r in coded] != wanted
+
+
+def test_run_returns_rows_by_position_in_training(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(corpus_pipeline, "stage", lambda df, name: steps.append(stage(df.repartition(3) if name == "encoding" else df, name)) or steps[-1])
+    out = [r.doc_id for r in corpus_pipeline.run(spark, SF).collect()]
+    named = [r.doc_id for r in steps[-1].orderBy("position").collect()]
+    assert out == named and len(set(out)) > 1
 
 
 def test_every_operator_has_its_query():
