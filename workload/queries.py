@@ -660,15 +660,14 @@ def partition_sweep(spark, sf):
 def model_grid(spark, sf):
     held = stage(splits.holdout(t.coded(spark, sf), t.CODED), "held")
     return models.evaluate_models(held, t.CODED, t.CODED_FEATURES, ~F.col("is_test"), F.col("is_test"),
-                                  level="value", options={"LogisticRegression": {"precount": True},
-                                                          "XGBoost": {"rounds": 2, "depth": 2}})
+                                  level="value", options={"LogisticRegression": {"precount": True}})
 
 
 @query
 def calibrated_clients(spark, sf):
-    """A round of calibration with both models on few codes."""
-    options = {"LogisticRegression": {"precount": True}, "XGBoost": {"rounds": 1, "depth": 2}}
-    return calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], (0.3,), options=options).log
+    """All rounds of calibration with both models on few codes."""
+    options = {"LogisticRegression": {"precount": True}}
+    return calibration.calibrate(t.coded(spark, sf), t.CODED, ["l_discount", "l_tax"], options=options).log
 
 
 def _rule(condition):
@@ -700,6 +699,5 @@ def cross_device_scores(spark, sf):
     rows, found = calibration.cross_device(
         t.coded(spark, sf).withColumn("client", F.col("client").cast("string")), t.CODED, 2,
         ["l_orderkey", *t.CODED.key[1:]], ["l_discount", "l_tax"], level="value",
-        models=("LogisticRegression",), options={"LogisticRegression": {"precount": True}},
-        bounds={"RAC1P": (0.0, None)})
+        options={"LogisticRegression": {"precount": True}})
     return found
