@@ -40,6 +40,12 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return rows.join(hot, key).unionByName(common)
 
 
+def range_parts(rows: DataFrame, size: Column, most: int = 64 << 20) -> int:
+    """Into how many ranges to deal rows: the session's number of partitions, or more, so that none exceeds ``most`` bytes."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // most))
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """Label every vertex of the undirected ``edges`` (a, b) with the smallest vertex it can reach.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, secrets, token_files, toxicity, url_filter
+from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, repair, secrets, token_files, toxicity, url_filter
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,73 @@ def op8_toxic_spans(spark, sf):
     found = toxicity.score_documents(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
     offsets = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select("doc_id", "held_out", "score", "predicted", F.array_join(offsets, ",").alias("offending"))
+
+
+@query
+def op11_conversation_repair(spark, sf):
+    damaged = repair.damage(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return repair.repair_conversations(damaged, dropped=F.col("dropped")).withColumnRenamed("conversation", "conv_id")
+
+
+def _repair_sql() -> str:
+    """The same row by row: of each place in a dialogue (start, system, user, pair) the least (cost, audit) is kept."""
+    add = lambda x, cost, edit: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}'}}"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    never = "{'c': 1000000000, 'a': ''}"
+    when = lambda condition, x: f"CASE WHEN {condition} THEN {x} ELSE {never} END"
+    to_user = least("z", "s", "p2")
+    inserted = f"""SELECT *, {least("p", add("u2", 3, "I"))} AS p2 FROM (
+      SELECT *, {least("u", add("z", 3, "I"), add("s", 3, "I"), add("p", 3, "I"))} AS u2 FROM %s)"""
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+fated AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(k, lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+repeated AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM numbered),
+seen AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][ \\t\\n\\x0B\\f\\r]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM repeated),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS z, {never} AS s, {never} AS u, {never} AS p FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {add("z", 4, "D")}, {least(add("s", 4, "D"), when("free AND initial = 's'", add("z", "more", "K")))},
+         {least(add("u2", 4, "D"), when("free AND initial = 'u'", add(to_user, "more", "K")), when("free", add(to_user, "more + 3", "R")))},
+         {least(add("p2", 4, "D"), when("free AND initial = 'a'", add("u2", "more", "K")), when("free", add("u2", "more + 3", "R")))}
+  FROM ({inserted % """(
+    SELECT n.conv_id, n.i, z, s, u, p, n.initial, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more
+    FROM paths JOIN seen n ON n.conv_id IS NOT DISTINCT FROM paths.conv_id AND n.i = paths.i + 1)"""})),
+best AS (
+  SELECT conv_id, {least("z", "p2")} AS b FROM ({inserted % "(SELECT conv_id, arg_max(z, i) AS z, arg_max(s, i) AS s, arg_max(u, i) AS u, arg_max(p, i) AS p FROM paths GROUP BY conv_id)"})),
+edits AS (
+  SELECT conv_id, unnest(string_split(b.a, '')) AS edit, unnest(range(len(b.a))) AS nth FROM best WHERE b.a <> ''),
+taken AS (
+  SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER w AS i, sum(CAST(edit <> 'D' AS INT)) OVER w AS place FROM edits
+  WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+made AS (
+  SELECT e.conv_id, e.nth, e.edit, e.place, n.role, CASE WHEN e.edit = 'I' THEN '' ELSE n.text END AS text,
+         max(CAST(e.edit = 'K' AND n.initial = 's' AS INT)) OVER (PARTITION BY e.conv_id) AS led
+  FROM taken e LEFT JOIN seen n ON n.conv_id IS NOT DISTINCT FROM e.conv_id AND n.i = e.i WHERE e.edit <> 'D'),
+hashed AS (
+  SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY nth)) AS h
+  FROM made GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM seen GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(b.b.c AS BIGINT) AS cost, b.b.a AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashed h ON b.conv_id IS NOT DISTINCT FROM h.conv_id"""
+
+
+ORACLES["op11_conversation_repair"] = _repair_sql()
