@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, exact_dedup, mixing, near_dedup, negatives, pii, quality, repair, secrets, token_files, toxicity, url_filter
+from evenhand.llm import (bpe, exact_dedup, mixing, near_dedup, negatives, ngram_join, pii, quality, repair, secrets, token_files,
+                          toxicity, url_filter)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,20 +41,29 @@ def op10_near_dedup(spark, sf):
     return near_dedup.near_duplicates(documents(spark, sf), near_dedup.NearDedup(shingle=4))
 
 
-ORACLES["op10_near_dedup"] = """
+SIMILAR = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct([array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM words),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < SIZE THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i:i+SIZE-1], ' ') FOR i IN range(1, len(w) - SIZE + 2)]) END AS s FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN least USING (doc_id)"""
+ORACLES["op10_near_dedup"] = "SELECT *, doc_id = component_id AS kept FROM (" + SIMILAR.replace("SIZE", "4") + ")"
+
+
+@query
+def op13_ngram_join(spark, sf):
+    return ngram_join.similar_documents(documents(spark, sf))
+
+
+ORACLES["op13_ngram_join"] = SIMILAR.replace("SIZE", "5")
 
 
 @query

@@ -101,4 +101,4 @@ def test_boxes_are_pruned(monkeypatch):
         best = sorted((-whole[i, j], j) for j in np.flatnonzero(np.arange(n) % 3 == slot % 3))[:5]
         mine = [(-s, j) for k, s, j in zip(*[c.to_pylist() for c in found.columns]) if k == i]
         assert mine == best
-    assert sum(a for a, b in opened if b == negatives.LEAF) < len(at) * n / negatives.LEAF / 4
+    assert sum(a for a, b in opened if b == negatives.LEAF) < len(at) * n / negatives.LEAF / 2
