@@ -2,13 +2,16 @@
 
 The splitting pattern of byte-level BPE always starts a token at a single space between two characters that are
 not white space, whatever stands around, and at such a line break too. Where all white space of a text is of this
-kind, the text is cut there and each distinct piece is encoded once.
+kind, the text is cut there and each distinct piece is encoded once. Letters and a mark that ends a piece are apart as well,
+so a word is encoded once for all the marks that follow it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+# Marks that may end a piece after a letter.
+MARKS = ".,;:!?"
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 # Characters of text taken together, and pieces in each of two generations of the cache: both bound a worker's
 # memory, not what is encoded.
@@ -29,6 +32,7 @@ class PieceEncoder:
                  remembered: int = REMEMBERED):
         self.encode_many, self.whole, self.remembered = encode_many, tuple(whole), remembered
         self.known, self.aged = {}, {}
+        self.marks = dict(zip(MARKS, encode_many(list(MARKS))))
 
     def encode(self, texts: Iterable[str]) -> Iterable[bytes]:
         """Ids of each text in turn, as packed little-endian unsigned 32-bit integers."""
@@ -41,6 +45,12 @@ class PieceEncoder:
                 held, chars = [], 0
         yield from self._encode(held)
 
+    def _learn(self, pieces: list[str]) -> None:
+        again = [p for p in pieces if p in self.aged]
+        self.known.update((p, self.aged[p]) for p in again)
+        new = [p for p in pieces if p not in self.aged]
+        self.known.update(zip(new, self.encode_many([p if p[:1] == "\n" else " " + p for p in new])))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             # Pieces that are met again come back from the older generation, so frequent ones stay.
@@ -58,8 +68,12 @@ class PieceEncoder:
             parts.append((first, rest, ids))
         aged = self.aged
         self.known.update((p, aged[p]) for p in missing if p in aged)
-        new = [p for p in missing if p not in aged]
-        self.known.update(zip(new, self.encode_many([p if p[:1] == "\n" else " " + p for p in new])))
+        new = {p for p in missing if p not in aged}
+        ending = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
+        new.difference_update(ending)
+        self._learn([*new, *{s for p in ending if (s := p[:-1]) not in new and s not in self.known}])
+        for p in ending:
+            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
         apart = self.encode_many([texts[i] if p is None else p[0] for i, p in enumerate(parts)])
         known, out = self.known, []
         for head, p in zip(apart, parts):
