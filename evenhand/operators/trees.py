@@ -1,52 +1,133 @@
 """Boosted trees for every client at once.
 
-Features are cut into a few bins, and equal rows are counted, once. Growing a level of a tree is then one
-aggregation for all clients together: gradient sums per (client, node, feature, bin), from which windows over the
-bins find each node's best split. Rows are never gathered by client.
+Equal rows of a client are counted first. A client whose counted rows fit in one task is grown there whole, all clients side by
+side in one job. For larger ones a level of a tree is one aggregation for all of them together: gradient sums per (client,
+node, feature, bin), from which windows over the bins find each node's best split; their rows are never gathered. Both ways
+cut features at the same quantiles of the client and choose the same splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.plans.runtime import attach, count_cells, drop_staged, join_alike, settle, stage
 from evenhand.spec import FairSpec
 
-BINS = 32
+# Rounds, depth and bins of the usual booster.
+ROUNDS, DEPTH, BINS = 100, 6, 256
 # Splits must improve the loss by more than rounding does.
 LEAST_GAIN = 1e-9
+# Counted rows of a client, times their values, up to which it is fitted in one task; forests are broadcast up to as many values.
+LOCAL_VALUES = 4_000_000
 
 
 @dataclass(frozen=True)
 class Forest:
-    """The trees of all clients, one row each, with the bin edges of the features they were grown on."""
+    """The trees of all clients, one row each, with the log odds they start from and the bin edges of the features.
+
+    A tree is three arrays over its nodes, the children of node i being 2 i and 2 i + 1: feature (-1 at a leaf), bin, and value.
+    """
 
     trees: DataFrame
-    edges: list[list[float]]
     features: tuple[str, ...]
     by: tuple[str, ...]
     depth: int
 
 
-def bin_edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[list[float]]:
-    """Upper edges of all bins but the last, per feature, from approximate quantiles of the pooled rows."""
+TREE = "struct<feature: array<int>, bin: array<int>, value: array<double>>"
+
+
+def bin_edges(df: DataFrame, features: Sequence[str], by: Sequence[str], bins: int = BINS) -> DataFrame:
+    """(by..., ``edges``): upper edges of all bins but the last, per client and feature, from mergeable quantile sketches."""
     parts = [i / bins for i in range(1, bins)]
-    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), parts, 10_000).alias(f"q{j}")
-                     for j, c in enumerate(features)]).first()
-    return [sorted(set(found[f"q{j}"] or [])) for j in range(len(features))]
+    found = [F.percentile_approx(F.col(c).cast("double"), parts, 10_000) for c in features]
+    none = F.array().cast("array<double>")
+    return df.groupBy(*by).agg(F.array(*[F.array_sort(F.array_distinct(F.coalesce(q, none))) for q in found]).alias("edges"))
 
 
-def _bin(x: Column, edges: Sequence[float]) -> Column:
+def _bin(x: Column, edges: Column) -> Column:
     """How many edges a value exceeds; a missing value is in the first bin."""
-    place = F.lit(0)
-    for edge in edges:
-        place = place + F.coalesce(x.cast("double") > edge, F.lit(False)).cast("int")
-    return place
+    return F.size(F.filter(edges, lambda e: F.coalesce(x.cast("double") > e, F.lit(False))))
+
 
+# --- clients that fit in one task ---------------------------------------------------------------------------
+
+def _quantiles(x: np.ndarray, m: np.ndarray, bins: int) -> np.ndarray:
+    """The values that ``bin_edges`` finds: for each part the first whose running count reaches it."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(m[order])
+    if not len(x):
+        return x
+    wanted = np.arange(1, bins) / bins * upto[-1]
+    return np.unique(x[order][np.minimum(np.searchsorted(upto, wanted), len(x) - 1)])
+
+
+def _grow_one(bins: np.ndarray, g: np.ndarray, h: np.ndarray, widths: list[int], depth: int, rate: float, l2: float,
+              least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One tree on binned rows: feature, bin and value by node, and the node that each row ends in."""
+    size, d = 2 ** (depth + 1), bins.shape[1]
+    feature, cut, value = np.full(size, -1, np.int32), np.full(size, -1, np.int32), np.zeros(size)
+    node = np.ones(len(g), np.int64)
+    value[1] = -rate * g.sum() / (h.sum() + l2)
+    for level in range(depth):
+        here = np.flatnonzero(node >= 2**level)
+        nodes, at = np.unique(node[here], return_inverse=True)
+        best = np.full(len(nodes), LEAST_GAIN)
+        for j in range(d):
+            place, width = at * widths[j] + bins[here, j], widths[j]
+            gl, hl = (np.bincount(place, w[here], len(nodes) * width).reshape(-1, width).cumsum(axis=1) for w in (g, h))
+            ga, ha = gl[:, -1:], hl[:, -1:]
+            gr, hr = ga - gl, ha - hl
+            gain = gl * gl / (hl + l2) + gr * gr / (hr + l2) - ga * ga / (ha + l2)
+            gain[(hl < least) | (hr < least)] = -np.inf
+            top = gain.argmax(axis=1)
+            found = gain[np.arange(len(nodes)), top]
+            for i in np.flatnonzero(found > best):
+                best[i], k, n = found[i], top[i], nodes[i]
+                feature[n], cut[n] = j, k
+                value[2 * n], value[2 * n + 1] = -rate * gl[i, k] / (hl[i, k] + l2), -rate * gr[i, k] / (hr[i, k] + l2)
+        split = here[feature[node[here]] >= 0]
+        if not len(split):
+            break
+        chosen = node[split]
+        node[split] = 2 * chosen + (bins[split, feature[chosen]] > cut[chosen])
+    return feature, cut, value, node
+
+
+def _grow_client(table: pa.Table, by: Sequence[str], d: int, rounds: int, depth: int, rate: float, l2: float, least: float,
+                 bins: int) -> pa.Table:
+    """All trees of one client from its counted rows."""
+    y, m = (table.column(c).to_numpy() for c in ("y", "m"))
+    coded, edges = np.zeros((len(y), d), np.int64), []
+    for j in range(d):
+        column = table.column(f"x{j}").combine_chunks()
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        x = column.fill_null(0.0).to_numpy()
+        cuts = _quantiles(x[known], m[known], bins)
+        coded[known, j] = np.searchsorted(cuts, x[known])
+        edges.append(cuts.tolist())
+    positive = float(y @ m)
+    base = float(np.log((positive + 0.5) / (m.sum() - positive + 0.5)))
+    margin, trees, widths = np.full(len(y), base), [], [len(e) + 1 for e in edges]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        feature, cut, value, node = _grow_one(coded, m * (p - y), m * p * (1 - p), widths, depth, rate, l2, least)
+        margin += value[node]
+        used = 2 + 2 * int(np.flatnonzero(feature >= 0).max(initial=0))
+        trees.append({"feature": feature[:used], "bin": cut[:used], "value": value[:used]})
+    tree = pa.struct([("feature", pa.list_(pa.int32())), ("bin", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+    keys = [table.column(c).slice(0, 1) for c in by]
+    made = [pa.array([base]), pa.array([edges], pa.list_(pa.list_(pa.float64()))), pa.array([trees], pa.list_(tree))]
+    return pa.table([*keys, *made], names=[*by, "base", "edges", "trees"])
+
+
+# --- clients of any size ------------------------------------------------------------------------------------
 
 def _step(node: Column, splits: Column, bins: Column) -> Column:
     """From a node to its child, or to itself where it is not split."""
@@ -111,20 +192,15 @@ def _grow(cells: DataFrame, by: Sequence[str], d: int, depth: int, rate: float,
     return tree, size
 
 
-def fit_trees(
-    df: DataFrame, label: str, features: Sequence[str], by: Sequence[str] = ("client",), rounds: int = 10,
-    depth: int = 3, rate: float = 0.3, l2: float = 1.0, least: float = 1.0, bins: int = BINS,
-) -> Forest:
-    """Boosted trees per client, starting from the log odds of its label.
-
-    Second-order boosting of the log loss: each tree's splits and leaves follow from gradient sums, shrunk by
-    ``rate``; ``least`` is the curvature a child must hold.
-    """
-    edges = bin_edges(df, features, bins)
-    coded = F.array(*[_bin(F.col(c), e) for c, e in zip(features, edges)])
-    rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"), coded.alias("bins"))
-    cells = rows.where("y is not null").groupBy(*by, "y", "bins").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    cells = stage(cells, "binned")
+def _grow_large(cells: DataFrame, by: Sequence[str], d: int, rounds: int, depth: int, rate: float, l2: float, least: float,
+                bins: int) -> DataFrame:
+    """The forests of clients whose counted rows stay where they are, tree by tree and level by level."""
+    edges = settle(bin_edges(cells.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))),
+                             [f"x{j}" for j in range(d)], by, bins))
+    size = count_cells(edges, F.aggregate("edges", F.lit(0), lambda n, e: n + F.size(e)))
+    rows = attach(cells, edges, by, size, [f"x{j}" for j in range(d)])
+    coded = F.array(*[_bin(F.col(f"x{j}"), F.get("edges", F.lit(j))) for j in range(d)])
+    cells = stage(rows.select(*by, "y", "m", coded.alias("bins")).groupBy(*by, "y", "bins").agg(F.sum("m").alias("m")), "binned")
     positive, every = F.sum(F.col("y") * F.col("m")), F.sum("m")
     base = settle(cells.groupBy(*by).agg(F.log((positive + 0.5) / (every - positive + 0.5)).alias("base")))
     cells = attach(cells, base, by, count_cells(base), ["bins"]).withColumnRenamed("base", "margin")
@@ -134,7 +210,7 @@ def fit_trees(
         if before is not None:
             drop_staged(before)
         before = cells
-        tree, size = _grow(cells, by, len(features), depth, rate, l2, least)
+        tree, size = _grow(cells, by, d, depth, rate, l2, least)
         grown.append(tree.select(*by, F.struct(F.lit(number).alias("number"), "splits", "leaves").alias("tree")))
         cells = attach(cells, tree, by, size, ["bins"]).withColumn("node", F.lit(1))
         for _ in range(depth):
@@ -146,28 +222,77 @@ def fit_trees(
         every_tree = every_tree.unionByName(more)
     # Trees hold maps, which do not sort, so they are put in order by their number.
     ordered = F.map_from_entries(F.collect_list(F.struct("tree.number", "tree")))
+    nodes = F.sequence(F.lit(0), F.lit(2 ** (depth + 1) - 1))
+
+    def arrays(tree: Column) -> Column:
+        split = lambda n, c, none: F.coalesce(F.element_at(tree["splits"], n)[c].cast("int"), F.lit(none))
+        return F.struct(F.transform(nodes, lambda n: split(n, "feature", -1)).alias("feature"),
+                        F.transform(nodes, lambda n: split(n, "bin", -1)).alias("bin"),
+                        F.transform(nodes, lambda n: F.coalesce(F.element_at(tree["leaves"], n), F.lit(0.0))).alias("value"))
+
     numbers = F.sequence(F.lit(0), F.lit(rounds - 1))
     trees = every_tree.groupBy(*by).agg(ordered.alias("__trees")).select(
-        *by, F.transform(numbers, lambda i: F.element_at("__trees", i)).alias("trees"))
-    forest = Forest(settle(join_alike(base, trees, list(by))), edges, tuple(features), tuple(by), depth)
+        *by, F.transform(numbers, lambda i: arrays(F.element_at("__trees", i))).alias("trees"))
+    forest = settle(join_alike(join_alike(base, edges, list(by)), trees, list(by)).select(*by, "base", "edges", F.col("trees").cast(f"array<{TREE}>")))
     drop_staged(before)
     return forest
 
 
+def by_size(cells: DataFrame, by: Sequence[str], values: int, local: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of clients with up to ``local`` values (rows times ``values``), and those of larger ones if there are any."""
+    sizes = settle(cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * values > local).select(*by))
+    n = sizes.count()
+    if not n:
+        return cells, None
+    spread = [c for c in cells.columns if c not in by]
+    return (attach(cells, sizes, by, n * len(by), spread, "left_anti"), attach(cells, sizes, by, n * len(by), spread, "left_semi"))
+
+
+def fit_locally(cells: DataFrame, by: Sequence[str], fit: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """One task per client, many clients at a time; the clients must be of bounded size."""
+    parts = max(32, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(parts, *by).groupBy(*by).applyInArrow(fit, schema)
+
+
+def fit_trees(
+    df: DataFrame, label: str, features: Sequence[str], by: Sequence[str] = ("client",), rounds: int = ROUNDS,
+    depth: int = DEPTH, rate: float = 0.3, l2: float = 1.0, least: float = 1.0, bins: int = BINS, local: int = LOCAL_VALUES,
+) -> Forest:
+    """Boosted trees per client, starting from the log odds of its label.
+
+    Second-order boosting of the log loss: each tree's splits and leaves follow from gradient sums, shrunk by
+    ``rate``; ``least`` is the curvature a child must hold. Clients of more than ``local`` values are grown level by level.
+    """
+    d, by = len(features), list(by)
+    xs = [F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)]
+    rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"), *xs).where("y is not null")
+    cells = stage(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("m")), "counted")
+    small, large = by_size(cells, by, d + 2, local)
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + f", base double, edges array<array<double>>, trees array<{TREE}>"
+    forest = settle(fit_locally(small, by, lambda t: _grow_client(t, by, d, rounds, depth, rate, l2, least, bins), schema))
+    if large is not None:
+        forest = forest.unionByName(_grow_large(large, by, d, rounds, depth, rate, l2, least, bins))
+    return Forest(forest, tuple(features), tuple(by), depth)
+
+
 def predict_trees(df: DataFrame, forest: Forest, prediction: str = "prediction") -> DataFrame:
     """Add the predicted label to every row."""
-    leaves = F.aggregate("trees", F.lit(0), lambda n, t: n + F.size(t["leaves"]) + 2 * F.size(t["splits"]))
-    scored = attach(df, forest.trees, forest.by, count_cells(forest.trees, leaves))
-    coded = [_bin(F.col(c), e) for c, e in zip(forest.features, forest.edges)]
-    scored = scored.withColumn("__bins", F.array(*coded))
+    values = F.aggregate("trees", F.lit(0), lambda n, t: n + 3 * F.size(t["value"]))
+    scored = attach(df, forest.trees, forest.by, count_cells(forest.trees, values), limit=LOCAL_VALUES)
+    coded = F.array(*[_bin(F.col(c), F.get("edges", F.lit(j))) for j, c in enumerate(forest.features)])
     deepest = F.array(*[F.lit(0)] * forest.depth)
 
-    def leaf(tree: Column) -> Column:
-        node = F.aggregate(deepest, F.lit(1), lambda at, _: _step(at, tree["splits"], F.col("__bins")))
-        return F.element_at(tree["leaves"], node)
+    def leaf(tree: Column, bins: Column) -> Column:
+        def down(node: Column) -> Column:
+            feature = F.coalesce(F.get(tree["feature"], node), F.lit(-1))
+            return F.when(feature < 0, node).otherwise(node * 2 + (F.get(bins, feature) > F.get(tree["bin"], node)).cast("int"))
+
+        return F.get(tree["value"], F.aggregate(deepest, F.lit(1), lambda at, _: down(at)))
 
-    margin = F.aggregate("trees", F.col("base"), lambda total, tree: total + leaf(tree))
-    return scored.withColumn(prediction, margin > 0).drop("base", "trees", "__bins")
+    # As the variable of a function, the bins are found once a row and not once for each node.
+    margin = F.transform(F.array(coded), lambda bins: F.aggregate("trees", F.col("base"), lambda total, tree: total + leaf(tree, bins)))
+    return scored.withColumn(prediction, F.get(margin, F.lit(0)) > 0).drop("base", "edges", "trees")
 
 
 def fit_predict_trees(

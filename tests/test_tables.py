@@ -289,26 +289,57 @@ def grow(bins, g, h, rows, depth, node, leaves):
         grow(bins, g, h, best[2], depth - 1, 2 * node + 1, leaves)
 
 
-def test_client_trees_equal_trying_all_splits(spark):
+@pytest.mark.parametrize("local", [trees.LOCAL_VALUES, 0])
+def test_client_trees_equal_trying_all_splits(spark, local):
     df = microdata(spark).cache()
-    forest = trees.fit_trees(df, "PINCP", ["AGEP", "WKHP"], rounds=2, depth=2)
+    forest = trees.fit_trees(df, "PINCP", ["AGEP", "WKHP"], rounds=2, depth=2, bins=32, local=local)
     grown = {r["client"]: r for r in forest.trees.collect()}
     for client, row in grown.items():
         pdf = df.where(F.col("client") == client).toPandas()
         y = pdf["PINCP"].to_numpy(float)
         bins = np.stack([(pdf[c].to_numpy(float)[:, None] > np.array(e)).sum(1)
-                         for c, e in zip(["AGEP", "WKHP"], forest.edges)], 1)
+                         for c, e in zip(["AGEP", "WKHP"], row["edges"])], 1)
         assert row["base"] == pytest.approx(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         p = 1 / (1 + np.exp(-np.full(len(y), row["base"])))
         leaves = {}
         grow(bins, p - y, p * (1 - p), np.ones(len(y), bool), 2, 1, leaves)
-        assert row["trees"][0]["leaves"] == pytest.approx(leaves, abs=1e-9)
+        tree = row["trees"][0]
+        assert {n: v for n, v in enumerate(tree["value"]) if n in leaves} == pytest.approx(leaves, abs=1e-9)
+        assert all(v == 0 for n, v in enumerate(tree["value"]) if n not in leaves)
     scored = trees.predict_trees(df, forest)
     assert scored.where("prediction = PINCP").count() > 0.6 * df.count()
     unseen = trees.predict_trees(df.withColumn("AGEP", F.lit(None).cast("long")), forest)
     assert unseen.where("prediction is null").count() == 0
 
 
+def test_trees_split_between_edges_of_the_pooled_rows(spark):
+    """A client whose values lie close together is cut by its own quantiles; both ways of growing agree."""
+    rows = [("wide", float(i), i % 3 == 0) for i in range(400)] + [("narrow", 200 + i / 1000, i >= 50) for i in range(100)]
+    rows += [("missing", None if i % 2 else 1.0, bool(i % 2)) for i in range(40)] + [(None, float(i), i > 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "client string, x double, label boolean")
+    found = []
+    for local in (trees.LOCAL_VALUES, 300, 0):
+        forest = trees.fit_trees(df, "label", ["x"], rounds=3, depth=3, bins=16, local=local)
+        scored = trees.predict_trees(df, forest)
+        assert scored.where("client = 'narrow' and prediction <> label").count() == 0
+        assert scored.where("client is null and prediction <> label").count() <= 3
+        found.append(sorted([(r["client"], r["x"], r["prediction"]) for r in scored.collect()], key=repr))
+    assert found[0] == found[1] == found[2]
+
+
+def test_many_features_and_both_ways_of_logistic_fits(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 300))
+    weights = rng.normal(size=300) * (np.arange(300) < 10)
+    y = x @ weights + rng.logistic(size=900) > 0
+    rows = [(int(i % 3), bool(y[i]), *map(float, x[i])) for i in range(900)]
+    names = [f"f{j}" for j in range(300)]
+    df = spark.createDataFrame(rows, "client int, label boolean, " + ", ".join(f"{c} double" for c in names))
+    for features in (names[:4], names):
+        one, two = ({r["client"]: r["w"] for r in models.fit_logistic(df, "label", features, local=local).collect()} for local in (trees.LOCAL_VALUES, 0))
+        assert all(one[c] == pytest.approx(two[c], rel=1e-4, abs=1e-4) for c in range(3)) and len(one) == 3
+
+
 def test_model_grid(spark):
     df = splits.holdout(microdata(spark, 1000), CENSUS)
     table = models.evaluate_models(
