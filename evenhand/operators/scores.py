@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +56,107 @@ def score_fairness(
 
 
 def score_table(df: DataFrame, spec: FairSpec, metric: str = "DP", level: str = "attribute",
-                empty: str = "zero") -> DataFrame:
-    """Accuracy and gaps of scored rows, one row per client (and model, if that is a client column)."""
+                empty: str = "zero", metrics: Mapping[str, Metric] = {}) -> DataFrame:
+    """Accuracy and gaps of scored rows, one row per client (and model, if that is a client column), and one's own metrics."""
     right = accuracy(df, spec).drop("n")
+    if metrics:
+        right = join_alike(right, own_metrics(df, spec, metrics), list(spec.client))
     return join_alike(right, score_fairness(df, spec, metric, level, empty=empty), list(spec.client))
 
 
+# --- metrics of one's own -----------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class MergeableMetric:
+    """A metric that Spark has no expression for: a state of numbers that is updated from rows and merged with others.
+
+    ``update`` gives the state of some rows, arrays of labels ``y`` and predictions ``p`` (booleans) and the columns named in
+    ``columns``; ``merge`` joins two states; ``finish`` turns the state of all rows into the metric. How rows are divided must
+    not matter to the result.
+    """
+
+    update: Callable[..., np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], float]
+    columns: Sequence[str] = ()
+
+
+# An aggregate expression over the columns y and p, 1 or 0 in every row with a label and a prediction; or a state.
+Metric = Column | MergeableMetric
+
+
+def own_metrics(df: DataFrame, spec: FairSpec, metrics: Mapping[str, Metric], by: Sequence[str] | None = None) -> DataFrame:
+    """(client..., one column a metric) over the rows that have a label and a prediction; ``by`` groups otherwise.
+
+    Expressions are combined on the map side like any aggregate. States are made in each task, one for each of its groups, and
+    only states are shuffled.
+    """
+    by = list(spec.client if by is None else by)
+    bit = lambda c: F.col(c).cast("boolean").cast("int")
+    rows = df.withColumns({"y": bit(spec.label), "p": bit(spec.prediction or spec.label)}).where("y is not null and p is not null")
+    plain = {name: m for name, m in metrics.items() if isinstance(m, Column)}
+    found = rows.groupBy(*by).agg(*[m.alias(name) for name, m in plain.items()]) if plain else rows.select(*by).distinct()
+    for name, metric in metrics.items():
+        if name not in plain:
+            found = join_alike(found, _merged(rows, by, name, metric), by)
+    return found.select(*by, *metrics)
+
+
+def _merged(rows: DataFrame, by: list[str], name: str, metric: MergeableMetric) -> DataFrame:
+    kept = rows.select(*dict.fromkeys([*by, "y", "p", *metric.columns]))
+    keys = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c in by)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*metric.columns, "y", "p")}
+            columns |= {c: columns[c].astype(bool) for c in ("y", "p")}
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in by])):
+                groups.setdefault(key, []).append(i)
+            for key, at in groups.items():
+                made = metric.update(**{c: v[at] for c, v in columns.items()})
+                states[key] = metric.merge(states[key], made) if key in states else made
+            kinds = [batch.schema.field(c).type for c in by]
+        if states:
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, k) for c, k in zip(zip(*states), kinds)],
+                 pa.array([[float(x) for x in s] for s in states.values()], pa.list_(pa.float64()))], names=[*by, "state"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        state = reduce(metric.merge, map(np.array, table.column("state").to_pylist()))
+        return pa.table([*[table.column(c).slice(0, 1) for c in by], pa.array([float(metric.finish(state))])], names=[*by, name])
+
+    states = kept.mapInArrow(partial, f"{keys}, state array<double>")
+    return states.groupBy(*by).applyInArrow(whole, f"{keys}, `{name}` double")
+
+
+def own_metric_gaps(df: DataFrame, spec: FairSpec, name: str, metric: Metric) -> DataFrame:
+    """(client..., attribute, ``gap``, ``g_i``, ``g_j``): how far a metric of one's own is apart between groups, with the groups
+    that have the most and the least of it (ties to the least text). Null groups and null metrics count nowhere."""
+    gaps = None
+    for a in spec.sensitive:
+        each = own_metrics(df.where(F.col(a).isNotNull()), spec, {name: metric}, [*spec.client, a]).where(F.col(name).isNotNull())
+        text, value = F.col(a).cast("string"), F.col(name)
+        found = each.groupBy(*spec.client).agg(
+            (F.max(value) - F.min(value)).alias("gap"), F.min(F.struct((-value).alias("v"), text.alias("g")))["g"].alias("g_i"),
+            F.min(F.struct(value.alias("v"), text.alias("g")))["g"].alias("g_j"))
+        found = found.select(*spec.client, F.lit(a).alias("attribute"), "gap", "g_i", "g_j")
+        gaps = found if gaps is None else gaps.unionByName(found)
+    return gaps
+
+
+def weighted_vectors(rows: DataFrame, vector: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., ``vector``): the average of vectors, such as the weights of clients' models, weighted by numbers of rows.
+
+    Places are averaged one by one, combined on the map side, so vectors may be long and groups large. A place that some
+    vectors lack is averaged over the others; null vectors, places and weights count nowhere.
+    """
+    each = rows.where(F.col(n).isNotNull()).select(*by, F.col(n).alias("__n"), F.posexplode(vector).alias("j", "x")).where("x is not null")
+    means = each.groupBy(*by, "j").agg((F.sum(F.col("__n") * F.col("x")) / F.sum("__n")).alias("x"))
+    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias(vector))
+
+
 def weighted_metric(metrics: DataFrame, value: str = "accuracy", n: str = "n", by: Sequence[str] = ()) -> DataFrame:
     """The average of client metrics, weighted by their numbers of rows."""
     return metrics.groupBy(*by).agg((F.sum(F.col(n) * F.col(value)) / F.sum(n)).alias(value))
@@ -103,6 +201,11 @@ def _of_models(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     return scores.where(F.col("model").isin(*models))
 
 
+def model_minimum(scores: DataFrame, column: str, models: Sequence[str] = MODELS) -> DataFrame:
+    """(``dataset``, ``min_gap``): the smallest value of a column over the models."""
+    return _of_models(scores, models).groupBy("dataset").agg(F.min(column).alias("min_gap"))
+
+
 def attribute_vote(scores: DataFrame, metric: str = "DP", models: Sequence[str] = MODELS) -> DataFrame:
     """(``dataset``, ``votes``, ``vote``, ``min_gap``): is SEX or RAC1P the larger gap, for all models alike?
 

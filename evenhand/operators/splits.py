@@ -26,9 +26,12 @@ def assign_partitions(
     by: Column | None = None,
     within: Sequence[str] = (),
     seed: int = 42,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``partition_id``: k near-equal random parts of each client, or any expression of one's own.
 
+    With ``order`` the parts are contiguous in the order of these columns instead, which must be a total one.
+
     ``partitions`` is one k for all, or one per client (1 where it names none). ``within`` adds grouping
     columns, such as the fold, inside which the parts are made.
     """
@@ -46,8 +49,8 @@ def assign_partitions(
         k = F.lit(most)
     if most == 1:
         return df.withColumn("partition_id", F.lit(0))
-    rows, order = hash_order(df, spec.key, seed)
-    cut = cut_classes(rows, groups, order, near_equal(k, most), "partition_id")
+    rows, by_order = column_order(df, order) if order else hash_order(df, spec.key, seed)
+    cut = cut_classes(rows, groups, by_order, near_equal(k, most), "partition_id")
     return _restore(df, cut, "partition_id")
 
 
@@ -57,9 +60,12 @@ def split_folds(
     fractions: Sequence[float] = (0.7, 0.15, 0.15),
     setting: str = "cross-silo",
     seed: int = 42,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``fold`` (train, val or test) per row of each client; the last fold takes the remainder.
 
+    With ``order`` the folds are contiguous in the order of these columns instead of random.
+
     In the cross-device setting clients are not cut, so the table is returned as it is; use
     ``split_clients`` there.
     """
@@ -68,9 +74,9 @@ def split_folds(
         return df
     require_fractions(fractions, FOLDS)
     names = F.array(*[F.lit(f) for f in FOLDS])
-    rows, order = hash_order(df, spec.key, seed)
+    rows, by_order = column_order(df, order) if order else hash_order(df, spec.key, seed)
     bounds = at_bounds(fold_bounds(F.col("total"), fractions))
-    cut = cut_classes(rows, spec.client, order, bounds, "__fold")
+    cut = cut_classes(rows, spec.client, by_order, bounds, "__fold")
     return _restore(df, cut.withColumn("fold", F.get(names, F.col("__fold"))), "fold")
 
 

@@ -14,12 +14,17 @@ from evenhand.operators import counts, fairness, perturb, splits, transform
 from evenhand.plans.runtime import stage
 from evenhand.sources.client_files import save_clients
 from evenhand.sources.reports import config_json
+from evenhand.sources.tables import ROW_ORDER
 from evenhand.spec import (LEVELS, METRICS, SETTINGS, FairSpec, Modification, TaskSpec, require_choice)
 
 
 @dataclass(frozen=True)
 class DatasetOptions:
-    """How a dataset is built. The order is fixed: remap, modify, shuffle, preprocess, split, partition."""
+    """How a dataset is built. The order is fixed: remap, modify, shuffle, preprocess, split, partition.
+
+    Without ``shuffle`` folds and partitions are contiguous in the order of the ``order`` columns, which by default are those
+    that ``with_row_order`` adds to rows read from files.
+    """
 
     task: TaskSpec
     spec: FairSpec
@@ -27,6 +32,8 @@ class DatasetOptions:
     partitions: int | Mapping[str, int] | None = None
     partition_by: Column | None = field(default=None, compare=False)
     seed: int = 42
+    shuffle: bool = True
+    order: Sequence[str] = ROW_ORDER
     mapping: Mapping[str, Mapping] | None = None
     modifications: Iterable[Modification] | DataFrame | None = None
     preprocess: Callable[[DataFrame], DataFrame] | None = None
@@ -65,7 +72,8 @@ class ClientDataset:
         o, spec = self.options, self.options.spec
         client = spec.client[0]
         rows = self.source if o.clients is None else self.source.where(F.col(client).isin(*o.clients))
-        df = transform.apply_task(rows, o.task, [*spec.client, *spec.key])
+        order = None if o.shuffle else list(o.order)
+        df = transform.apply_task(rows, o.task, [*dict.fromkeys([*spec.client, *spec.key, *(order or ())])])
         if o.mapping:
             df = transform.remap(df, o.mapping)
         if o.modifications is not None:
@@ -75,12 +83,13 @@ class ClientDataset:
             df = df.transform(o.preprocess)
         within = []
         if o.setting == "cross-silo":
-            df = splits.split_folds(df, spec, o.fractions, o.setting, o.seed)
+            df = splits.split_folds(df, spec, o.fractions, o.setting, o.seed, order)
             df = df.withColumn("split", client_name(client, "fold"))
             within = ["fold"]
         else:
             df = df.withColumn("split", F.col(client).cast("string"))
-        return splits.assign_partitions(df, spec, o.partitions, o.partition_by, within, o.seed)
+        df = splits.assign_partitions(df, spec, o.partitions, o.partition_by, within, o.seed, order)
+        return df.drop(*[c for c in order or () if c not in (*spec.key, *o.task.features, o.task.label)])
 
     @property
     def audited(self) -> FairSpec:

@@ -48,6 +48,18 @@ def read_clients(
     return df
 
 
+# Columns that say where a row stood in its files.
+ROW_ORDER = ("file_order", "row_order")
+
+
+def with_row_order(df: DataFrame) -> DataFrame:
+    """Rows just read from files with ``file_order``, the name of a row's file, and ``row_order``, its place in there.
+
+    Part files are written in the order of their names, so both together are the order of the table as it was written.
+    """
+    return df.select("*", F.col("_metadata.file_name").alias(ROW_ORDER[0]), F.col("_metadata.row_index").alias(ROW_ORDER[1]))
+
+
 def default_partitions(clients: Sequence[str] | None = None) -> dict[str, int]:
     """One partition for each named client, or for each of the default ones."""
     return {c: 1 for c in (clients or DEFAULT_CLIENTS)}

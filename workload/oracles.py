@@ -357,6 +357,14 @@ ORACLES: dict[str, str] = {
         f"folded AS (SELECT client, event_id, {fold((0.6, 0.2))} AS fold FROM first_)",
         ranked("folded", "client, fold", "event_id"),
         then=f"SELECT client, event_id, fold, ({piece('4')})::INT AS partition_id FROM ranked"),
+    "partitions_in_row_order": with_(
+        "given AS (SELECT user_id % 10 AS client, event_id, row_number() OVER () AS place FROM events)",
+        "first_ AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY client) AS total FROM given "
+        "WINDOW w AS (PARTITION BY client ORDER BY place))",
+        f"folded AS (SELECT client, event_id, place, {fold((0.7, 0.15))} AS fold FROM first_)",
+        "second_ AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY client, fold) AS total FROM folded "
+        "WINDOW w AS (PARTITION BY client, fold ORDER BY place))",
+        then=f"SELECT client, event_id, fold, ({piece('4')})::INT AS partition_id FROM second_"),
     "client_folds": with_(
         view("v1"), "clients AS (SELECT DISTINCT client FROM v1)", ranked("clients", "1", "client"),
         then=f"SELECT v1.client, o_orderkey, {fold((0.7, 0.15))} AS fold FROM v1 JOIN ranked USING (client)"),
@@ -409,6 +417,20 @@ ORACLES: dict[str, str] = {
     "weighted_accuracy": with_(
         view("v1"), "a AS (SELECT client, count(*) AS n, sum((label = pred)::INT) / count(*) AS accuracy FROM v1 "
         "GROUP BY client)", then="SELECT round(sum(n * accuracy) / sum(n), 6) AS accuracy FROM a"),
+    "weighted_vectors": "SELECT label, j::INT AS j, round(sum(n * x) / sum(n), 6) AS x FROM (SELECT label, vec_id % 5 + 1 AS n, "
+                        "unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS j FROM embeddings) GROUP BY label, j",
+    "own_metric": with_(
+        view("v1"), rates("v1", V1_ATTRS, "pred"), pairs("DP"), worst(),
+        "a AS (SELECT client, sum((label = pred)::INT) / count(*) AS accuracy, "
+        "2 * sum(label::INT * pred::INT) / (sum(label::INT) + sum(pred::INT)) AS f1 FROM v1 GROUP BY client)",
+        then="SELECT client, any_value(accuracy) AS accuracy, any_value(f1) AS f1, max(gap) FILTER (attribute = 'c_mktsegment') AS "
+        "DP_c_mktsegment, max(gap) FILTER (attribute = 'o_orderpriority') AS DP_o_orderpriority FROM worst JOIN a USING (client) GROUP BY client"),
+    "own_metric_gaps": with_(
+        view("v1"), "long AS (" + " UNION ALL ".join(
+            f"SELECT client, '{a}' AS attribute, {a} AS g, label::INT AS y, pred::INT AS p FROM v1" for a in V1_ATTRS) + ")",
+        "f AS (SELECT client, attribute, g, 2 * sum(y * p) / nullif(sum(y) + sum(p), 0) AS f1 FROM long GROUP BY client, attribute, g)",
+        then="SELECT client, attribute, max(f1) - min(f1) AS gap, first(g ORDER BY f1 DESC, g) AS g_i, first(g ORDER BY f1, g) AS g_j "
+        "FROM f WHERE f1 IS NOT NULL GROUP BY client, attribute"),
     "log_loss": with_(
         view("v2"), "p AS (SELECT client, label, l_discount * 5 + 0.2::DOUBLE AS p FROM v2)",
         then="SELECT client, round(avg(-ln(CASE WHEN label THEN greatest(1e-15, least(1 - 1e-15, p)) "

@@ -16,7 +16,7 @@ from evenhand.plans.evaluate import evaluate_fairness, local_audit
 from evenhand.plans.runtime import scratch_path, stage
 from evenhand.sources.client_files import load_client_csvs, load_clients, save_client_csvs, save_clients
 from evenhand.sources.reports import plan_json, read_distribution, read_scores, write_report
-from evenhand.sources.tables import read_clients
+from evenhand.sources.tables import ROW_ORDER, read_clients, with_row_order
 from evenhand.spec import FairSpec, Modification, TaskSpec
 from workload import tables as t
 
@@ -347,6 +347,15 @@ def folds_then_partitions(spark, sf):
     return rows.select("client", "event_id", "fold", "partition_id")
 
 
+@query
+def partitions_in_row_order(spark, sf):
+    """Folds and partitions of rows that are not shuffled: they follow the order of the file."""
+    rows = with_row_order(spark.read.parquet(f"{sf}/events.parquet")).select(
+        (F.col("user_id") % 10).alias("client"), "event_id", "event_type", (F.col("value") > 10).alias("label"), *ROW_ORDER)
+    options = DatasetOptions(TaskSpec("events", ("event_type",), "label"), t.EVENTS, partitions=4, setting="cross-silo", shuffle=False)
+    return ClientDataset(rows, options).table.select("client", "event_id", "fold", "partition_id")
+
+
 @query
 def client_folds(spark, sf):
     return splits.split_clients(t.orders(spark, sf), t.ORDERS).select("client", "o_orderkey", "fold")
@@ -430,6 +439,29 @@ def weighted_accuracy(spark, sf):
     return scores.weighted_metric(each).select(F.round("accuracy", 6).alias("accuracy"))
 
 
+@query
+def weighted_vectors(spark, sf):
+    """The mean embedding of each label, as the weights of models are averaged."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("n", F.col("vec_id") % 5 + 1)
+    means = scores.weighted_vectors(rows, "embedding", "n", ["label"])
+    return means.select("label", F.posexplode("embedding").alias("j", "x")).select("label", "j", F.round("x", 6).alias("x"))
+
+
+@query
+def own_metric(spark, sf):
+    """The score table with the F1 score as a metric of one's own."""
+    y, p = F.col("y"), F.col("p")
+    f1 = 2 * F.sum(y * p) / (F.sum(y) + F.sum(p))
+    return scores.score_table(t.orders(spark, sf), t.ORDERS_SCORED, "DP", "attribute", metrics={"f1": f1})
+
+
+@query
+def own_metric_gaps(spark, sf):
+    """Between which groups the F1 score is furthest apart."""
+    f1 = 2 * F.sum(F.col("y") * F.col("p")) / F.nullif(F.sum("y") + F.sum("p"), F.lit(0))
+    return scores.own_metric_gaps(t.orders(spark, sf), t.ORDERS_SCORED, "f1", f1)
+
+
 @query
 def log_loss(spark, sf):
     probability = F.col("l_discount") * 5 + 0.2
@@ -454,7 +486,7 @@ def _scores(spark, sf, metric="DP", level="value"):
 
 @query
 def model_minimum(spark, sf):
-    return _scores(spark, sf).groupBy("dataset").agg(F.min("DP_RACE").alias("min_gap"))
+    return scores.model_minimum(_scores(spark, sf), "DP_RACE")
 
 
 @query
