@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 VIEWS = {
@@ -152,6 +153,43 @@ PLAN = """plan AS (SELECT dataset::VARCHAR AS client, 0::INT AS seq, coalesce(vo
   NULL::VARCHAR AS value2 FROM vote WHERE vote IS NULL OR min_gap < 0.09::DOUBLE)"""
 
 
+def calibrated() -> str:
+    """All nine rounds: each plans from the scores of the clients changed last, changes those anew, and scores their held-out rows.
+
+    A plan of fewer than two clients is not applied and ends the rounds, so all later ones find no rows.
+    """
+    tables = "scored long rates pairs worst right_ wide scores vote_of".split()
+    parts = [view("coded"), "rows0 AS (SELECT * FROM coded)"]
+    for k in range(10):
+        if k:
+            parts += [
+                f"""flagged{k} AS MATERIALIZED (SELECT dataset AS client, coalesce(vote, 'SEX') AS picked FROM vote_of{k - 1}
+  WHERE vote IS NULL OR min_gap < 0.09::DOUBLE)""",
+                f"plan{k} AS MATERIALIZED (SELECT * FROM flagged{k} WHERE (SELECT count(*) FROM flagged{k}) > 1)",
+                f"mine{k} AS (SELECT c.*, label AND CASE picked WHEN 'SEX' THEN SEX = 2 ELSE RAC1P = 2 END AS hit FROM coded c JOIN plan{k} USING (client))",
+                ranked(f"mine{k}", "client, hit", ITEM_KEY, f"drawn{k}"),
+                f"rows{k} AS (SELECT * EXCLUDE (hit, rn, total) FROM drawn{k} WHERE NOT hit OR rn > floor(total * {k / 10!r}::DOUBLE))"]
+        parts += [
+            ranked(f"rows{k}", "client, SEX, RAC1P", ITEM_KEY, f"ranked{k}"),
+            f"""strata{k} AS (SELECT client, SEX, RAC1P, count(*) AS n, floor(count(*) * 0.2::DOUBLE) AS low,
+  count(*) * 0.2::DOUBLE - floor(count(*) * 0.2::DOUBLE) AS rest FROM rows{k} GROUP BY ALL)""",
+            f"""quota{k} AS (SELECT *, ceil(sum(n) OVER (PARTITION BY client) * 0.2::DOUBLE) - sum(low) OVER (PARTITION BY client) AS missing,
+  row_number() OVER (PARTITION BY client ORDER BY rest DESC, SEX, RAC1P) AS turn FROM strata{k})""",
+            f"""held{k} AS MATERIALIZED (SELECT ranked{k}.* FROM ranked{k} JOIN quota{k} USING (client, SEX, RAC1P)
+  WHERE rn <= low + (turn <= missing)::INT)"""]
+        scored = [SCORED.replace("FROM coded", f"FROM held{k}"), *score_parts("DP")[2:],
+                  VOTE.replace("vote AS (SELECT dataset", "vote_of AS MATERIALIZED (SELECT dataset", 1)]
+        parts += [re.sub(rf"\b({'|'.join(tables)})\b", rf"\g<1>{k}", part) for part in scored]
+    applied = " UNION ALL ".join(f"SELECT *, {k} AS k FROM plan{k}" for k in range(1, 10))
+    return with_(
+        *parts, f"last_ AS (SELECT client, arg_max(picked, k) AS picked, max(k) AS k FROM ({applied}) GROUP BY client)",
+        """sizes AS (SELECT client, count(*) AS n, count(*) FILTER (label) AS positives, count(*) FILTER (label AND SEX = 2) AS sex,
+  count(*) FILTER (label AND RAC1P = 2) AS race FROM coded GROUP BY client)""",
+        """gone AS (SELECT client, n, positives, coalesce(floor(CASE picked WHEN 'SEX' THEN sex ELSE race END * (k / 10::DOUBLE)), 0)::BIGINT AS d
+  FROM sizes LEFT JOIN last_ USING (client))""",
+        then="SELECT client, n - d AS n, positives - d AS positives FROM gone")
+
+
 def on_scores(*more: str, then: str) -> str:
     return with_(*score_parts("DP"), *more, then=then)
 
@@ -506,6 +544,7 @@ ORACLES: dict[str, str] = {
         "scored AS (SELECT parts.*, b0 * l_discount + b1 * l_tax + b2 > 0 AS pred FROM parts JOIN weights USING (client) "
         "WHERE fold = 'val')", rates("scored", CODES, "pred", "c, partition_id"), pairs("DP", "c, partition_id"), worst("c, partition_id"),
         then="SELECT * EXCLUDE (c), c AS client FROM worst"),
+    "calibrated_rows": calibrated(),
     "cross_device_rules": with_(
         view("coded"),
         f"pieces AS (SELECT * REPLACE (client || '_' || (ntile(2) OVER (PARTITION BY client ORDER BY {ITEM_KEY}) - 1) AS client) "
