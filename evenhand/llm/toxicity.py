@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import text_of
 from evenhand.plans.runtime import stage
 
-# Words of one chain: longer texts are a row of chains. Lengths of the beginnings of words that are features.
-CHAIN, BEGINNINGS = 50, (4, 5, 6, 7)
+# Words of a block, the unit that sums run over side by side. Lengths of the beginnings of words that are features.
+BLOCK, BEGINNINGS = 50, (4, 5, 6, 7)
 TRIM = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 WORD = re.compile(r"\S+")
-NEVER = -60.0
 
 
 @dataclass(frozen=True)
@@ -78,45 +77,60 @@ class _Emissions(dict):
         return out
 
 
-def marginals(emissions: np.ndarray, chain: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of the toxic state at each place of each row, and expected counts of the four transitions.
+def marginals(emissions: Sequence[np.ndarray], chain: tuple[float, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Probability of the toxic state at each word of each text, and expected counts of the four transitions of all.
 
-    ``emissions`` (rows, places) are scores of the toxic state; the other scores 0. Forward and backward sums are in logs.
+    Emissions are scores of the toxic state; the other scores 0. A text is one chain whatever its length. It is cut in
+    blocks only to work on all blocks at once: products of a block's steps lead from any state before it to any at its
+    end, chained products give the sums at the borders, and from there each block is filled in. Sums are scaled at every
+    step; only ratios at one place are used, so scales cancel.
     """
-    t00, t01, t10, t11 = chain
-    rows, places = emissions.shape
-    e = np.ascontiguousarray(emissions.T)
-    a, b = np.zeros((2, places, rows)), np.zeros((2, places, rows))
-    a[1, 0] = e[0]
-    for t in range(1, places):
-        a[0, t] = np.logaddexp(a[0, t - 1] + t00, a[1, t - 1] + t10)
-        a[1, t] = np.logaddexp(a[0, t - 1] + t01, a[1, t - 1] + t11) + e[t]
-    for t in range(places - 2, -1, -1):
-        to = b[1, t + 1] + e[t + 1]
-        b[0, t] = np.logaddexp(b[0, t + 1] + t00, to + t01)
-        b[1, t] = np.logaddexp(b[0, t + 1] + t10, to + t11)
-    whole = np.logaddexp(a[0, -1], a[1, -1])
-    out = np.exp(a[1] + b[1] - whole)
-    pairs = np.array([np.exp(a[i, :-1] + b[j, 1:] + (e[1:] if j else 0.0) + chain[2 * i + j] - whole).sum()
-                      for i in (0, 1) for j in (0, 1)]) if places > 1 else np.zeros(4)
-    return out.T, pairs
-
-
-def _chained(emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Emissions of texts as rows of CHAIN places, the last row of a text filled up; and each text's first row."""
-    rows = [-(-len(e) // CHAIN) for e in emissions]
-    first = np.concatenate([[0], np.cumsum(rows)]).astype(np.int64)
-    out = np.full((first[-1], CHAIN), NEVER)
+    sizes = np.array([len(e) for e in emissions], np.int64)
+    blocks = -(-sizes // BLOCK)
+    first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+    rows = int(first[-1])
+    if not rows:
+        return [np.zeros(0) for _ in emissions], np.zeros(4)
+    real = np.zeros((rows, BLOCK), bool)
+    score = np.zeros((rows, BLOCK))
     for e, at in zip(emissions, first):
-        out.ravel()[at * CHAIN:at * CHAIN + len(e)] = e
-    return out, first
-
-
-def word_marginals(emissions: list[np.ndarray], chain: tuple[float, ...]) -> list[np.ndarray]:
-    """The toxic marginal of every word of every text."""
-    table, first = _chained(emissions)
-    found = marginals(table, chain)[0].ravel() if len(table) else np.zeros(0)
-    return [found[at * CHAIN:at * CHAIN + len(e)] for e, at in zip(emissions, first)]
+        score.ravel()[at * BLOCK:at * BLOCK + len(e)] = e
+        real.ravel()[at * BLOCK:at * BLOCK + len(e)] = True
+    enters = real.copy()  # words that another word of the text stands before
+    enters[first[:-1][sizes > 0], 0] = False
+    score, real, enters = (np.ascontiguousarray(x.T) for x in (score, real, enters))
+    # Weights of both states at a word; places behind the end of a text change nothing.
+    says = np.where(real, 0.5 * np.stack([1 - np.tanh(score / 2), 1 + np.tanh(score / 2)]), 1.0)
+    step = np.exp(np.reshape(chain, (2, 2)) - max(chain))
+    moves = np.where(enters, step[:, :, None, None], np.eye(2)[:, :, None, None])  # from, to, place, block
+
+    def scaled(x: np.ndarray, axes) -> np.ndarray:
+        return x / np.maximum(x.max(axis=axes, keepdims=True), 1e-300)
+
+    through = np.broadcast_to(np.eye(2)[:, :, None], (2, 2, rows)).copy()
+    for t in range(BLOCK):
+        through = np.stack([through[:, 0] * moves[0, j, t] + through[:, 1] * moves[1, j, t] for j in (0, 1)], 1) * says[:, t]
+        through = scaled(through, (0, 1))
+    into, after = np.ones((2, rows)), np.ones((2, rows))
+    for k in range(int(blocks.max()) - 1):
+        at = first[:-1][blocks > k + 1] + k
+        into[:, at + 1] = scaled((into[:, None, at] * through[:, :, at]).sum(0), 0)
+        at = first[1:][blocks > k + 1] - 1 - k
+        after[:, at - 1] = scaled((through[:, :, at] * after[None, :, at]).sum(1), 0)
+
+    before, ahead, behind = (np.empty((2, BLOCK, rows)) for _ in range(3))  # sums before a word, at it, and behind it
+    a, b = into, after
+    for t in range(BLOCK):
+        before[:, t] = a
+        a = ahead[:, t] = scaled((a[:, None] * moves[:, :, t]).sum(0) * says[:, t], 0)
+    for t in range(BLOCK - 1, -1, -1):
+        behind[:, t] = b
+        b = scaled((moves[:, :, t] * (says[:, t] * b)[None]).sum(1), 0)
+    both = ahead * behind
+    p = np.ascontiguousarray((both[1] / both.sum(0)).T).ravel()
+    change = before[:, None] * step[:, :, None, None] * (says * behind)[None]
+    pairs = np.where(enters, change / change.sum((0, 1)), 0.0).sum((2, 3)).ravel()
+    return [p[at * BLOCK:at * BLOCK + n] for at, n in zip(first, sizes)], pairs
 
 
 def _summary(p: np.ndarray) -> tuple[float, float]:
@@ -167,7 +181,7 @@ def scorer(spark, model: Field):
         for part in _texts(texts):
             words = [WORD.findall(t) for t in part]
             tables = [np.fromiter(map(emissions.__getitem__, w), float, len(w)) for w in words]
-            for t, p in zip(part, word_marginals(tables, shared.value.chain)):
+            for t, p in zip(part, marginals(tables, shared.value.chain)[0]):
                 scores.append(_curve(shared.value, *_summary(p)))
                 spans.append(_offending(t, p) if len(p) and p.max() >= 0.5 else [])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -242,20 +256,16 @@ def _gradient(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         if not batch.num_rows:
             continue
         ids, sizes, emissions = _emitted(batch, weights, bias)
-        table, first = _chained(emissions)
-        p, pairs = marginals(table, chain)
+        p, pairs = marginals(emissions, chain)
         marked = [np.frombuffer(m, "u1").astype(float) for m in batch.column("marked").to_pylist()]
-        seen = np.zeros(len(table) * CHAIN)
-        for m, at in zip(marked, first):
-            seen[at * CHAIN:at * CHAIN + len(m)] = m
-        seen = seen.reshape(-1, CHAIN)
-        wrong = (p - seen).ravel()
-        words = np.concatenate([wrong[at * CHAIN:at * CHAIN + len(m)] for m, at in zip(marked, first)])
+        words = np.concatenate(p) - np.concatenate(marked)
         out[:len(weights)] += np.bincount(ids, np.repeat(words, np.concatenate(sizes)), minlength=len(weights))
         out[-6] += words.sum()
-        old, new = seen[:, :-1], seen[:, 1:]
-        out[-5:-1] += pairs - [((1 - old) * (1 - new)).sum(), ((1 - old) * new).sum(), (old * (1 - new)).sum(), (old * new).sum()]
-        out[-1] += seen.sum()
+        for m in marked:
+            old, new = m[:-1], m[1:]
+            pairs = pairs - [((1 - old) * (1 - new)).sum(), ((1 - old) * new).sum(), (old * (1 - new)).sum(), (old * new).sum()]
+            out[-1] += m.sum()
+        out[-5:-1] += pairs
     yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
 
@@ -263,7 +273,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
     weights, bias, chain = shared.value
     for batch in batches:
         _, _, emissions = _emitted(batch, weights, bias) if batch.num_rows else (0, 0, [])
-        found = np.array([_summary(p) for p in word_marginals(emissions, chain)]).reshape(-1, 2)
+        found = np.array([_summary(p) for p in marginals(emissions, chain)[0]]).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found[:, 0]), pa.array(found[:, 1])],
                                          names=["toxic", "top", "total"])
 

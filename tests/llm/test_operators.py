@@ -445,3 +445,29 @@ def test_toxicity_without_labels_and_on_awkward_rows(spark, odd, nothing):
     rows = toxicity.score_documents(odd, toxicity.fit(odd, some, toxicity.Training(steps=3))).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score_documents(nothing, model).count() == 0
+
+
+def test_chains_run_through_whole_texts():
+    rng = np.random.default_rng(4)
+    chain = (0.5, -1.4, 0.1, 1.9)
+    texts = [rng.normal(size=n) * 3 for n in (0, 1, 49, 50, 51, 100, 101, 7, 333, 2)] + [np.full(120, 900.0), np.full(60, -900.0)]
+    found, pairs = toxicity.marginals(texts, chain)
+    seen = np.zeros((2, 2))
+    for e, p in zip(texts, found):
+        says, step = np.stack([np.zeros(len(e)), e]), np.reshape(chain, (2, 2))
+        a, b = says.copy(), np.zeros((2, len(e)))
+        for t in range(1, len(e)):
+            a[:, t] += np.logaddexp(*(a[:, t - 1, None] + step))
+        for t in range(len(e) - 2, -1, -1):
+            b[:, t] = np.logaddexp(*(step + says[:, t + 1] + b[:, t + 1]).T)
+        assert p == pytest.approx(np.exp(a[1] + b[1] - np.logaddexp(*(a + b))))
+        for t in range(1, len(e)):
+            both = a[:, t - 1, None] + step + says[:, t] + b[:, t]
+            seen += np.exp(both - np.logaddexp.reduce(both, axis=None))
+    assert pairs == pytest.approx(seen.ravel())
+    # Clean words in front move a passage, over every border, but do not change what is found in it.
+    passage, clean = np.array([1.0, 2, 5, 4, -1, 3, 2]), np.full(200, -6.0)
+    wanted = toxicity.marginals([np.concatenate([clean, passage, clean])], chain)[0][0][200:207]
+    for n in range(100, 200):
+        p = toxicity.marginals([np.concatenate([clean[:n], passage, clean])], chain)[0][0]
+        assert p[n:n + 7] == pytest.approx(wanted, abs=1e-9)
