@@ -37,9 +37,10 @@ BASE64 = re.compile(rf"[MAbe](?:(?<![{_RUN}].)|(?<=\\[nr].))(?:(?<=M)[{_RUN}]|(?
                     rf"(?:{_BREAK}(?!-----)[{_RUN}]{{16,}})*(?:{_BREAK}(?!-----)[{_RUN}]+)?={{0,2}}", re.DOTALL)
 OPENS = re.compile(rf"(?:M|AAAA|b3Bl)(?=[{_RUN}]{{17}})")
 HEX_DER = re.compile(r"3(?<![0-9A-Fa-f].)0[0-9A-Fa-f]{46,}", re.DOTALL)
-TOKEN = re.compile(r"e(?<![A-Za-z0-9_.-].)[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*", re.DOTALL)
-ALGORITHMS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521",
-              b"sk-ssh-ed25519@openssh.com")
+TOKEN = re.compile(r"e(?<![A-Za-z0-9_-].)[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*", re.DOTALL)
+# Of each algorithm, the strings of its public key: the name, and numbers, a curve and point, a key, or an application.
+ALGORITHMS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3,
+              b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3}
 MAGIC = b"openssh-key-v1\0"
 INTEGER, BITS, OCTETS, OID, SEQUENCE, TAGGED = 0x02, 0x03, 0x04, 0x06, 0x30, 0xA0
 
@@ -120,33 +121,48 @@ def is_openssh_key(data: bytes) -> bool:
         keys, rest = int.from_bytes(data[at:at + 4], "big"), _strings(data[at + 4:])
         return 1 <= keys <= 64 and rest is not None and len(rest) == keys + 1 and all(lead[:2])
     parts = _strings(data)
-    return bool(parts) and len(parts) >= 2 and parts[0] in ALGORITHMS and all(parts[1:])
-
-
-def _key_sizes(data: bytes) -> list[int]:
-    """How many of the first bytes of ``data`` can be a key, as its lengths say; the largest first."""
-    step = lambda at: at + 4 + int.from_bytes(data[at:at + 4], "big")
-    if data[0] == SEQUENCE:
-        width = data[1] & 0x7F if data[1] & 0x80 else 0
-        return [2 + width + int.from_bytes(data[2:2 + width], "big") if width else 2 + data[1]]
-    if data.startswith(MAGIC):
-        at = step(step(step(len(MAGIC))))
-        keys, at = int.from_bytes(data[at:at + 4], "big"), at + 4
-        for _ in range(keys + 1 if keys <= 64 else 0):
-            at = step(at)
-        return [at]
-    sizes, at = [], 0
-    if data[4:step(0)] in ALGORITHMS:
-        while at + 4 < len(data) and any(data[at:at + 4]) and (not at or data[at + 4:step(at)] not in ALGORITHMS):
-            at = step(at)
-            sizes.insert(0, at)
-    return sizes
-
-
-def _leading(text: str) -> bytes:
-    """The bytes of base64 that may be cut anywhere."""
-    plain = BREAK.sub("", text).rstrip("=\\\r\n")
-    return decode_base64(plain[:len(plain) - (len(plain) % 4 == 1)]) or b"\0\0"
+    return bool(parts) and len(parts) == ALGORITHMS.get(parts[0]) and all(parts)
+
+
+class _Bytes:
+    """The bytes that base64 without breaks stands for from some place on, decoded only where they are looked at."""
+
+    def __init__(self, plain: str, start: int):
+        self.plain, self.start = plain, start
+
+    def __getitem__(self, wanted: slice) -> bytes:
+        first = wanted.start // 3
+        part = self.plain[self.start + 4 * first:self.start + 4 * (-(-wanted.stop // 3))]
+        part = part[:len(part) - (len(part) % 4 == 1)]
+        return (decode_base64(part) or b"")[wanted.start - 3 * first:wanted.stop - 3 * first]
+
+    def number(self, at: int) -> int:
+        return int.from_bytes(self[at:at + 4], "big")
+
+
+def _key_size(data: _Bytes) -> int | None:
+    """How many of the first bytes of ``data`` can be a key, as its lengths say; only the lengths are decoded."""
+    opens = data[0:6]
+    if opens[:1] == bytes([SEQUENCE]) and len(opens) == 6:
+        width = opens[1] & 0x7F if opens[1] & 0x80 else 0
+        return 2 + width + int.from_bytes(opens[2:2 + width], "big") if width else 2 + opens[1]
+    at, end = 0, 3 * len(data.plain) // 4
+    if data[0:len(MAGIC)] == MAGIC:
+        at = len(MAGIC)
+        for place in range(3):
+            size = data.number(at)
+            at += 4 + size
+            if at > end or place < 2 and not size:
+                return None
+        keys, at = data.number(at), at + 4
+        strings = keys + 1 if 1 <= keys <= 64 else 0
+    else:
+        strings = ALGORITHMS.get(data[4:4 + data.number(0)] if data.number(0) < 64 else b"", 0)
+    for _ in range(strings):
+        if at > end:
+            return None
+        at += 4 + data.number(at)
+    return at if strings else None
 
 
 def _keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
@@ -158,28 +174,21 @@ def _keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     breaks = list(BREAK.finditer(text, start, end))
     starts, ends = [start, *(b.end() for b in breaks)], [*(b.start() for b in breaks), end]
     upto = list(accumulate((len(text[a:b].rstrip("=")) for a, b in zip(starts, ends)), initial=0))
+    plain = "".join(text[a:b].rstrip("=") for a, b in zip(starts, ends))
     line = 0
     while line < len(starts):
         at, line = line, line + 1
-        opens = OPENS.match(text, starts[at], ends[at])
-        if not opens:
+        size = _key_size(_Bytes(plain, upto[at])) if OPENS.match(text, starts[at], ends[at]) else None
+        if not size:
+            continue
+        last = bisect_left(upto, upto[at] + (size * 4 + 2) // 3)
+        if last == len(upto) or upto[last] != upto[at] + (size * 4 + 2) // 3:
             continue
-        # The first bytes hold the length of DER or name an OpenSSH key; only for the latter are all needed.
-        data = _leading(text[starts[at]:min(end, starts[at] + 80)])
-        if opens[0] != "M":
-            if not data.startswith(MAGIC) and data[4:4 + int.from_bytes(data[:4], "big")] not in ALGORITHMS:
-                continue
-            data = _leading(text[starts[at]:end])
-        for size in _key_sizes(data):
-            last = bisect_left(upto, upto[at] + (size * 4 + 2) // 3)
-            if last == len(upto) or upto[last] != upto[at] + (size * 4 + 2) // 3:
-                continue
-            key = decode_base64(text[starts[at]:ends[last - 1]])
-            kind = "openssh" if key and is_openssh_key(key) else "der" if key and is_der_key(key) else None
-            if kind:
-                yield kind, starts[at], ends[last - 1]
-                line = last
-                break
+        key = decode_base64(text[starts[at]:ends[last - 1]])
+        kind = "openssh" if key and is_openssh_key(key) else "der" if key and is_der_key(key) else None
+        if kind:
+            yield kind, starts[at], ends[last - 1]
+            line = last
 
 
 def is_signed_token(text: str) -> bool:
