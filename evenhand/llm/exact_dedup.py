@@ -7,6 +7,8 @@ lacks are appended to its buckets.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ class DigestIndex:
         self.spark = spark
         self.path = path or scratch_path(spark, "digest-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = "digest_index_" + self.path.rstrip("/").rpartition("/")[2].replace("-", "_")
+        # Named by the whole path, so that folders of one name in different places are different indexes.
+        self.table = "digest_index_" + hashlib.sha256(self.path.rstrip("/").encode()).hexdigest()
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id {id_type}, keep_row BIGINT, "
                   f"group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
                   f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
