@@ -81,6 +81,11 @@ def shingle_set(text: bytes, size: int, hashes: dict) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def _set_sums(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two keys of a whole set."""
+    return shingles.sum(dtype=np.uint64), np.bitwise_xor.reduce(shingles * (shingles | np.uint64(1)))
+
+
 def signature(shingles: np.ndarray, coordinates: int, seed: int) -> np.ndarray:
     """Circulant MinHash: sigma deals shingles over a ring of 2^32 places, pi is read at each place shifted by k.
 
@@ -112,8 +117,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], p: NearDedup) -> Iterator[pa.Re
             s = shingle_set(text or b"", p.shingle, hashes)
             if not len(s):
                 continue
-            count[i], keys[0, i] = len(s), s.sum()
-            keys[1, i] = np.bitwise_xor.reduce(s * (s | np.uint64(1)))
+            count[i], keys[:, i] = len(s), _set_sums(s)
             least = signature(s, p.bands * p.rows, p.seed).astype(np.uint64)
             band = np.arange(p.bands, dtype=np.uint64)
             for k in least.reshape(p.bands, p.rows).T:
@@ -135,7 +139,9 @@ def _sets(batches: Iterator[pa.RecordBatch], p: NearDedup) -> Iterator[pa.Record
                 for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, values)], names=["v", "items"])
+        keys = np.array([_set_sums(s.view(np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                                          pa.ListArray.from_arrays(ends, values)], names=["v", "h1", "h2", "items"])
 
 
 def sketches(docs: DataFrame, p: NearDedup, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -196,7 +202,11 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
     ``component_id`` is the smallest id that links reach, kept says whether a row has it. A null or wordless text
     has no shingles, no links and is its own component; fewer words than a shingle count as one shingle. Rows
     with a null id stay apart in their own component (null) and are kept. Repeated ids and repeated rows fall
-    into one component and all carry its decision. An empty table gives no rows.
+    into one component, with all that any of their texts is linked to, and all carry its decision. An empty table
+    gives no rows.
+
+    A representative is the smallest id of its class. Where an id has several texts it may stand for several classes:
+    it is then one vertex with several sets.
     """
     said = stage(sketches(docs, p, text, doc_id), "sketches")
     live = said.filter("n_shingles > 0 and doc_id is not null")
@@ -204,7 +214,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
         F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", _set_key()), "classes")
     named = stage(live.join(classes.select("n_shingles", "h1", "h2", F.col("rep").alias("doc_id"), "rep"),
                             ["n_shingles", "h1", "h2", "doc_id"])
-                  .select("rep", "n_shingles", "bands", *SKETCH).dropDuplicates(["rep"]), "representatives")
+                  .select("rep", "n_shingles", "h1", "h2", "bands", *SKETCH).dropDuplicates(["rep", "h1", "h2"]), "representatives")
+    ties = _ties(live, classes)
 
     members = named.select("rep", F.explode("bands").alias("bucket"))
     hubs = stage(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "hubs")
@@ -216,9 +227,9 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
     # Members of a bucket outside its commonest component may be linked with any other member.
     placed = stage(_labelled("rep", shared.filter("m > 2"), labels).select("bucket", "rep", "c_rep"), "placed")
     more = stage(_leftover_links(docs, placed, named, p, text, doc_id), "leftover")
-    if not more.isEmpty():
+    if not more.isEmpty() or not ties.isEmpty():
         known = labels.filter("vertex <> label").select(F.col("vertex").alias("a"), F.col("label").alias("b"))
-        labels = component_labels(known.unionByName(more))
+        labels = component_labels(known.unionByName(more).unionByName(ties))
 
     final = _labelled("rep", classes.select("key", "rep", "copies"), labels)
     final = stage(final.select("key", F.col("c_rep").alias("component_id"), "copies"), "components")
@@ -228,6 +239,22 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), text: str = "te
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _ties(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b), staged, between the representatives of all classes that one id has texts in."""
+    whole = F.xxhash64("n_shingles", "h1", "h2")
+    several = stage(live.groupBy("doc_id").agg(F.min(whole).alias("one"), F.max(whole).alias("other"), F.count("*").alias("n"))
+                    .filter("one <> other").select("doc_id", "n"), "several")
+    if several.isEmpty():
+        return live.sparkSession.createDataFrame([], f"a {dict(live.dtypes)['doc_id']}, b {dict(live.dtypes)['doc_id']}")
+    rows = attach_groups(live.select("doc_id", _set_key().alias("key")), several, "doc_id", "n", live.count())
+    rows = stage(rows.select("doc_id", "key").distinct(), "texts")
+    keyed = stage(attach_groups(rows, classes.select("key", "rep", "copies"), "key", "copies", rows.count())
+                  .select("doc_id", "rep"), "keyed")
+    least = stage(keyed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")), "least")
+    return stage(attach_groups(keyed, least, "doc_id", "n", keyed.count()).select("a", F.col("rep").alias("b"))
+                 .filter("a <> b").distinct(), "ties")
+
+
 def _leftover_links(docs: DataFrame, placed: DataFrame, named: DataFrame, p: NearDedup, text: str, doc_id: str) -> DataFrame:
     """Links (a, b) between documents of different components that share a bucket, one of them at least being
     outside the commonest component of that bucket.
@@ -250,7 +277,8 @@ def _leftover_links(docs: DataFrame, placed: DataFrame, named: DataFrame, p: Nea
     asking = dealt.filter("out").select("cluster", "rep", "c_rep", F.lit(True).alias("asks"), "out", deal(F.col("n_out")).alias("o"), every("n_all").alias("m"))
     asked = dealt.select("cluster", "rep", "c_rep", F.lit(False).alias("asks"), "out", every("n_out").alias("o"), deal(F.col("n_all")).alias("m"))
     sets = _sets_of(docs, members.select(F.col("rep").alias("v")).distinct(), p, text, doc_id)
-    known = stage(sets.withColumnRenamed("v", "rep").join(named.select("rep", *SKETCH), "rep"), "known")
+    known = stage(sets.withColumnRenamed("v", "rep").join(named.select("rep", "h1", "h2", *SKETCH), ["rep", "h1", "h2"])
+                  .drop("h1", "h2"), "known")
     rows = stage(asking.unionByName(asked), "dealt").join(known, "rep")
     kind = dict(named.dtypes)["rep"]
     return rows.groupBy("cluster", "o", "m").applyInArrow(lambda t: _block_links(t, p), f"a {kind}, b {kind}").distinct()
@@ -290,7 +318,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame, p: NearDedup, text: str, doc_id
     rows = docs.select(F.col(doc_id).alias("v"), F.col(text).cast("string").alias("text")).filter("text is not null")
     kind = rows.dtypes[0][1]
     return stage(rows.join(stage(needed, "needed"), "v", "left_semi").mapInArrow(
-        lambda it: _sets(it, p), f"v {kind}, items array<bigint>").dropDuplicates(["v"]), "sets")
+        lambda it: _sets(it, p), f"v {kind}, h1 bigint, h2 bigint, items array<bigint>").dropDuplicates(["v", "h1", "h2"]), "sets")
 
 
 def _set_key() -> Column:
