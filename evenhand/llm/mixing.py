@@ -113,24 +113,29 @@ def _placed(sized: DataFrame, sources: DataFrame, c: Curriculum) -> DataFrame:
     Each source is cut into bins of the order's leading hash, as many as its rows need. Sums of earlier bins
     come from counts of bins; a window orders one bin, so a source with a third of all rows is spread out.
     """
-    hash_of = F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id").cast("string")))
+    hash_of = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.hex("mark"))))
     total = sources.agg(F.sum("rows").alias("n")).first()["n"] or 0
     tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bins = F.ceil(F.col("rows") / max(1, min(BIN_ROWS, total // tasks)))
-    rows = attach(sized, sources, ["source"], 7 * sources.count(), ["doc_id"]).withColumn("__h", hash_of)
+    rows = attach(sized, sources, ["source"], 7 * sources.count(), ["doc_id", "mark"]).withColumn("__h", hash_of)
     lead = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 4294967296.0
     rows = stage(rows.withColumn("__bin", F.floor(lead * bins)), "binned")
     sums = rows.groupBy("source", "place", "__bin").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("place").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = stage(sums.select(F.col("place").alias("__p"), F.col("__bin").alias("__b"),
                              F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__ahead")), "bins")
-    within = Window.partitionBy("place", "__bin").orderBy("__h", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("place", "__bin").orderBy("__h", "size", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     on = (F.col("place") == F.col("__p")) & (F.col("__bin") == F.col("__b"))
     return numbered.join(sums, on).withColumn("before", F.col("__ahead") + F.col("__in")).drop(
         "__ahead", "__in", "__p", "__b", "__h", "__bin")
 
 
+def _mark(docs: DataFrame) -> Column:
+    """A digest of a whole row; rows that share it are alike in every column."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[docs[f"`{n}`"].alias(f"c{i}") for i, n in enumerate(docs.columns)]))))
+
+
 def mix(docs: DataFrame, c: Curriculum = Curriculum(), text: str = "text", doc_id: str = "doc_id",
         source: str = "source") -> DataFrame:
     """One row per document, sorted by its first position: (doc_id, source, size, source_size, target, taken, positions).
@@ -140,10 +145,17 @@ def mix(docs: DataFrame, c: Curriculum = Curriculum(), text: str = "text", doc_i
     document. ``positions`` lists the times in [0, 1] at which the copies of a document are due.
 
     A null text has size 0; documents without words are never taken. Null sources form the last source. Rows with
-    equal ids are told apart by size and by the order in which they are read. An empty table gives no rows.
+    equal ids are told apart by size and by a digest of all their columns, and rows without an id are dealt by that
+    digest. An empty table gives no rows.
     """
+    found = _mixed(docs, c, text, doc_id, source)
+    return found.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id", "mark").drop("mark")
+
+
+def _mixed(docs: DataFrame, c: Curriculum, text: str, doc_id: str, source: str) -> DataFrame:
+    """``mix`` with the digest of each row, in no order."""
     sized = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                              word_count(text_of(text)).alias("size")).withColumn(
+                              word_count(text_of(text)).alias("size"), _mark(docs).alias("mark")).withColumn(
         "row", F.monotonically_increasing_id()), "sized")
     rows = _placed(sized, source_targets(sized, c), c)
     rounds = F.floor(F.col("target") / F.col("source_size"))
@@ -153,20 +165,26 @@ def mix(docs: DataFrame, c: Curriculum = Curriculum(), text: str = "text", doc_i
     middle = lambda k: (k * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target")
     positions = F.transform(F.filter(F.array(*[F.lit(k) for k in range(c.repeats)]), lambda k: k < F.col("__copies")),
                             lambda k: F.round(_due(F.least(middle(k), F.lit(1.0)), F.col("place"), c), 9))
-    out = rows.withColumn("__copies", copies).select(
+    return rows.withColumn("__copies", copies).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("__copies") * F.col("size")).alias("taken"),
-        positions.alias("positions"))
-    return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
+        positions.alias("positions"), "mark")
 
 
 def arrange(docs: DataFrame, c: Curriculum = Curriculum(), text: str = "text", doc_id: str = "doc_id",
             source: str = "source") -> DataFrame:
     """The rows of ``docs`` as the mix takes them, each as often as it is taken, range-sorted by position.
 
-    Ids are expected to be unique; rows that repeat an id all follow each of its decisions.
+    Every row follows its own decision, found by its id and a digest of all its columns. Rows alike in every column,
+    null ids included, share their decisions: one of them stands for all and comes once for each time any is taken.
     """
-    due = mix(docs, c, text, doc_id, source).filter("taken > 0").select(
-        F.col("doc_id").alias("__due"), F.explode("positions").alias("__at"))
-    whole = carry(docs, __id=F.col(doc_id))
-    joined = whole.join(due, F.col("__id").eqNullSafe(F.col("__due")))
-    return unpack(joined.orderBy("__at", "__id"))
+    due = stage(_mixed(docs, c, text, doc_id, source).filter("taken > 0").select(
+        F.col("doc_id").alias("__due"), F.col("mark").alias("__of"), "positions"), "due")
+    whole = carry(docs, __id=F.col(doc_id), __mark=_mark(docs))
+    alike = stage(due.groupBy(F.col("__due").alias("__d"), F.col("__of").alias("__o")).agg(F.count("*").alias("n"))
+                  .filter("n > 1"), "alike")
+    if not alike.isEmpty():
+        is_alike = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__mark") == F.col("__o"))
+        once = whole.join(alike, is_alike, "left_semi").dropDuplicates(["__id", "__mark"])
+        whole = whole.join(alike, is_alike, "left_anti").unionByName(once)
+    joined = whole.join(due, F.col("__id").eqNullSafe(F.col("__due")) & (F.col("__mark") == F.col("__of")))
+    return unpack(joined.withColumn("__at", F.explode("positions")).orderBy("__at", "__id", "__mark"))

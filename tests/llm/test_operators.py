@@ -108,6 +108,33 @@ def test_neighbours_of_a_key_do_not_hide_it():
     assert spans("M" + base64.b64encode(ed).decode()) == spans(base64.b64encode(ed).decode() + "AAAA") == []
 
 
+def test_many_lines_that_open_like_keys_are_read_once():
+    import base64
+    import time
+
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    kinds = lambda t: [s[2] for s in secrets.find_secrets(t) if s[2] in secrets.STRUCTURE_KINDS]
+    opened = base64.b64encode(string(b"ssh-rsa") + string(b"\1\0\1") + b"\0\0\0\xff" + b"k" * 20).decode()
+    magic = base64.b64encode(b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + b"\0\0\0\1" + string(b"p" * 9) + b"\0\1").decode()
+    for line in (opened, magic.rstrip("="), "AAAAB3NzaC1yc2E" + "A" * 40):
+        start = time.process_time()
+        assert kinds("\n".join([line] * 10_000)) == []
+        assert time.process_time() - start < 8, line
+    rsa = base64.b64encode(string(b"ssh-rsa") + string(b"\1\0\1") + string(b"n" * 129)).decode()
+    assert kinds("\n".join([opened] * 50 + [rsa])) == ["openssh"]
+
+
+def test_signed_tokens_behind_a_full_stop():
+    import base64
+    import json
+
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+    for text in (f"It was said.{token}", f"x.{token} and more", token):
+        assert [text[s[0]:s[3]] for s in secrets.find_secrets(text) if s[2] == "jwt"] == [token]
+    assert not [s for s in secrets.find_secrets("a" + token) if s[2] == "jwt"]
+
+
 # --- personal data ------------------------------------------------------------------------------------------
 
 DATA = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -276,6 +303,14 @@ def test_digest_index_across_batches(spark, odd):
     assert again.rows().count() == index.rows().count()
 
 
+def test_indexes_of_one_name_in_two_folders(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    one, two = (exact_dedup.DigestIndex(spark, f"{tmp_path}/{n}/idx", buckets=2) for n in ("one", "two"))
+    exact_dedup.exact_duplicates(docs.filter("doc_id < 2"), one).collect()
+    assert one.rows().count() == 1 and two.rows().count() == 0
+    assert {r.doc_id for r in exact_dedup.exact_duplicates(docs, two).collect() if r.kept} == {2, 3}
+
+
 # --- quality --------------------------------------------------------------------------------------------------
 
 def plain_measures(text):
@@ -346,6 +381,25 @@ def test_mix_of_awkward_rows(odd, nothing):
         mixing.Curriculum(share=3.0)
 
 
+def test_rows_without_an_id_or_of_one_id_follow_their_own_decision(spark):
+    rows = [(None, f"some words of row {i} " * (1 + i % 3), "ab"[i % 2], i) for i in range(30)]
+    rows += [(7, f"words {i} of the same id", "a", i) for i in range(10)] + [(8, "alike in every column", "b", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark long")
+    mixed = mixing.mix(docs).collect()
+    taken, found = {}, {}
+    for r in mixed:
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    arranged = mixing.arrange(docs)
+    assert arranged.columns == docs.columns
+    counts = {}
+    for r in arranged.collect():
+        counts[r] = counts.get(r, 0) + 1
+        found[r.doc_id, r.source] = found.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert found == {k: n for k, n in taken.items() if n}
+    assert all(n <= 2 * rows.count(tuple(r)) for r, n in counts.items())
+    assert mixing.arrange(docs.repartition(5)).collect() == arranged.collect()
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------
 
 def plain_components(pairs, size):
@@ -394,6 +448,19 @@ def test_near_duplicates_equal_all_pairs(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_an_id_with_several_texts_links_all_of_them(spark):
+    words = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    near = lambda c: words(c) + " end"
+    rows = [(5, words("a")), (5, words("b")), (11, near("a")), (12, near("b")), (9, words("c")), (20, words("c")), (20, words("d")),
+            (30, near("d")), (40, words("e"))]
+    # An id of many texts, each with a near copy, and one whose texts are linked through others only.
+    rows += [(100, words(f"m{i}-")) for i in range(20)] + [(200 + i, near(f"m{i}-")) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs, docs.repartition(7)):
+        label = {(r.doc_id): r.component_id for r in near_dedup.near_duplicates(df).collect()}
+        assert label == {5: 5, 11: 5, 12: 5, 9: 9, 20: 9, 30: 9, 40: 40, 100: 100, **{200 + i: 100 for i in range(20)}}
+
+
 def test_near_duplicates_of_awkward_rows(odd, nothing):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
