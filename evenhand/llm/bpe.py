@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -82,21 +83,26 @@ class Coder:
         size = self.pieces.get_piece_size() - 1
         self.chars = {b: c for b, c in enumerate(byte_characters())}
         self.tokens = [bytes(back[c] for c in self.pieces.id_to_piece(i)) for i in range(size)]
-        self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
+        self.whole = {self.pieces.id_to_piece(i): struct.pack("<I", i) for i in range(size)}
         self.table = pa.array(self.tokens, pa.large_binary())
         self.split = regex.compile(pattern).findall
         # Whether a space with letters of ASCII after it is one match, whatever their case.
         self.plain = all(self.split(t) == [t] for t in (" a", " A", " aB", " Ba", " ABc", " abcDEF"))
         self.encoder = PieceEncoder(self._encode_many)
 
+    def _form(self, match: str) -> str:
+        """The characters that stand for a match's bytes."""
+        return match.encode().decode("latin-1").translate(self.chars)
+
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         """A match that is a token as it stands takes its id; all others are merged by the model."""
-        matches = [(t.encode(),) if self.plain and t[:1] == " " and t.isascii() and t[1:].isalpha() else
-                   [m.encode() for m in self.split(t)] for t in texts]
-        merge = list({m for found in matches for m in found if m not in self.whole})
-        mapped = [m.decode("latin-1").translate(self.chars) for m in merge]
-        packed = {m: struct.pack(f"<{len(x)}I", *x) for m, x in zip(merge, self.pieces.encode(mapped, num_threads=1))}
-        return [b"".join([self.whole.get(m) or packed[m] for m in found]) for found in matches]
+        space, whole = self.chars[0x20], self.whole
+        # Letters of ASCII stand for themselves.
+        forms = [space + t[1:] if self.plain and t[:1] == " " and t.isascii() and t[1:].isalpha() else
+                 [self._form(m) for m in self.split(t)] for t in texts]
+        merge = list({m for f in forms for m in ((f,) if type(f) is str else f) if m not in whole})
+        packed = {m: array("I", x).tobytes() for m, x in zip(merge, self.pieces.encode(merge, num_threads=1))}
+        return [whole.get(f) or packed[f] if type(f) is str else b"".join([whole.get(m) or packed[m] for m in f]) for f in forms]
 
     def decode(self, packed: bytes) -> bytes:
         return self.decode_all(pa.array([packed], pa.binary()))[0].as_py()

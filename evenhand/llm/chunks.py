@@ -10,9 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Marks that may end a piece after a letter.
 MARKS = ".,;:!?"
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+# Stands before the first piece of a text, which has no space before it; no text that is cut holds this character.
+HEAD = "\t"
 # Characters of text taken together, and pieces in each of two generations of the cache: both bound a worker's
 # memory, not what is encoded.
 TOGETHER, REMEMBERED = 1_000_000, 220_000
@@ -45,43 +51,36 @@ class PieceEncoder:
                 held, chars = [], 0
         yield from self._encode(held)
 
-    def _learn(self, pieces: list[str]) -> None:
-        again = [p for p in pieces if p in self.aged]
-        self.known.update((p, self.aged[p]) for p in again)
-        new = [p for p in pieces if p not in self.aged]
-        self.known.update(zip(new, self.encode_many([p if p[:1] == "\n" else " " + p for p in new])))
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of distinct pieces, in their order; those not met before are encoded in one go."""
+        ids = list(map(self.known.get, pieces))
+        if None not in ids:
+            return ids
+        missing = [p for p, v in zip(pieces, ids) if v is None]
+        # Pieces that are met again come back from the older generation, so frequent ones stay.
+        self.known.update((p, v) for p in missing if (v := self.aged.get(p)) is not None)
+        new = [p for p in missing if p not in self.known]
+        ending = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
+        apart = dict.fromkeys(p for p in new if not (p[-1] in self.marks and p[-2:-1].isalpha()))
+        apart.update(dict.fromkeys(s for p in ending if (s := p[:-1]) not in self.known))
+        led = [p if p[0] == "\n" else p[1:] if p[0] == HEAD else " " + p for p in apart]
+        self.known.update(zip(apart, self.encode_many(led)))
+        self.known.update((p, self.known[p[:-1]] + self.marks[p[-1]]) for p in ending)
+        return [self.known[p] if v is None else v for p, v in zip(pieces, ids)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """All pieces of the texts are told apart in one column, so only distinct ones are looked up."""
         if len(self.known) > self.remembered:
-            # Pieces that are met again come back from the older generation, so frequent ones stay.
             self.known, self.aged = {}, self.known
-        get, missing, parts, odd = self.known.get, set(), [], []
-        for i, text in enumerate(texts):
-            if not separable(text) or any(w in text for w in self.whole):
-                odd.append(i)
-                parts.append(None)
-                continue
-            first, *rest = text.replace("\n", " \n").split(" ")
-            ids = list(map(get, rest))
-            if None in ids:
-                missing.update([p for p, v in zip(rest, ids) if v is None])
-            parts.append((first, rest, ids))
-        aged = self.aged
-        self.known.update((p, aged[p]) for p in missing if p in aged)
-        new = {p for p in missing if p not in aged}
-        ending = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        new.difference_update(ending)
-        self._learn([*new, *{s for p in ending if (s := p[:-1]) not in new and s not in self.known}])
-        for p in ending:
-            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
-        apart = self.encode_many([texts[i] if p is None else p[0] for i, p in enumerate(parts)])
-        known, out = self.known, []
-        for head, p in zip(apart, parts):
-            if p is None:
-                out.append(head)
-                continue
-            _, rest, ids = p
-            if None in ids:
-                ids = [known[w] if v is None else v for w, v in zip(rest, ids)]
-            out.append(head + b"".join(ids))
-        return out
+        cut = [separable(t) and not any(w in t for w in self.whole) for t in texts]
+        others = iter(self.encode_many([t for t, c in zip(texts, cut) if not c]))
+        if not any(cut):
+            return list(others)
+        led = pa.array([HEAD + t.replace("\n", " \n") for t, c in zip(texts, cut) if c], pa.large_string())
+        pieces = pc.split_pattern(led, " ")
+        found = pieces.values.dictionary_encode()
+        ids = pa.array(self._look_up(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[pieces.offsets.to_numpy()].tolist()
+        packed = memoryview(ids.buffers()[2])
+        parts = (bytes(packed[a:b]) for a, b in zip(ends, ends[1:]))
+        return [next(parts) if c else next(others) for c in cut]
