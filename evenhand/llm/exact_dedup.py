@@ -42,6 +42,10 @@ class DigestIndex:
         fresh.select("digest", "keep_id", "keep_row", "group_size").repartition(self.buckets, "digest").write.insertInto(
             self.table)
 
+    def close(self) -> None:
+        """Forget the table's name. The files stay, and the same path opens them again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, digest, row): SHA-256 of each whole text in UTF-8, null as empty; ``row`` tells repeated rows apart."""
@@ -49,14 +53,21 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
                  .withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
-def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """Of each digest the largest id, one of its rows, and the number of rows; combined on the map side."""
-    return rows.groupBy("digest").agg(
+def duplicate_groups(rows: DataFrame, *by: str) -> DataFrame:
+    """Of each digest (and ``by``) the largest id, one of its rows, and the number of rows; combined on the map side."""
+    return rows.groupBy(*by, "digest").agg(
         F.max("doc_id").alias("keep_id"),
         F.coalesce(F.max_by("row", "doc_id"), F.max("row")).alias("keep_row"),
         F.count("*").alias("group_size"))
 
 
+def _decisions(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """What the staged groups ``known`` say of each row."""
+    found = attach_groups(rows, known, "digest", "group_size", rows.count())
+    return found.select("doc_id", "digest", "keep_id", "group_size", "row",
+                        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
+
+
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, text: str = "text",
                      doc_id: str = "doc_id") -> DataFrame:
     """Say of every row which row of equal text stays: (doc_id, digest, keep_id, group_size, kept).
@@ -78,9 +89,34 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, text: st
             "digest", F.coalesce("old_id", "keep_id").alias("keep_id"),
             F.when(F.col("old_id").isNull(), F.col("keep_row")).alias("keep_row"), "group_size"), "known")
         index.append(groups)
-    found = attach_groups(rows, known, "digest", "group_size", rows.count())
-    return found.select("doc_id", "digest", "keep_id", "group_size", "row",
-                        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
+    return _decisions(rows, known)
+
+
+def duplicates_by_batch(docs: DataFrame, number: int = 3, path: str | None = None, text: str = "text",
+                        doc_id: str = "doc_id") -> DataFrame:
+    """As ``exact_duplicates`` without an index, with the rows appended to a new index at ``path`` in batches.
+
+    The batches are ranges of id of like sizes, the largest ids first and null ids last, so what the index holds is
+    what stays. Each batch opens the index anew from its path, is deduplicated against it, and closes it. Ids are
+    numbers; an empty table gives no rows.
+    """
+    spark, id_type = docs.sparkSession, docs.select(doc_id).dtypes[0][1]
+    rows = digests(docs, text, doc_id)
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / number for k in range(1, number)]).alias("at")).first()["at"] or []
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + F.coalesce(F.col("doc_id") <= cut, F.lit(True)).cast("int")
+    groups = stage(duplicate_groups(rows.withColumn("batch", batch), "batch"), "groups")
+    path = path or scratch_path(spark, "digest-index")
+    for k in range(len(cuts) + 1):
+        index = DigestIndex(spark, path, id_type=id_type)
+        index.append(groups.filter(F.col("batch") == k))
+        index.close()
+    index = DigestIndex(spark, path, id_type=id_type)
+    sizes = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    known = stage(index.rows().drop("group_size").join(sizes, "digest"), "known")
+    index.close()
+    return _decisions(rows, known)
 
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, text: str = "text",

@@ -26,7 +26,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op5_exact_dedup(spark, sf):
-    found = exact_dedup.exact_duplicates(documents(spark, sf))
+    found = exact_dedup.duplicates_by_batch(documents(spark, sf))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -232,6 +233,28 @@ def test_token_files(spark, small, odd, nothing, tmp_path):
     token_files.write_tokens(nothing, f"{tmp_path}/none", JSON)
 
 
+def test_stripes_and_row_groups_without_the_wanted_ids_are_skipped(spark, tmp_path):
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(docs, path, JSON)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        def scanned(*ids):
+            found = spark.read.orc(path).filter(F.col("doc_id").isin(*ids))
+            rows = len(found.collect())
+            leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+            return rows, leaf.metrics().get("numOutputRows").get().value()
+
+        assert scanned(*range(0, 40_000, 2)[:10_001])[1] >= 10_001
+        rows, read = scanned(20_002)
+        assert rows == 1 and read <= 1000
+        # Odd ids lie between the smallest and the largest of a row group, so only its Bloom filter can tell.
+        assert sum(scanned(i)[1] == 0 for i in range(10_001, 10_041, 2)) >= 17
+        assert scanned(50_000) == (0, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_special_strings_and_other_tokenizers(spark):
     made = ["a <|endoftext|> b", "<|endoftext|>", "plain words here"]
     coder = token_files.FileTokenizer(open(JSON, encoding="utf-8").read())
@@ -303,6 +326,21 @@ def test_digest_index_across_batches(spark, odd):
     assert again.rows().count() == index.rows().count()
 
 
+def test_batches_through_a_reopened_index(spark, small, odd, nothing):
+    fields = ("doc_id", "digest", "keep_id", "group_size")
+    for docs in (small, odd):
+        whole = exact_dedup.exact_duplicates(docs).collect()
+        path = exact_dedup.scratch_path(spark, "batches")
+        parts = exact_dedup.duplicates_by_batch(docs, 3, path).collect()
+        assert Counter(tuple(r[f] for f in fields) for r in parts) == Counter(tuple(r[f] for f in fields) for r in whole)
+        kept = Counter(r.digest for r in parts if r.kept)
+        assert set(kept.values()) == {1} and set(kept) == {r.digest for r in whole}
+        assert all(r.doc_id == r.keep_id for r in parts if r.kept)
+        # The catalogue entry is gone, the files are not.
+        assert exact_dedup.DigestIndex(spark, path).rows().count() == len(kept)
+    assert exact_dedup.duplicates_by_batch(nothing).count() == 0
+
+
 def test_indexes_of_one_name_in_two_folders(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     one, two = (exact_dedup.DigestIndex(spark, f"{tmp_path}/{n}/idx", buckets=2) for n in ("one", "two"))
