@@ -1,9 +1,11 @@
 """Boosted trees for every client at once.
 
 Equal rows of a client are counted first. A client whose counted rows fit in one task is grown there whole, all clients side by
-side in one job. For larger ones a level of a tree is one aggregation for all of them together: gradient sums per (client,
-node, feature, bin), from which windows over the bins find each node's best split; their rows are never gathered. Both ways
-cut features at the same quantiles of the client and choose the same splits.
+side in one job. Larger ones are cut into bins where they are, and those whose rows alike in all bins fit in one task are grown
+there too. For the rest a level of a tree is one aggregation for all of them together: gradient sums per (client, node, feature,
+bin), from which windows over the bins find each node's best split; their rows are never gathered. All ways cut features at the
+same quantiles of the client and choose the same splits. Rows to predict are dealt by client and hash, and meet their client's
+trees in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenhand.plans.runtime import attach, count_cells, drop_staged, join_alike, settle, stage
 from evenhand.spec import FairSpec
@@ -23,8 +26,10 @@ from evenhand.spec import FairSpec
 ROUNDS, DEPTH, BINS = 100, 6, 256
 # Splits must improve the loss by more than rounding does.
 LEAST_GAIN = 1e-9
-# Counted rows of a client, times their values, up to which it is fitted in one task; forests are broadcast up to as many values.
+# Counted rows of a client, times their values, up to which it is fitted in one task.
 LOCAL_VALUES = 4_000_000
+# Rows of a client that are predicted in one task, about, and at a time in it.
+SHARE, BLOCK = 100_000, 4096
 
 
 @dataclass(frozen=True)
@@ -51,9 +56,10 @@ def bin_edges(df: DataFrame, features: Sequence[str], by: Sequence[str], bins: i
     return df.groupBy(*by).agg(F.array(*[F.array_sort(F.array_distinct(F.coalesce(q, none))) for q in found]).alias("edges"))
 
 
-def _bin(x: Column, edges: Column) -> Column:
-    """How many edges a value exceeds; a missing value is in the first bin."""
-    return F.size(F.filter(edges, lambda e: F.coalesce(x.cast("double") > e, F.lit(False))))
+def _bin(x: Column, edges: Column, most: int) -> Column:
+    """How many edges a value exceeds, by halving; a missing value is in the first bin."""
+    strides = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(strides, F.lit(0), lambda at, stride: F.when(F.get(edges, at + stride - 1) < x.cast("double"), at + stride).otherwise(at))
 
 
 # --- clients that fit in one task ---------------------------------------------------------------------------
@@ -100,6 +106,16 @@ def _grow_one(bins: np.ndarray, g: np.ndarray, h: np.ndarray, widths: list[int],
     return feature, cut, value, node
 
 
+def _alike(coded: np.ndarray, y: np.ndarray, m: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows alike in label and bins put together, in the order of these."""
+    place = y.astype(np.int64)
+    for j, width in enumerate(widths):
+        first, place = np.unique(place * width + coded[:, j], return_index=True, return_inverse=True)[1:]
+    if not widths:
+        first, place = np.unique(place, return_index=True, return_inverse=True)[1:]
+    return coded[first], y[first], np.bincount(place, m, len(first))
+
+
 def _grow_client(table: pa.Table, by: Sequence[str], d: int, rounds: int, depth: int, rate: float, l2: float, least: float,
                  bins: int) -> pa.Table:
     """All trees of one client from its counted rows."""
@@ -112,19 +128,39 @@ def _grow_client(table: pa.Table, by: Sequence[str], d: int, rounds: int, depth:
         cuts = _quantiles(x[known], m[known], bins)
         coded[known, j] = np.searchsorted(cuts, x[known])
         edges.append(cuts.tolist())
+    return _forest(table, by, coded, y, m, edges, rounds, depth, rate, l2, least)
+
+
+def _grow_binned(table: pa.Table, found: pa.Table, by: Sequence[str], d: int, rounds: int, depth: int, rate: float, l2: float,
+                 least: float) -> pa.Table:
+    """All trees of one client from its binned rows and the edges of its bins."""
+    if not table.num_rows:
+        return _forest_table(found.slice(0, 0), by, [], [], [])
+    y, m = (table.column(c).to_numpy() for c in ("y", "m"))
+    coded = table.column("bins").combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.int64)
+    return _forest(table, by, coded, y, m, found.column("edges")[0].as_py(), rounds, depth, rate, l2, least)
+
+
+def _forest(table: pa.Table, by: Sequence[str], coded: np.ndarray, y: np.ndarray, m: np.ndarray, edges: list[list[float]], rounds: int,
+            depth: int, rate: float, l2: float, least: float) -> pa.Table:
+    widths = [len(e) + 1 for e in edges]
+    coded, y, m = _alike(coded, y, m, widths)
     positive = float(y @ m)
     base = float(np.log((positive + 0.5) / (m.sum() - positive + 0.5)))
-    margin, trees, widths = np.full(len(y), base), [], [len(e) + 1 for e in edges]
+    margin, trees = np.full(len(y), base), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         feature, cut, value, node = _grow_one(coded, m * (p - y), m * p * (1 - p), widths, depth, rate, l2, least)
         margin += value[node]
         used = 2 + 2 * int(np.flatnonzero(feature >= 0).max(initial=0))
         trees.append({"feature": feature[:used], "bin": cut[:used], "value": value[:used]})
+    return _forest_table(table.slice(0, 1), by, [base], [edges], [trees])
+
+
+def _forest_table(keys: pa.Table, by: Sequence[str], base: list, edges: list, trees: list) -> pa.Table:
     tree = pa.struct([("feature", pa.list_(pa.int32())), ("bin", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
-    keys = [table.column(c).slice(0, 1) for c in by]
-    made = [pa.array([base]), pa.array([edges], pa.list_(pa.list_(pa.float64()))), pa.array([trees], pa.list_(tree))]
-    return pa.table([*keys, *made], names=[*by, "base", "edges", "trees"])
+    made = [pa.array(base, pa.float64()), pa.array(edges, pa.list_(pa.list_(pa.float64()))), pa.array(trees, pa.list_(tree))]
+    return pa.table([*[keys.column(c) for c in by], *made], names=[*by, "base", "edges", "trees"])
 
 
 # --- clients of any size ------------------------------------------------------------------------------------
@@ -192,15 +228,19 @@ def _grow(cells: DataFrame, by: Sequence[str], d: int, depth: int, rate: float,
     return tree, size
 
 
-def _grow_large(cells: DataFrame, by: Sequence[str], d: int, rounds: int, depth: int, rate: float, l2: float, least: float,
-                bins: int) -> DataFrame:
-    """The forests of clients whose counted rows stay where they are, tree by tree and level by level."""
+def _binned(cells: DataFrame, by: Sequence[str], d: int, bins: int) -> tuple[DataFrame, DataFrame]:
+    """(by..., y, bins, m), rows alike in label and bins put together, and the edges of the bins."""
     edges = settle(bin_edges(cells.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))),
                              [f"x{j}" for j in range(d)], by, bins))
     size = count_cells(edges, F.aggregate("edges", F.lit(0), lambda n, e: n + F.size(e)))
     rows = attach(cells, edges, by, size, [f"x{j}" for j in range(d)])
-    coded = F.array(*[_bin(F.col(f"x{j}"), F.get("edges", F.lit(j))) for j in range(d)])
-    cells = stage(rows.select(*by, "y", "m", coded.alias("bins")).groupBy(*by, "y", "bins").agg(F.sum("m").alias("m")), "binned")
+    coded = F.array(*[_bin(F.col(f"x{j}"), F.get("edges", F.lit(j)), bins) for j in range(d)])
+    return stage(rows.select(*by, "y", "m", coded.alias("bins")).groupBy(*by, "y", "bins").agg(F.sum("m").alias("m")), "binned"), edges
+
+
+def _grow_large(cells: DataFrame, edges: DataFrame, by: Sequence[str], d: int, rounds: int, depth: int, rate: float, l2: float,
+                least: float) -> DataFrame:
+    """The forests of clients whose binned rows stay where they are, tree by tree and level by level."""
     positive, every = F.sum(F.col("y") * F.col("m")), F.sum("m")
     base = settle(cells.groupBy(*by).agg(F.log((positive + 0.5) / (every - positive + 0.5)).alias("base")))
     cells = attach(cells, base, by, count_cells(base), ["bins"]).withColumnRenamed("base", "margin")
@@ -272,27 +312,66 @@ def fit_trees(
     schema = ", ".join(f"`{c}` {types[c]}" for c in by) + f", base double, edges array<array<double>>, trees array<{TREE}>"
     forest = settle(fit_locally(small, by, lambda t: _grow_client(t, by, d, rounds, depth, rate, l2, least, bins), schema))
     if large is not None:
-        forest = forest.unionByName(_grow_large(large, by, d, rounds, depth, rate, l2, least, bins))
+        binned, edges = _binned(large, by, d, bins)
+        small, large = by_size(binned, by, d + 2, local)
+        fitting = small.groupBy(*by).cogroup(edges.groupBy(*by))
+        made = fitting.applyInArrow(lambda t, e: _grow_binned(t, e, by, d, rounds, depth, rate, l2, least), schema)
+        forest = forest.unionByName(settle(made))
+        if large is not None:
+            forest = forest.unionByName(_grow_large(large, edges, by, d, rounds, depth, rate, l2, least))
     return Forest(forest, tuple(features), tuple(by), depth)
 
 
-def predict_trees(df: DataFrame, forest: Forest, prediction: str = "prediction") -> DataFrame:
-    """Add the predicted label to every row."""
-    values = F.aggregate("trees", F.lit(0), lambda n, t: n + 3 * F.size(t["value"]))
-    scored = attach(df, forest.trees, forest.by, count_cells(forest.trees, values), limit=LOCAL_VALUES)
-    coded = F.array(*[_bin(F.col(c), F.get("edges", F.lit(j))) for j, c in enumerate(forest.features)])
-    deepest = F.array(*[F.lit(0)] * forest.depth)
-
-    def leaf(tree: Column, bins: Column) -> Column:
-        def down(node: Column) -> Column:
-            feature = F.coalesce(F.get(tree["feature"], node), F.lit(-1))
-            return F.when(feature < 0, node).otherwise(node * 2 + (F.get(bins, feature) > F.get(tree["bin"], node)).cast("int"))
+def _predict(rows: pa.Table, forest: pa.Table, kept: Sequence[str], d: int, depth: int) -> pa.Table:
+    """Some rows of one client with the label its trees predict, or none where the client has no trees."""
+    if not rows.num_rows or not forest.num_rows:
+        return rows.select(kept).append_column("__prediction", pa.nulls(rows.num_rows, pa.bool_()))
+    base, edges = forest.column("base")[0].as_py(), forest.column("edges")[0].as_py()
+    trees = forest.column("trees")[0].as_py()
+    size = max((len(t["value"]) for t in trees), default=2)
+    feature, cut, value = np.full((len(trees), size), -1, np.int32), np.zeros((len(trees), size), np.int32), np.zeros((len(trees), size))
+    for i, tree in enumerate(trees):
+        feature[i, :len(tree["feature"])], cut[i, :len(tree["bin"])], value[i, :len(tree["value"])] = tree["feature"], tree["bin"], tree["value"]
+    feature, cut, value, start = feature.ravel(), cut.ravel(), value.ravel(), (np.arange(len(trees)) * size)[:, None]
+    coded = np.zeros((rows.num_rows, d), np.int32)
+    for j in range(d):
+        column = rows.column(f"__x{j}").combine_chunks()
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        coded[known, j] = np.searchsorted(np.array(edges[j], float), column.fill_null(0.0).to_numpy()[known])
+    margin = np.full(rows.num_rows, base)
+    for at in range(0, rows.num_rows, BLOCK):
+        bins = coded[at:at + BLOCK]
+        each, node = np.arange(len(bins)), np.ones((len(trees), len(bins)), np.int64)
+        for _ in range(depth):
+            here = start + node
+            chosen = feature[here]
+            beyond = bins[each, np.maximum(chosen, 0)] > cut[here]
+            node = np.where(chosen < 0, node, np.minimum(2 * node + beyond, size - 1))
+        for leaf in value[start + node]:
+            margin[at:at + BLOCK] += leaf
+    return rows.select(kept).append_column("__prediction", pa.array(margin > 0))
 
-        return F.get(tree["value"], F.aggregate(deepest, F.lit(1), lambda at, _: down(at)))
 
-    # As the variable of a function, the bins are found once a row and not once for each node.
-    margin = F.transform(F.array(coded), lambda bins: F.aggregate("trees", F.col("base"), lambda total, tree: total + leaf(tree, bins)))
-    return scored.withColumn(prediction, F.get(margin, F.lit(0)) > 0).drop("base", "edges", "trees")
+def predict_trees(df: DataFrame, forest: Forest, prediction: str = "prediction") -> DataFrame:
+    """Add the predicted label to every row."""
+    by, d, depth = list(forest.by), len(forest.features), forest.depth
+    df = df.drop(prediction)
+    hot = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select(
+        *by, F.ceil(F.col("n") / SHARE).cast("int").alias("__shares")))
+    size = hot.count() * (len(by) + 1)
+    # A client with many rows is predicted in several tasks, each with a copy of its trees.
+    rows = df.withColumns({f"__x{j}": F.col(c).cast("double") for j, c in enumerate(forest.features)})
+    trees, share = forest.trees, F.lit(0)
+    if size:
+        shares = F.coalesce("__shares", F.lit(1))
+        rows, trees = attach(rows, hot, by, size, df.columns), attach(trees, hot, by, size, by)
+        share, trees = F.pmod(F.xxhash64(*df.columns), shares).cast("int"), trees.withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    else:
+        trees = trees.withColumn("__share", share)
+    rows = rows.withColumn("__share", share).drop("__shares")
+    kept, schema = df.columns, T.StructType([*df.schema.fields, T.StructField("__prediction", T.BooleanType())])
+    met = rows.groupBy(*by, "__share").cogroup(trees.groupBy(*by, "__share"))
+    return met.applyInArrow(lambda r, f: _predict(r, f, kept, d, depth), schema).withColumnRenamed("__prediction", prediction)
 
 
 def fit_predict_trees(

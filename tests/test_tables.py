@@ -327,6 +327,28 @@ def test_trees_split_between_edges_of_the_pooled_rows(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_large_clients_with_few_bins_are_grown_in_one_task(spark, monkeypatch):
+    """Rows beyond the limit are binned first; with the same models, and predicted in shares of a client."""
+    rows = [(c, i * 0.37 % 50, i % 7, (i * i) % 11 < 4 + i % 7) for c in ("a", "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "client string, x double, z int, label boolean")
+    whole = trees.fit_trees(df, "label", ["x", "z"], rounds=3, depth=3, bins=8)
+
+    def apart(*args):
+        raise AssertionError("8 by 7 bins of a client fit in one task")
+
+    monkeypatch.setattr(trees, "_grow_large", apart)
+    binned = trees.fit_trees(df, "label", ["x", "z"], rounds=3, depth=3, bins=8, local=1000)
+    one, two = ({r["client"]: r for r in f.trees.collect()} for f in (whole, binned))
+    for client in ("a", "b"):
+        assert one[client]["edges"] == two[client]["edges"] and one[client]["base"] == pytest.approx(two[client]["base"])
+        assert [t["feature"] for t in one[client]["trees"]] == [t["feature"] for t in two[client]["trees"]]
+    found = []
+    for share in (trees.SHARE, 100):
+        monkeypatch.setattr(trees, "SHARE", share)
+        found.append(sorted(map(tuple, trees.predict_trees(df, whole).collect())))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_many_features_and_both_ways_of_logistic_fits(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 300))
