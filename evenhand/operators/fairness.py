@@ -19,13 +19,16 @@ from evenhand.spec import LEVELS, METRICS, FairSpec, require_choice
 
 
 def cells(df: DataFrame, spec: FairSpec) -> DataFrame:
-    """Rows per client, combination of sensitive values, label ``y`` and prediction ``p``."""
+    """Rows per client, combination of sensitive values, label ``y`` and prediction ``p``; counts made before stay as they are."""
+    if {"__y", "__p", "n"} <= set(df.columns):
+        return df
     spec.check(df)
     as_bit = lambda c: F.col(c).cast("boolean").cast("int")
     counted = df.select(*spec.client, *spec.sensitive, as_bit(spec.label).alias("__y"),
-                        as_bit(spec.prediction or spec.label).alias("__p"))
+                        as_bit(spec.prediction or spec.label).alias("__p"),
+                        (F.col(spec.weight) if spec.weight else F.lit(1)).cast("long").alias("__n"))
     return (counted.where("__y is not null and __p is not null")
-            .groupBy(*spec.client, *spec.sensitive, "__y", "__p").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*spec.client, *spec.sensitive, "__y", "__p").agg(F.sum("__n").alias("n")))
 
 
 def _rank_of(column: str, dtype: T.DataType) -> Column:

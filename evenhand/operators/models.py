@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenhand.operators.fairness import cells
 from evenhand.operators.scores import score_table
 from evenhand.operators.transform import feature_view
 from evenhand.operators.trees import LOCAL_VALUES, by_size, fit_locally, fit_predict_trees
-from evenhand.plans.runtime import attach, count_cells, join_alike, settle, stage
+from evenhand.plans.runtime import attach, count_cells, gather, join_alike, settle, stage
 from evenhand.spec import FairSpec, require_choice
 
 
@@ -149,23 +150,23 @@ def fit_logistic(
     precount: bool = False,
     staged: bool = True,
     local: int = LOCAL_VALUES,
+    weight: str | None = None,
 ) -> DataFrame:
     """(by..., ``w``): weights per client, the bias last, minimising log loss plus ``l2 / 2`` times |w|^2.
 
     The features and labels are written out once, so that the steps do not repeat what led to them; pass
     ``staged=False`` when ``df`` is a stored table already. ``precount`` counts equal rows before, which pays
     when features are codes with few combinations. Rows without a label or without one of the features take no
-    part. Clients that have not converged after ``max_iter`` steps are an error. Clients of more than ``local`` values are
+    part, and ``weight`` names how many rows one stands for. Clients that have not converged after ``max_iter`` steps are an error. Clients of more than ``local`` values are
     fitted by sums over tasks.
     """
     d, by = len(features), list(by)
     rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"),
-                     *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])
+                     *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)],
+                     (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("m"))
     rows = rows.dropna(subset=["y", *[f"x{j}" for j in range(d)]])
     if precount:
-        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("m"))
-    else:
-        rows = rows.withColumn("m", F.lit(1.0))
+        rows = rows.groupBy(*[c for c in rows.columns if c != "m"]).agg(F.sum("m").alias("m"))
     if staged or precount:
         rows = stage(rows, "features")
     small, large = by_size(rows, by, d + 2, local)
@@ -199,7 +200,7 @@ def fit_predict_logistic(
 ) -> DataFrame:
     """Fit per client on the training rows and return the test rows with ``prediction``."""
     by = list(by or spec.client)
-    weights = fit_logistic(df.where(train), spec.label, features, by, **options)
+    weights = fit_logistic(df.where(train), spec.label, features, by, **{"weight": spec.weight, **options})
     return predict_logistic(df.where(test), weights, features, by)
 
 
@@ -251,10 +252,10 @@ def evaluate_models(
 ) -> DataFrame:
     """The score table of all models on all clients: ``model``, ``accuracy``, gaps, and ``dataset``, the client."""
     scored = score_models(df, spec, features, train, test, models, options)
-    audited = FairSpec(spec.sensitive, spec.label, (*spec.client, "model"), spec.key, "prediction")
-    # Rates and accuracies both read the predictions, so these are made once.
-    scored = stage(scored.select(*dict.fromkeys([*audited.client, *spec.sensitive, spec.label, "prediction"])), "scored")
-    table = score_table(scored, audited, metric, level)
+    audited = FairSpec(spec.sensitive, spec.label, (*spec.client, "model"), spec.key, "prediction", spec.weight)
+    # Rates and accuracies both follow from the same counts, so these are made once.
+    counted = settle(cells(scored, audited))
+    table = score_table(gather(counted, len(counted.columns)), audited, metric, level)
     gaps = [c for c in table.columns if c not in (*spec.client, "model", "accuracy")]
     dataset = F.concat_ws("_", *[F.col(c).cast("string") for c in spec.client])
     return table.select("model", "accuracy", *gaps, dataset.alias("dataset"))

@@ -15,7 +15,7 @@ The row order is total (the last order columns are the key), so both ways give t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +33,8 @@ WINDOW_ROWS = 1_000_000
 WINDOW_TOTAL = 100_000_000
 # Boundary bins above this many rows are split again.
 BIN_ROWS = 1_000_000
+# Rows of a group that are ranked together where every row needs its rank, about.
+RANKED_ROWS = 200_000
 # The hash order is binned by its first 15 hexadecimal digits.
 HASH_SPAN = (0, 16**15 - 1)
 # A text is binned by so many bytes at a time.
@@ -348,3 +350,31 @@ def cut_classes(
     if only:
         made = made.withColumn(out, F.when(F.col(only), F.col(out)))
     return made.select(*columns, out)
+
+
+def every_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], groups: Mapping[str, Sequence[str]], seed: int = 42) -> DataFrame:
+    """Add the rank of every row in hash order inside several groups: ``groups`` names, for each column to add, the columns that
+    part ``by`` further.
+
+    One shuffle serves all groups. It deals rows by ``by`` and an equal-width bin of the hash, so that large groups are spread;
+    a rank is the rows of the group in earlier bins, which are counted before, and the rank in the row's own bin.
+    """
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    bins = -(-largest // RANKED_ROWS) or 1
+    rows, order = hash_order(df, key, seed)
+    lead = F.conv(F.substring("__hash", 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("__bin", F.least(F.floor(lead / F.lit(float(16**15)) * bins), F.lit(bins - 1)).cast("int"))
+    # The rows of a bin are put in order once; their groups then sort by a number.
+    ranked = rows.repartition(*by, "__bin").withColumn("__at", F.row_number().over(Window.partitionBy(*by, "__bin").orderBy(*order.columns)))
+    ranked = ranked.drop("__hash").withColumns({
+        name: F.row_number().over(Window.partitionBy(*by, "__bin", *columns).orderBy("__at")).cast("long") for name, columns in groups.items()})
+    if bins > 1:
+        counts = settle(rows.groupBy(*by, "__bin", *dict.fromkeys(c for g in groups.values() for c in g)).agg(F.count(F.lit(1)).alias("n")))
+        for name, columns in groups.items():
+            earlier = Window.partitionBy(*by, *columns).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+            keys = [*by, *columns, "__bin"]
+            before = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+            before = settle(before)
+            ranked = attach(ranked, before, keys, count_cells(before, len(keys) + 1), key)
+            ranked = ranked.withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+    return ranked.select(*df.columns, *groups)

@@ -94,6 +94,21 @@ def split_clients(
     return attach(df, folds, spec.client, count_cells(clients), spec.key)
 
 
+def stratum_quotas(sizes: DataFrame, spec: FairSpec, test_size: float, strata: Sequence[str]) -> DataFrame:
+    """Add ``__quota`` to the sizes ``n`` of strata: how many rows of each are held out."""
+    client = Window.partitionBy(*spec.client)
+    exact = F.col("n") * F.lit(float(test_size))
+    wanted = F.ceil(F.sum("n").over(client) * F.lit(float(test_size)))
+    made = (
+        sizes.withColumn("__low", F.floor(exact))
+        .withColumn("__rest", exact - F.col("__low"))
+        .withColumn("__missing", wanted - F.sum("__low").over(client))
+        .withColumn("__turn", F.row_number().over(client.orderBy(F.desc("__rest"), *strata)))
+    )
+    quota = F.col("__low") + (F.col("__turn") <= F.col("__missing")).cast("long")
+    return made.select(*sizes.columns, quota.cast("long").alias("__quota"))
+
+
 def holdout(
     df: DataFrame,
     spec: FairSpec,
@@ -113,18 +128,7 @@ def holdout(
         cut = cut_classes(rows, spec.client, order, at_bounds([quota]), "__part")
         return _restore(df, cut.withColumn("is_test", F.col("__part") == 0), "is_test")
     groups = [*spec.client, *strata]
-    client = Window.partitionBy(*spec.client)
-    exact = F.col("n") * F.lit(float(test_size))
-    wanted = F.ceil(F.sum("n").over(client) * F.lit(float(test_size)))
-    quotas = settle(
-        df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("__low", F.floor(exact))
-        .withColumn("__rest", exact - F.col("__low"))
-        .withColumn("__missing", wanted - F.sum("__low").over(client))
-        .withColumn("__turn", F.row_number().over(client.orderBy(F.desc("__rest"), *strata)))
-        .withColumn("__quota", F.col("__low") + (F.col("__turn") <= F.col("__missing")).cast("long"))
-        .select(*groups, "n", F.col("__quota").cast("long").alias("__quota"))
-    )
+    quotas = settle(stratum_quotas(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), spec, test_size, strata))
     rows = attach(df, quotas.drop("n"), groups, count_cells(quotas), spec.key)
     rows, order = hash_order(rows, spec.key, seed)
     cut = cut_classes(rows, [*groups, "__quota"], order, at_bounds([F.col("__quota")]), "__part", sizes=quotas)

@@ -280,10 +280,11 @@ def _grow_large(cells: DataFrame, edges: DataFrame, by: Sequence[str], d: int, r
 
 def by_size(cells: DataFrame, by: Sequence[str], values: int, local: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows of clients with up to ``local`` values (rows times ``values``), and those of larger ones if there are any."""
-    sizes = settle(cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * values > local).select(*by))
+    sizes = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * values > local).select(*by)
     n = sizes.count()
     if not n:
         return cells, None
+    sizes = settle(sizes)
     spread = [c for c in cells.columns if c not in by]
     return (attach(cells, sizes, by, n * len(by), spread, "left_anti"), attach(cells, sizes, by, n * len(by), spread, "left_semi"))
 
@@ -297,16 +298,18 @@ def fit_locally(cells: DataFrame, by: Sequence[str], fit: Callable[[pa.Table], p
 def fit_trees(
     df: DataFrame, label: str, features: Sequence[str], by: Sequence[str] = ("client",), rounds: int = ROUNDS,
     depth: int = DEPTH, rate: float = 0.3, l2: float = 1.0, least: float = 1.0, bins: int = BINS, local: int = LOCAL_VALUES,
+    weight: str | None = None,
 ) -> Forest:
     """Boosted trees per client, starting from the log odds of its label.
 
     Second-order boosting of the log loss: each tree's splits and leaves follow from gradient sums, shrunk by
-    ``rate``; ``least`` is the curvature a child must hold. Clients of more than ``local`` values are grown level by level.
+    ``rate``; ``least`` is the curvature a child must hold; ``weight`` names how many rows one stands for. Clients of more than ``local`` values are grown level by level.
     """
     d, by = len(features), list(by)
     xs = [F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)]
-    rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"), *xs).where("y is not null")
-    cells = stage(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("m")), "counted")
+    m = (F.col(weight) if weight else F.lit(1)).cast("double").alias("m")
+    rows = df.select(*by, F.col(label).cast("boolean").cast("double").alias("y"), *xs, m).where("y is not null")
+    cells = stage(rows.groupBy(*[c for c in rows.columns if c != "m"]).agg(F.sum("m").alias("m")), "counted")
     small, large = by_size(cells, by, d + 2, local)
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in by) + f", base double, edges array<array<double>>, trees array<{TREE}>"
@@ -356,14 +359,14 @@ def predict_trees(df: DataFrame, forest: Forest, prediction: str = "prediction")
     """Add the predicted label to every row."""
     by, d, depth = list(forest.by), len(forest.features), forest.depth
     df = df.drop(prediction)
-    hot = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select(
-        *by, F.ceil(F.col("n") / SHARE).cast("int").alias("__shares")))
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select(
+        *by, F.ceil(F.col("n") / SHARE).cast("int").alias("__shares"))
     size = hot.count() * (len(by) + 1)
     # A client with many rows is predicted in several tasks, each with a copy of its trees.
     rows = df.withColumns({f"__x{j}": F.col(c).cast("double") for j, c in enumerate(forest.features)})
     trees, share = forest.trees, F.lit(0)
     if size:
-        shares = F.coalesce("__shares", F.lit(1))
+        hot, shares = settle(hot), F.coalesce("__shares", F.lit(1))
         rows, trees = attach(rows, hot, by, size, df.columns), attach(trees, hot, by, size, by)
         share, trees = F.pmod(F.xxhash64(*df.columns), shares).cast("int"), trees.withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1)))
     else:
@@ -380,4 +383,4 @@ def fit_predict_trees(
 ) -> DataFrame:
     """Fit per client on the training rows and return the test rows with ``prediction``."""
     by = list(by or spec.client)
-    return predict_trees(df.where(test), fit_trees(df.where(train), spec.label, features, by, **options))
+    return predict_trees(df.where(test), fit_trees(df.where(train), spec.label, features, by, **{"weight": spec.weight, **options}))

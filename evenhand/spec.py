@@ -81,7 +81,8 @@ class FairSpec:
     """What an audit needs to know about a table.
 
     ``client`` may name several columns, for instance client, partition and model; every combination is
-    audited on its own. Without ``prediction`` the label itself is audited.
+    audited on its own. Without ``prediction`` the label itself is audited. With ``weight``, a column of whole numbers, a row
+    stands for so many where models are fitted and scored.
     """
 
     sensitive: tuple[str, ...]
@@ -89,6 +90,7 @@ class FairSpec:
     client: tuple[str, ...] = ("client",)
     key: tuple[str, ...] = ("row_id",)
     prediction: str | None = None
+    weight: str | None = None
 
     def check(self, df: DataFrame) -> None:
         if self.label not in df.columns:

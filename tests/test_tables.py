@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import evenhand.plans.runtime as runtime
-from evenhand.operators import counts, fairness, models, scores, splits, transform, trees
+from evenhand.operators import counts, fairness, models, perturb, ranks, scores, splits, transform, trees
 from evenhand.plans.calibrate import calibrate, cross_device
 from evenhand.plans.dataset import ClientDataset, DatasetOptions
 from evenhand.plans.evaluate import evaluate_fairness
@@ -377,3 +377,48 @@ def test_config_json():
 
     made = json.loads(config_json({"spec": SPEC, "day": datetime.date(2018, 1, 2)}))
     assert made["day"] == "2018-01-02" and made["spec"]["client"] == ["client"]
+
+
+def test_every_rank_is_that_of_a_window(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from evenhand.functions import order_key
+
+    monkeypatch.setattr(ranks, "RANKED_ROWS", 50)
+    rows = [(c, i, None if i % 5 == 4 else i % 3, i % 2 == 0) for c, n in (("a", 700), ("b", 40), (None, 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "client string, row_id long, g int, y boolean")
+    made = ranks.every_rank(df, ["client"], ["row_id"], {"one": ["g"], "two": ["g", "y"], "all": []})
+    order = [order_key(["row_id"], 42), "row_id"]
+    wanted = made.withColumns({f"w_{n}": F.row_number().over(Window.partitionBy("client", *c).orderBy(*order)) for n, c in (
+        ("one", ["g"]), ("two", ["g", "y"]), ("all", []))})
+    assert made.count() == len(rows) and wanted.where("one <> w_one or two <> w_two or all <> w_all").count() == 0
+
+
+@pytest.mark.parametrize("level", ["attribute", "value"])
+def test_calibration_rounds_equal_drawing_and_holding_out_anew(spark, monkeypatch, level):
+    """Each round's held-out rows are those of the table changed by its plan; and no round draws on all rows again."""
+    monkeypatch.setattr(ranks, "RANKED_ROWS", 300)
+    df = microdata(spark, 3000).cache()
+    plans, seen = [], []
+
+    def noted(*args, **named):
+        plans.append(scores.plan_next(*args, **named).where("column is not null and value is not null"))
+        return plans[-1]
+
+    def rule(df, spec, features, train, test, by=None):
+        seen.append((df.where(test).select("row_id"), df.where(train).select("row_id")))
+        return df.where(test).withColumn("prediction", F.col("AGEP") >= 5)
+
+    from evenhand.plans import calibrate as plan_of_rounds
+
+    monkeypatch.setattr(plan_of_rounds, "plan_next", noted)
+    found = calibrate(df, CENSUS, ["AGEP"], (0.3, 0.7), level=level, threshold=2.0, models={"LogisticRegression": rule, "XGBoost": rule})
+    assert len(plans) == 2 and len(seen) == 6
+    strata = ["SEX", "RAC1P"] if level == "attribute" else []
+    for plan, (test, train) in zip([None, *plans], seen[::2]):
+        changed = df if plan is None else perturb.apply_modifications(df, CENSUS, plan)
+        held = splits.holdout(changed, CENSUS, strata=strata)
+        for mine, side in ((test, "is_test"), (train, "not is_test")):
+            assert {r[0] for r in mine.collect()} == {r[0] for r in held.where(side).select("row_id").collect()}
+    last = perturb.apply_modifications(df, CENSUS, plans[-1])
+    assert sorted(map(tuple, found.rows.collect())) == sorted(map(tuple, last.collect()))
