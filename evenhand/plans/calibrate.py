@@ -46,6 +46,9 @@ def _score(held: DataFrame, spec: FairSpec, features: Sequence[str], metric: str
     only one pass reads all rows; models of one's own get the rows as they are."""
     if not isinstance(models, Mapping):
         alike = dict.fromkeys([*spec.client, *spec.sensitive, spec.label, *features, "is_test"])
+        # Rows to fit on are alike whatever their sensitive values, unless these are features.
+        unseen = [c for c in spec.sensitive if c not in (*spec.client, spec.label, *features)]
+        held = held.withColumns({c: F.when(F.col("is_test"), F.col(c)) for c in unseen})
         held, spec = stage(held.groupBy(*alike).agg(F.count(F.lit(1)).alias("__times")), "held"), replace(spec, weight="__times")
     return settle(evaluate_models(held, spec, features, ~F.col("is_test"), F.col("is_test"), metric, level, models, options))
 

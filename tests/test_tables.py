@@ -422,3 +422,13 @@ def test_calibration_rounds_equal_drawing_and_holding_out_anew(spark, monkeypatc
             assert {r[0] for r in mine.collect()} == {r[0] for r in held.where(side).select("row_id").collect()}
     last = perturb.apply_modifications(df, CENSUS, plans[-1])
     assert sorted(map(tuple, found.rows.collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_models_fit_counted_rows_as_they_fit_all(spark):
+    df = splits.holdout(microdata(spark, 2000), CENSUS)
+    counted = df.groupBy("client", "SEX", "RAC1P", "MAR", "PINCP", "AGEP", "WKHP", "is_test").agg(F.count("*").alias("times"))
+    weighted = FairSpec(CENSUS.sensitive, "PINCP", CENSUS.client, CENSUS.key, weight="times")
+    one, two = (sorted(map(tuple, models.evaluate_models(
+        rows, spec, ["AGEP", "WKHP"], ~F.col("is_test"), F.col("is_test"), level="value",
+        options={"XGBoost": {"rounds": 3, "depth": 2}}).collect())) for rows, spec in ((df, CENSUS), (counted, weighted)))
+    assert one == two and len(one) == 4
