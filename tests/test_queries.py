@@ -31,3 +31,13 @@ class _Column:
 
     def withColumn(self, name, column):
         return self
+
+
+def test_sweep_divides_folds_that_are_written_out(monkeypatch):
+    """Counting the folds and dividing them must not rank all rows anew each time."""
+    monkeypatch.setattr(queries.t, "coded", lambda spark, sf: "rows")
+    monkeypatch.setattr(queries.splits, "split_folds", lambda df, spec: f"folds of {df}")
+    monkeypatch.setattr(queries, "stage", lambda df, name: f"written {df}")
+    monkeypatch.setattr(queries.splits, "assign_partitions", lambda df, spec, k, within: f"{k} parts of {df}")
+    monkeypatch.setattr(queries, "evaluate_fairness", lambda df, *args, **named: (None, df))
+    assert queries.REGISTRY["partition_sweep"](None, None) == "2 parts of written folds of rows"
