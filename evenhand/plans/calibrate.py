@@ -183,7 +183,8 @@ def cross_device(
     """
     client = spec.client[0]
     pieces = chunk(df, spec, k, order)
-    pieces = pieces.withColumn(client, client_name(client, "chunk")).drop("chunk")
+    # Written out once, as the holdout reads it several times: counts, cuts and the rows themselves.
+    pieces = stage(pieces.withColumn(client, client_name(client, "chunk")).drop("chunk"), "pieces")
     scores = score_clients(pieces, spec, features, metric, level, models, options, seed)
     chosen = settle(select_clients(scores, level, metric, models, bounds).select("dataset"))
     rows = attach(pieces, chosen.withColumnRenamed("dataset", client), [client], chosen.count(), spec.key,

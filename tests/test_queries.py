@@ -2,6 +2,10 @@
 
 from types import SimpleNamespace
 
+import pytest
+from pyspark.sql import functions as F
+
+from evenhand.spec import FairSpec
 from workload import queries
 
 
@@ -41,3 +45,19 @@ def test_sweep_divides_folds_that_are_written_out(monkeypatch):
     monkeypatch.setattr(queries.splits, "assign_partitions", lambda df, spec, k, within: f"{k} parts of {df}")
     monkeypatch.setattr(queries, "evaluate_fairness", lambda df, *args, **named: (None, df))
     assert queries.REGISTRY["partition_sweep"](None, None) == "2 parts of written folds of rows"
+
+
+def test_chunks_are_written_out_before_they_are_held_out(spark, monkeypatch):
+    from evenhand.plans import calibrate
+
+    class Seen(Exception):
+        pass
+
+    def look(pieces, *rest):
+        raise Seen([f.rsplit("/", 2)[1] for f in pieces.inputFiles()])
+
+    monkeypatch.setattr(calibrate, "score_clients", look)
+    rows = spark.range(40).select((F.col("id") % 2).cast("string").alias("client"), "id", F.lit("a").alias("g"), F.lit(True).alias("y"))
+    with pytest.raises(Seen) as seen:
+        calibrate.cross_device(rows, FairSpec(("g",), "y", ("client",), ("id",)), 2, ["id"], ["id"])
+    assert seen.value.args[0] and all(f.startswith("pieces-") for f in seen.value.args[0])

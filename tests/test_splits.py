@@ -212,3 +212,11 @@ def test_latest_modification(table):
     found = {r["state"]: (r["drop_rate"], r["attribute"], r["value"]) for r in
              perturb.latest_modification(log).collect()}
     assert found == {"AK": (0.3, "RAC1P", 4), "CT": (0.1, "SEX", 2)}
+
+
+def test_a_table_of_millions_in_few_groups_is_not_shuffled_to_be_ranked(spark):
+    rows = spark.range(4_000_000).select((F.col("id") % 8).alias("client"), "id")
+    assert not ranks.window_fits(rows, ["client"], None, 1, None)
+    assert ranks.window_fits(rows.where("id < 1000000"), ["client"], None, 1, None)
+    # Cuts of many groups would not fit a broadcast, so a window serves them.
+    assert ranks.window_fits(rows.withColumn("client", F.col("id") % 300_000), ["client"], None, 1, None)
