@@ -59,7 +59,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Id, source, number of tokens, packed ids and position in training of every row: its place among the rows before."""
     pairs = BytePairs(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = numbered(docs).select("doc_id", "source", pairs.encode(text_of()).alias("ids"), "position")
+    coded = numbered(docs).select("doc_id", "source", pairs.encode(text_of(), streamed=True).alias("ids"), "position")
     return coded.select("doc_id", "source", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"), "ids", "position")
 
 

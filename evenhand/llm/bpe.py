@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,8 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm.chunks import PieceEncoder
-from evenhand.llm.common import text_of
+from evenhand.llm.chunks import REMEMBERED, PieceEncoder
+from evenhand.llm.common import in_parts, text_of
+
+# Pieces in each generation of the cache of a streaming task, whose worker shares its memory with other stages.
+STREAMED = 50_000
 
 
 @lru_cache
@@ -74,7 +78,7 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 class Coder:
     """Encoder and decoder around a serialised model."""
 
-    def __init__(self, model: bytes, pattern: str):
+    def __init__(self, model: bytes, pattern: str, remembered: int = REMEMBERED):
         import regex
         import sentencepiece
 
@@ -88,7 +92,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         # Whether a space with letters of ASCII after it is one match, whatever their case.
         self.plain = all(self.split(t) == [t] for t in (" a", " A", " aB", " Ba", " ABc", " abcDEF"))
-        self.encoder = PieceEncoder(self._encode_many)
+        self.encoder = PieceEncoder(self._encode_many, remembered=remembered)
 
     def _form(self, match: str) -> str:
         """The characters that stand for a match's bytes."""
@@ -120,8 +124,8 @@ class Coder:
 
 
 @lru_cache(maxsize=2)
-def _coder(model: bytes, pattern: str) -> Coder:
-    return Coder(model, pattern)
+def _coder(model: bytes, pattern: str, remembered: int = REMEMBERED) -> Coder:
+    return Coder(model, pattern, remembered)
 
 
 class BytePairs:
@@ -134,9 +138,15 @@ class BytePairs:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         model = spark.sparkContext.broadcast(serialise_model(read_ranks(path)))
 
+        def coded(coder: Coder, batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+            for texts in in_parts(batches):
+                yield pa.array(list(coder.encoder.encode(t or "" for t in texts.to_pylist())), pa.binary())
+
+        def streamed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from coded(_coder(model.value, pattern, STREAMED), batches)
+
         def encode(texts: pa.Array) -> pa.Array:
-            coder = _coder(model.value, pattern)
-            return pa.array(list(coder.encoder.encode(t or "" for t in texts.to_pylist())), pa.binary())
+            return pa.concat_arrays(list(coded(_coder(model.value, pattern), [texts])))
 
         def decode(packed: pa.Array) -> pa.Array:
             return _coder(model.value, pattern).decode_all(packed)
@@ -146,11 +156,16 @@ class BytePairs:
                             pa.list_(pa.int32()))
 
         self._encode, self._decode = F.arrow_udf(encode, "binary"), F.arrow_udf(decode, "binary")
+        self._streamed = F.arrow_udf(streamed, "binary")
         self._unpack = F.arrow_udf(unpack, "array<int>")
 
-    def encode(self, text: Column) -> Column:
-        """Packed ids of each whole text; an empty text has none, null counts as empty."""
-        return self._encode(F.coalesce(text.cast("string"), F.lit("")))
+    def encode(self, text: Column, streamed: bool = False) -> Column:
+        """Packed ids of each whole text; an empty text has none, null counts as empty.
+
+        If ``streamed``, a task hands ids on after every few megabytes of text, so it never holds a whole batch of them; a
+        column made of them by Python then has to send them there again.
+        """
+        return (self._streamed if streamed else self._encode)(F.coalesce(text.cast("string"), F.lit("")))
 
     def decode(self, packed: Column) -> Column:
         """The bytes that the ids stand for, null for null; ids beyond the vocabulary fail."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import carry, text_of, unpack
+from evenhand.llm.common import carry, in_parts, text_of, unpack
 from evenhand.plans.runtime import attach, stage
 
 # Documents of one source that a window orders together at most; with fewer rows, as many as give every task a bin.
@@ -46,7 +46,7 @@ class Curriculum:
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space."""
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(t.split()) for t in texts.cast(pa.large_binary()).to_pylist()], pa.int64())
+        return pa.array([len(t.split()) for part in in_parts([texts]) for t in part.cast(pa.large_binary()).to_pylist()], pa.int64())
 
     return F.arrow_udf(count, "bigint")(text)
 

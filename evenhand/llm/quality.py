@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import carry, text_of
+from evenhand.llm.common import carry, in_parts, text_of
 from evenhand.plans.runtime import attach, stage
 
 WINDOW = 8
@@ -71,7 +71,7 @@ def _measure(text: bytes) -> tuple[int, ...]:
 def measures(text: Column) -> Column:
     """Struct of the counts in MEASURES of each whole text; all are 0 for an empty text."""
     def measure(texts: pa.Array) -> pa.Array:
-        found = np.array([_measure(t) for t in texts.cast(pa.large_binary()).to_pylist()], np.int64)
+        found = np.array([_measure(t) for part in in_parts([texts]) for t in part.cast(pa.large_binary()).to_pylist()], np.int64)
         columns = found.reshape(-1, len(MEASURES)).T
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=MEASURES)
 

@@ -5,11 +5,13 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
 from evenhand.llm import queries
-from evenhand.llm.bpe import read_ranks
+from evenhand.llm.bpe import BytePairs, read_ranks
+from evenhand.llm.common import in_parts
 from evenhand.plans.runtime import stage
 from tests.llm.test_operators import plain_components, plain_measures
 
@@ -83,3 +85,12 @@ def test_run_returns_rows_by_position_in_training(spark, monkeypatch):
 
 def test_every_operator_has_its_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.REGISTRY) == list(range(1, 11))
+
+
+def test_encoding_holds_a_few_megabytes_of_a_batch(spark):
+    pairs = BytePairs(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = pa.array([f"word {i} and more \u00fc words {i * i}" * 40 for i in range(10_000)] + [None, ""], pa.string())
+    parts = list(pairs._streamed.func(iter([texts, texts.slice(0, 0)])))
+    assert max(len(p) for p in parts) < len(texts) / 2 and max(p.nbytes for p in parts) < 12 << 20
+    assert pa.concat_arrays(parts).equals(pairs._encode.func(texts)) and parts[-2][-1].as_py() == b""
+    assert [len(p) for p in in_parts([texts], 1)] == [1] * len(texts)
